@@ -22,7 +22,7 @@ TABLES = (
 
 
 def plain(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else v

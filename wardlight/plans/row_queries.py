@@ -38,11 +38,11 @@ def _(t):
     return cohort.coerce_numeric(t("orders", "o_orderkey", "o_orderpriority").select("o_orderkey", raw.alias("p")), ["p"])
 
 
-@query("B2_coerce_timestamp", """SELECT o_orderkey, epoch_us(TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP))::BIGINT AS us FROM orders""")
+@query("B2_coerce_timestamp", """SELECT o_orderkey, epoch_us(TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP))::DOUBLE AS us FROM orders""")
 def _(t):
     raw = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     df = cohort.coerce_timestamp(t("orders", "o_orderkey", "o_orderdate").select("o_orderkey", raw.alias("ts")), ["ts"])
-    return df.select("o_orderkey", exprs.micros("ts").alias("us"))
+    return df.select("o_orderkey", exprs.micros("ts").cast("double").alias("us"))
 
 
 @query("B4_encode_gender", """WITH g AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'male' WHEN 2 THEN 'F' WHEN 3 THEN 'Female' ELSE 'other' END AS raw FROM customer)

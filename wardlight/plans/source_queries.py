@@ -114,7 +114,7 @@ def _(t):
     return t.spark.read.parquet(export.write_features(f, export.shared_dir(t.spark)))
 
 
-@query("A11_write_tensor", "SELECT vec_id, 8 AS n_rows, round(list_sum(list_transform(embedding, x -> x::DOUBLE)), 4) AS total FROM embeddings")
+@query("A11_write_tensor", "SELECT vec_id, 8 AS n_rows, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def _(t):
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
     path = export.write_tensor(t("embeddings").select("vec_id", rows.alias("tensor")), export.shared_dir(t.spark))
