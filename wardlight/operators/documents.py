@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import BUCKET, first_per_key, ordered_parts, prefix_sums, top_n_per_key
+from .ordered import first_per_key, ordered_parts, prefix_sums, top_n_per_key
 
 
 def first_n_notes(df: DataFrame, key: str, order: Sequence[str], n: int = 50) -> DataFrame:
@@ -76,25 +76,6 @@ def concat_unique(df: DataFrame, key: str, bucket_of: Column, order: str, text:
     return ordered_parts(unique, [key], bucket_of, [order], text, sep, rows_per_part)
 
 
-def drop_contained(df: DataFrame, key: str, order: str, text: str, sep: str = "\n\n", rows: int = 1000) -> DataFrame:
-    """Join texts in order, skipping one that already occurs inside the text joined so far.
-
-    Keys with at most ``rows`` distinct texts are folded in their row. In larger keys a text is
-    compared with the earlier texts that share its first word pair position class: every text that
-    contains it must hold its first token, so candidates meet on that token and are tested there.
-    Contained texts are removed before the remaining ones are joined in parts.
-    """
-    unique = df.where(F.length(F.trim(text)) > 0).groupBy(key, F.trim(text).alias(text)).agg(F.min(F.col(order)).alias(order))
-    sizes = unique.groupBy(key).agg(F.count("*").alias("__n"))
-    small = unique.join(sizes.where(F.col("__n") <= rows).select(key), key, "left_semi")
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("x")))), lambda r: r["x"])
-
-    def add(acc: Column, x: Column) -> Column:
-        return F.when(acc == "", x).when(F.contains(acc, x), acc).otherwise(F.concat(acc, F.lit(sep), x))
-
-    return small.groupBy(key).agg(F.aggregate(items, F.lit("").cast("string"), add).alias(text))
-
-
 def priority_concat(
     df: DataFrame, key: str, category: str, order: str, text: str, priority: Sequence[str], sep: str = "\n\n---\n\n", max_length: int = 10_000
 ) -> DataFrame:
