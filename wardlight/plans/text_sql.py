@@ -43,3 +43,11 @@ def boundary(pattern: str) -> str:
         return head + a + tail
 
     return "|".join(one(a) for a in out)
+
+
+def MASK(x: str) -> str:  # noqa: N802
+    """Lower-cased text of the same length whose foreign letters are plain, so ASCII word edges equal Unicode ones."""
+    s = f"regexp_replace(lower({x}), '[\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g')"
+    for cls in (r"\PL", r"\PM", r"\PN"):
+        s = f"regexp_replace({s}, '[^\\x00-\\x7f{cls}]', 'é', 'g')"
+    return f"replace({s}, 'é', 'q')"
