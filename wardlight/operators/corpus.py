@@ -189,21 +189,18 @@ def select_features(
     return scored.where(F.col("frequency") >= min_freq).orderBy(F.desc(score), feature).limit(top_k)
 
 
-def terms_of(c: str | Column, ngrams: tuple[int, int] = (1, 2), stop: Sequence[str] = fixed.STOPWORDS_EN) -> Column:
-    """Lower-cased words of two or more characters without stop words, and their n-grams."""
-    words = F.regexp_extract_all(F.lower(notes.text_of(c)), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+def with_terms(df: DataFrame, text: str, out: str, ngrams: tuple[int, int] = (1, 2), stop: Sequence[str] = fixed.STOPWORDS_EN) -> DataFrame:
+    """Lower-cased words of two or more characters without stop words, and their pairs, as an array."""
+    if ngrams not in ((1, 1), (1, 2), (2, 2)):
+        raise ValueError("n-grams of one or two words")
+    words = F.regexp_extract_all(F.lower(notes.text_of(text)), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
     stops = F.array(*[F.lit(w) for w in stop])
     kept = F.filter(words, lambda w: ~F.array_contains(stops, w)) if stop else words
-    out = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        if n == 1:
-            out.append(kept)
-        else:
-            grams = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-            if n > 2:
-                raise ValueError("n-grams up to 2")
-            out.append(grams)
-    return F.concat(*out)
+    rest = F.greatest(F.size("__kept") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__kept", 1, rest), F.slice("__kept", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+    parts = ([F.col("__kept")] if ngrams[0] == 1 else []) + ([pairs] if ngrams[1] == 2 else [])
+    # The words are their own projection: used three times, they must be found only once.
+    return df.withColumn("__kept", kept).withColumn(out, F.concat(*parts)).drop("__kept")
 
 
 def tfidf_fit(
@@ -217,7 +214,7 @@ def tfidf_fit(
     """
     n = train.count()
     srt = F.col("__s")
-    marked = train.select(F.array_sort(terms_of(text, ngrams, stop)).alias("__s")).select(
+    marked = with_terms(train, text, "__t", ngrams, stop).select(F.sort_array("__t").alias("__s")).select(
         F.explode(
             F.transform(srt, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(srt, i - 1) == x), 0).otherwise(1).alias("new")))
         ).alias("e")
@@ -232,7 +229,7 @@ def tfidf_transform(
     df: DataFrame, id_col: str, text: str, vocabulary: DataFrame, ngrams: tuple[int, int] = (1, 2), stop: Sequence[str] = fixed.STOPWORDS_EN
 ) -> DataFrame:
     """Long (id, term, tfidf) with unit length per text. The vocabulary holds at most the fitted number of terms."""
-    rows = df.select(id_col, F.explode(terms_of(text, ngrams, stop)).alias("term"))
+    rows = with_terms(df, text, "__t", ngrams, stop).select(id_col, F.explode("__t").alias("term"))
     tf = rows.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     raw = tf.withColumn("__w", F.col("tf") * F.col("idf"))
     w = Window.partitionBy(id_col)  # at most as many rows per text as the vocabulary has terms

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import spread, tune
 
 
 class Query(NamedTuple):
@@ -32,6 +32,10 @@ class Tables:
         df = self.spark.read.parquet(self.path(name))
         return df.select(*cols) if cols else df
 
+    def text(self, name: str, *cols) -> DataFrame:
+        """Like a plain scan, for work that is heavy per row."""
+        return spread(self(name, *cols))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under an operator id."""
