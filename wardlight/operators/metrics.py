@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
@@ -122,21 +122,30 @@ def grid(lo: float, hi: float, step: float) -> list[float]:
 def threshold_table(df: DataFrame, label: str, score: str, thresholds: Sequence[float], fn_cost: float = 1.0) -> DataFrame:
     """Counts and metrics at every grid threshold; those that put all rows in one class are left out.
 
-    A row is counted once, in the cell between two thresholds; the running sums go over the grid only.
+    ``thresholds`` are evenly spaced. A row is counted once, in the cell between two of them; the
+    running sums go over the grid only.
     """
+    n_th, lo = len(thresholds), float(thresholds[0])
+    step = (float(thresholds[-1]) - lo) / max(n_th - 1, 1) or 1.0
     th = F.array(*[F.lit(float(x)) for x in thresholds])
-    passed = F.size(F.filter(th, lambda x: x <= F.col(score)))
-    cells = df.groupBy(passed.alias("cell")).agg(F.sum(flag(F.col(label) == 1)).alias("pos"), F.sum(flag(F.col(label) != 1)).alias("neg"))
-    packed = cells.agg(F.collect_list(F.struct("cell", "pos", "neg")).alias("c"))  # at most one entry per threshold, plus one
+    # The evenly spaced grid gives the cell by arithmetic; comparing with its own edges settles rounding.
+    guess = F.greatest(F.lit(0), F.least(F.lit(n_th), F.floor((F.col(score) - lo) / step).cast("int") + 1))
+    low_edge, high_edge = F.get(th, guess - 1), F.get(th, guess)
+    passed = guess + F.when(high_edge <= F.col(score), 1).when(low_edge > F.col(score), -1).otherwise(0)
+    y = flag(F.col(label) == 1)
+    cells = df.where(F.col(score).isNotNull()).groupBy(passed.cast("long").alias("cell")).agg(
+        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
+    )
     zero = F.lit(0).cast("long")
-
-    def part(field: str, cond) -> Column:
-        return F.aggregate(F.filter("c", cond), zero, lambda a, x: a + x[field])
-
-    steps = packed.select(F.posexplode(th).alias("i", "threshold"), "c").select(
-        "threshold",
-        part("pos", lambda x: x["cell"] > F.col("i")).alias("tp"), part("neg", lambda x: x["cell"] > F.col("i")).alias("fp"),
-        part("pos", lambda x: x["cell"] <= F.col("i")).alias("fn"), part("neg", lambda x: x["cell"] <= F.col("i")).alias("tn"),
+    every = df.sparkSession.range(n_th + 1).select(F.col("id").alias("cell"), zero.alias("pos"), zero.alias("neg"))
+    whole = Window.partitionBy(F.lit(1))  # one row per threshold
+    down = whole.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = cells.unionByName(every).groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(
+        "cell", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
+        F.sum("pos").over(whole).alias("p_all"), F.sum("neg").over(whole).alias("n_all"),
+    )
+    steps = counts.where("cell > 0").select(
+        F.element_at(th, F.col("cell").cast("int")).alias("threshold"), "tp", "fp", (F.col("p_all") - F.col("tp")).alias("fn"), (F.col("n_all") - F.col("fp")).alias("tn"),
     )
     p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
