@@ -155,28 +155,34 @@ def threshold_table(df: DataFrame, label: str, score: str, thresholds: Sequence[
     )
 
 
-def choose_threshold(table: DataFrame, strategy: str = "balanced", minimum: float = 0.6, target_recall: float = 0.8) -> DataFrame:
-    """One grid row by strategy; the lowest threshold wins ties."""
+def _merit(strategy: str, minimum: float, target_recall: float) -> list[Column]:
     p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
     worst = F.least(p, r, f1)
-    if strategy == "balanced":
-        ok = flag(worst >= minimum)
-        merit = [ok, F.when(ok == 1, f1).otherwise(worst)]
-    elif strategy in ("auto", "cost"):
-        merit = [-F.col("cost")]
-    elif strategy == "recall":
-        ok = flag(r >= target_recall)
-        merit = [ok, F.when(ok == 1, p).otherwise(r)]
-    elif strategy == "min_metric":
-        ok = flag(worst >= minimum)
-        merit = [ok, F.when(ok == 1, f1).otherwise(worst), f1]
-    elif strategy == "min_metric_accuracy":
-        merit = [F.least(p, r, f1, F.col("accuracy"))]
-    else:
-        merit = [f1]
-    keys = [F.round(m.cast("double"), 12).alias(f"m{i}") for i, m in enumerate(merit)]
-    best = F.max(F.struct(*keys, (-F.col("threshold")).alias("o"), *table.columns))
-    return table.agg(best.alias("b")).select(*[f"b.{c}" for c in table.columns])
+    enough = flag(worst >= minimum)
+    reached = flag(r >= target_recall)
+    return {
+        "balanced": [enough, F.when(enough == 1, f1).otherwise(worst)],
+        "auto": [-F.col("cost")],
+        "cost": [-F.col("cost")],
+        "recall": [reached, F.when(reached == 1, p).otherwise(r)],
+        "min_metric": [enough, F.when(enough == 1, f1).otherwise(worst), f1],
+        "min_metric_accuracy": [F.least(p, r, f1, F.col("accuracy"))],
+    }.get(strategy, [f1])
+
+
+def choose_thresholds(table: DataFrame, strategies: Sequence[str], minimum: float = 0.6, target_recall: float = 0.8) -> DataFrame:
+    """The chosen grid row per strategy, in one pass over the grid; the lowest threshold wins ties."""
+
+    def best(s: str) -> Column:
+        keys = [F.round(m.cast("double"), 12).alias(f"m{i}") for i, m in enumerate(_merit(s, minimum, target_recall))]
+        return F.max(F.struct(*keys, (-F.col("threshold")).alias("o"), *table.columns)).alias(f"b_{s}")
+
+    rows = F.array(*[F.struct(F.lit(s).alias("strategy"), *[F.col(f"b_{s}.{c}").alias(c) for c in table.columns]) for s in strategies])
+    return table.agg(*[best(s) for s in strategies]).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def choose_threshold(table: DataFrame, strategy: str = "balanced", minimum: float = 0.6, target_recall: float = 0.8) -> DataFrame:
+    return choose_thresholds(table, [strategy], minimum, target_recall).drop("strategy")
 
 
 def balanced_point(df: DataFrame, label: str, score: str, target: float = 0.7) -> DataFrame:

@@ -100,10 +100,8 @@ UNION ALL (SELECT 'recall', * FROM tt ORDER BY recall >= 0.8 DESC, round(CASE WH
 UNION ALL (SELECT 'grid', * FROM tt)) SELECT strategy, {OUT} FROM pick""")
 def _(t):
     table = metrics.threshold_table(scored(t), "y", "p", GRID, 4.0)
-    out = table.withColumn("strategy", F.lit("grid"))
-    for s in ("balanced", "cost", "f1", "recall"):
-        out = out.unionByName(metrics.choose_threshold(table, s).withColumn("strategy", F.lit(s)))
-    return r6(out)
+    picks = metrics.choose_thresholds(table, ["balanced", "cost", "f1", "recall"])
+    return r6(table.withColumn("strategy", F.lit("grid")).unionByName(picks))
 
 
 @query("K9_min_metric_threshold", f"""WITH {SCORED_SQL}, a AS (WITH {grid_sql(FINE, 1.0)} SELECT 'prf' AS kind, * FROM tt ORDER BY least(precision, recall, f1) >= 0.8 DESC,
