@@ -297,8 +297,9 @@ def risk_level(score: str | Column) -> Column:
 def code_matches(code: str | Column, prefixes: Sequence[str], exact: Sequence[str]) -> Column:
     c = F.replace(col(code), F.lit("."), F.lit(""))
     hit = F.lit(False)
-    if prefixes:
-        hit = hit | c.rlike("^(" + "|".join(prefixes) + ")")
+    # Prefixes of one length are one set lookup.
+    for n in sorted({len(p) for p in prefixes}):
+        hit = hit | F.substring(c, 1, n).isin([p for p in prefixes if len(p) == n])
     if exact:
         hit = hit | c.isin(list(exact))
     return hit

@@ -61,8 +61,8 @@ def tokens(c: str | Column) -> Column:
 
 def remove_stopwords(words: Column, language: str = "en", custom: Sequence[str] = ()) -> Column:
     base = fixed.STOPWORDS_VI if language.lower().startswith("vi") else fixed.STOPWORDS_EN
-    stop = F.array(*[F.lit(w) for w in [*base, *custom]])
-    return F.filter(words, lambda x: (x != "") & ~F.array_contains(stop, x))
+    stop = sorted({*base, *custom})
+    return F.filter(words, lambda x: (x != "") & ~x.isin(stop))
 
 
 def preprocess(c: str | Column, language: str = "en", custom: Sequence[str] = (), stopwords: bool = True) -> Column:

@@ -50,7 +50,7 @@ def concat_truncated(
     size = (F.length(text) + len(sep)).cast("long")
     run = prefix_sums(df, [key], bucket, [F.col(c) for c in order], {"__end": size, "__pos": F.lit(1).cast("long")})
     starts = F.col("__end") - size
-    few = run.where(starts < max_length)
+    few = run.where(starts < max_length + len(sep))  # a cut inside a separator still needs the note behind it
     joined = few.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.col(text).alias("x")))), lambda r: r["x"]), sep).alias("__t")
     )

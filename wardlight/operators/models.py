@@ -48,7 +48,7 @@ def bin_columns(edges: Mapping[str, Sequence[float]], pairs: Sequence[tuple[str,
 
     def one(f: str) -> Column:
         e = F.array(*[F.lit(float(x)) for x in edges[f]])
-        return F.coalesce(bin_by_edges(F.col(f).cast("double"), e, right_closed=False) + 1, F.lit(0))
+        return F.coalesce(bin_by_edges(F.col(f).cast("double"), e, False, len(edges[f]) - 1) + 1, F.lit(0))
 
     out = {f: one(f) for f in edges}
     for a, b in pairs:

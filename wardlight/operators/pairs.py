@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag
+from ..functions.exprs import flag, total
 from .ordered import grouped_quantiles
 
 # Number of feature names a pair list may hold; beyond it names are joined without broadcast.
@@ -42,23 +42,22 @@ def quantile_edges(long: DataFrame, feature: str, value: str, n_bins: int) -> Da
     return q.select(feature, F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in probs]))).alias("edges"))
 
 
-def bin_by_edges(value: str | Column, edges: str | Column, right_closed: bool) -> Column:
-    """0-based bin from ascending distinct edges (first and last are the extremes).
+def bin_by_edges(value: str | Column, edges: str | Column, right_closed: bool, n_bins: int) -> Column:
+    """0-based bin from at most n_bins + 1 ascending distinct edges (first and last are the extremes).
 
     ``right_closed`` puts a value equal to an edge in the lower bin; otherwise in the upper one, the
     maximum always staying in the last bin.
     """
     v = F.col(value) if isinstance(value, str) else value
     e = F.col(edges) if isinstance(edges, str) else edges
-    inner = F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0)))
-    above = F.filter(inner, lambda x: x < v) if right_closed else F.filter(inner, lambda x: x <= v)
-    return F.when(v.isNotNull(), F.size(above))
+    passed = total([flag((F.get(e, F.lit(i)) < v) if right_closed else (F.get(e, F.lit(i)) <= v)) for i in range(1, n_bins + 1)])
+    return F.when(v.isNotNull(), F.least(passed, F.greatest(F.size(e) - 2, F.lit(0))))
 
 
 def quantile_bin(long: DataFrame, feature: str, value: str, n_bins: int, right_closed: bool = False, keep_small: int = 0) -> DataFrame:
     """Adds ``bin`` (string). Features with at most ``keep_small`` distinct values keep the value itself."""
     edges = quantile_edges(long, feature, value, n_bins)
-    out = long.join(edges, feature, "left").withColumn("bin", bin_by_edges(value, "edges", right_closed).cast("string"))
+    out = long.join(edges, feature, "left").withColumn("bin", bin_by_edges(value, "edges", right_closed, n_bins).cast("string"))
     if keep_small:
         small = (
             long.where(F.col(value).isNotNull()).groupBy(feature, value).agg(F.lit(1).alias("__1"))
@@ -90,7 +89,7 @@ def pair_features(df: DataFrame, id_col: str, pairs: Sequence[tuple[str, str]],
     def code(c: str) -> Column:
         if c in numeric and distinct.get(c, 0) > n_bins:
             e = F.array(*[F.lit(float(x)) for x in edges[c]])
-            return bin_by_edges(F.col(c).cast("double"), e, right_closed=False).cast("string")
+            return bin_by_edges(F.col(c).cast("double"), e, False, len(edges[c]) - 1).cast("string")
         return F.col(c).cast("string")
 
     usable = [(k, a, b) for k, (a, b) in enumerate(pairs) if a in df.columns and b in df.columns]
@@ -121,7 +120,7 @@ def rank_interactions(
     plain = unpivot(df, [], v_cols, "v", "x")
     edges = quantile_edges(plain, "v", "x", n_bins)
     small = F.broadcast(edges) if len(v_cols) <= MAX_NAMES else edges
-    binned = long.join(small, "v").withColumn("bin", bin_by_edges("x", "edges", right_closed=True)).drop("edges")
+    binned = long.join(small, "v").withColumn("bin", bin_by_edges("x", "edges", True, n_bins)).drop("edges")
     r, x = F.col("__r"), F.col("x")
     terms = {"n": F.lit(1.0), "r": r, "rr": r * r, "x": x, "xx": x * x, "xr": x * r}
     sums = binned.groupBy("v", "bin").agg(

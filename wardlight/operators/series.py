@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import US_PER_HOUR, hours_between, micros
+from ..session import durable
 from .ordered import grouped_quantiles
 from .temporal import bin_index
 
@@ -204,6 +205,7 @@ def fill_population_median(df: DataFrame, concept: str, count: str, stats: Seque
 
     ``df`` is long: one row per entity and concept, absent ones included with null or 0 count.
     """
+    df = durable(df)  # read three times below: the series behind it are worked out once
     long = df.select(concept, F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(s).cast("double").alias("x")) for s in stats])).alias("p"))
     medians = grouped_quantiles(long.select(concept, F.col("p.s").alias("s"), F.col("p.x").alias("x")), [concept, "s"], "x", {"m": 0.5})
     per_concept = medians.groupBy(concept).agg(*[F.max(F.when(F.col("s") == s, F.col("m"))).alias(f"__m_{s}") for s in stats])
@@ -244,7 +246,7 @@ def bin_grid(entities: DataFrame, id_col: str, features: Sequence[str], bins: in
 def carry_bins(grid: DataFrame, id_col: str, feature: str, value: str, bins: str = "bin") -> DataFrame:
     """Carry the last bin forward per entity and feature, then the feature's overall median."""
     w = Window.partitionBy(id_col, feature).orderBy(bins).rowsBetween(Window.unboundedPreceding, 0)
-    carried = grid.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    carried = durable(grid.withColumn(value, F.last(value, ignorenulls=True).over(w)))
     medians = grouped_quantiles(carried, [feature], value, {"__m": 0.5})
     return carried.join(medians, feature, "left").withColumn(value, F.coalesce(F.col(value), F.col("__m"))).drop("__m")
 

