@@ -193,7 +193,7 @@ def with_terms(df: DataFrame, text: str, out: str, ngrams: tuple[int, int] = (1,
     """Lower-cased words of two or more characters without stop words, and their pairs, as an array."""
     if ngrams not in ((1, 1), (1, 2), (2, 2)):
         raise ValueError("n-grams of one or two words")
-    words = F.regexp_extract_all(F.lower(notes.text_of(text)), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(notes.text_of(text)), F.lit(r"(?U)\w{2,}"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
     rest = F.greatest(F.size("__kept") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__kept", 1, rest), F.slice("__kept", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))

@@ -134,7 +134,7 @@ s AS (SELECT source, sum(CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' '))
 SELECT source, n_words::BIGINT AS n_words, """ + ", ".join(
     f"k{i}::BIGINT AS k{i}, round(k{i} / (n_words + 1e-9), 6) AS k{i}_norm" for i in range(len(KEYWORDS))) + " FROM s")
 def _(t):
-    df = aggregates.keyword_counts(t.text("documents", "source", "text"), "source", "text", KEYWORDS)
+    df = aggregates.keyword_counts(t.heavy("documents", "source", "text"), "source", "text", KEYWORDS)
     cols = [x for i, k in enumerate(KEYWORDS) for x in (F.col(f"kw_{k}").alias(f"k{i}"), F.round(f"kw_{k}_norm", 6).alias(f"k{i}_norm"))]
     return df.select("source", "n_words", *cols)
 

@@ -31,7 +31,7 @@ def vitals(t: Tables):
     for n, e in VARS.items():
         c = F.expr(e).cast("double")
         cols.append((F.when(F.col("l_partkey") % ABSENT[n] != 0, c) if n in ABSENT else c).alias(n))
-    return t("lineitem").select(*KEY, *cols)
+    return t.heavy("lineitem").select(*KEY, *cols)
 
 
 def finish(df, out: dict, digits: int = 6):

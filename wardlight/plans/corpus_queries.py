@@ -43,7 +43,7 @@ walk(id, r, taken, kept) AS (
 fin AS (SELECT id, unnest(kept) AS r FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC) = 1)
 SELECT id, gram AS entity_norm, label AS entity_label, s::INTEGER AS start_char, e::INTEGER AS end_char FROM fin JOIN hits USING (id, r)""")
 def _(t):
-    c = t.text("conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    c = t.heavy("conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     out = corpus.dictionary_entities(c, "id", "text", terms(t), "term", "label", 3)
     return out.select("id", "entity_norm", "entity_label", "start_char", "end_char")
 
@@ -84,7 +84,7 @@ CONCEPT_SQL = "c AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS concept FR
 def concepts(t: Tables):
     low = F.lower("text")
     found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(" " + v)), F.lit(k)) for k, v in STEMS.items()]))
-    return t.text("documents", *DOC).select("doc_id", F.explode(found).alias("concept"))
+    return t.heavy("documents", *DOC).select("doc_id", F.explode(found).alias("concept"))
 
 
 @query("I19_bag_of_concepts", f"""WITH {CONCEPT_SQL}, f AS (SELECT concept FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT count(DISTINCT doc_id) FROM c))
@@ -151,7 +151,7 @@ voc AS (SELECT term, count(*) AS df, sum(tf) AS total, ln((1.0 + any_value(n.n))
 @query("I24_tfidf", f"""WITH {TFIDF_SQL}, r AS (SELECT doc_id, term, tf * idf AS w FROM cnt JOIN voc USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM r""")
 def _(t):
-    d = t.text("documents", "doc_id", "text", "lang")
+    d = t.heavy("documents", "doc_id", "text", "lang")
     voc = corpus.tfidf_fit(d.where("lang IN ('en', 'fr')"), "text")
     out = corpus.tfidf_transform(d, "doc_id", "text", voc)
     return out.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
@@ -163,13 +163,13 @@ u AS (SELECT doc_id, unnest(w) AS term, unnest(g[1:len(w)]) AS gap, generate_sub
 p AS (SELECT doc_id, term, sum(length(gap) + length(term)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u)
 SELECT doc_id, term, (e - length(term))::INTEGER AS start, e::INTEGER AS "end" FROM p SEMI JOIN vb USING (term)""")
 def _(t):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0))
     vocabulary = t("benchmark", "text").select(F.explode(words).alias("term")).distinct()
-    d = t.text("documents", "doc_id", "text", "lang", "source").where("lang = 'de' OR source = 'src3'").select("doc_id", "text")
+    d = t.heavy("documents", "doc_id", "text", "lang", "source").where("lang = 'de' OR source = 'src3'").select("doc_id", "text")
     return corpus.vocabulary_spans(d, "doc_id", "text", vocabulary).select("doc_id", "term", "start", "end")
 
 
 @query("I25_vocabulary_mark", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([\\pL\\pM\\pN\\p{{Pc}}]+)', chr(57344) || '\\1' || chr(57344), 'g'),
 chr(57344) || '((?i)the|der|les|tion|and)' || chr(57344), chr(57345) || '\\1</mark>', 'g'), chr(57344), '', 'g').replace(chr(57345), '<mark style="background-color: #ffeb3b; font-weight: bold;">')) AS m FROM documents""")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", F.md5(notes.mark_words("text", ["the", "der", "les", "tion", "and"])).alias("m"))
+    return t.heavy("documents", *DOC).select("doc_id", F.md5(notes.mark_words("text", ["the", "der", "les", "tion", "and"])).alias("m"))

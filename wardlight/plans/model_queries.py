@@ -144,7 +144,7 @@ def _(t):
 
 @query("J23_grid_search_cv")
 def _(t):
-    return models.grid_search_cv(order_frame(t), "o_orderkey", FEATURES, "y", {"coarse": {"n_bins": 3, "max_iter": 5}, "fine": {"n_bins": 6, "max_iter": 5}}, 2)
+    return models.grid_search_cv(order_frame(t), "o_orderkey", FEATURES, "y", {"coarse": {"n_bins": 3, "max_iter": 4}, "fine": {"n_bins": 6, "max_iter": 4}}, 2)
 
 
 @query("J24_batch_predict")
@@ -156,4 +156,22 @@ def _(t):
 
 @query("J30_modality_ablation")
 def _(t):
-    return models.modality_ablation(order_frame(t), "o_orderkey", "y", {"clinical": ["o_totalprice", "tax"], "text": ["n_lines", "qty"]}, PAIRS, max_iter=8)
+    return models.modality_ablation(order_frame(t), "o_orderkey", "y", {"clinical": ["o_totalprice", "tax"], "text": ["n_lines", "qty"]}, PAIRS, max_iter=5)
+
+
+@query("J8_smote")
+def _(t):
+    from ..operators import neighbors
+
+    e = t("embeddings").withColumn("y", flag(F.col("label") % 5 == 1))
+    return neighbors.smote(e, "vec_id", "y", "embedding", 5, 0.5)
+
+
+@query("J8_nearest_minority", """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label % 5 = 1),
+p AS (SELECT a.vec_id AS rep, b.vec_id AS neighbor, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2))) AS d FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY d, neighbor) AS rank FROM p) SELECT rep, neighbor, rank::INTEGER AS rank, round(d, 6) AS distance FROM r WHERE rank <= 5""")
+def _(t):
+    from ..operators import neighbors
+
+    points = neighbors.distinct_vectors(t("embeddings").where("label % 5 = 1"), "vec_id", "embedding").select("rep", "vec")
+    return neighbors.nearest_rows(points, 5, block_rows=40).select("rep", "neighbor", "rank", F.round("distance", 6).alias("distance"))

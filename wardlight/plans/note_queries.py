@@ -25,14 +25,14 @@ def md5(c):
 @query("I1_clean_text", f"""SELECT doc_id, md5({CLEAN_TEXT(RAW)}) AS m, 'd' AS kind FROM documents
 UNION ALL SELECT page_id, md5({CLEAN_TEXT('html')}), 'p' FROM pages""")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", md5(notes.clean_text(raw())).alias("m"), F.lit("d").alias("kind"))
-    p = t.text("pages", "page_id", "html").select(F.col("page_id").alias("doc_id"), md5(notes.clean_text("html")).alias("m"), F.lit("p").alias("kind"))
+    d = t.heavy("documents", *DOC).select("doc_id", md5(notes.clean_text(raw())).alias("m"), F.lit("d").alias("kind"))
+    p = t.heavy("pages", "page_id", "html").select(F.col("page_id").alias("doc_id"), md5(notes.clean_text("html")).alias("m"), F.lit("p").alias("kind"))
     return d.unionByName(p)
 
 
 @query("I2_clean_for_model", f"""SELECT doc_id, md5({squeeze(f"lower(regexp_replace(regexp_replace({RAW}, '\\[\\*\\*.*?\\*\\*\\]', ' ', 'g'), '[^a-zA-Z0-9.,;:%\\-()\\t-\\r \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '', 'g'))")}) AS m FROM documents""")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", md5(notes.clean_for_model(raw())).alias("m"))
+    return t.heavy("documents", *DOC).select("doc_id", md5(notes.clean_for_model(raw())).alias("m"))
 
 
 _TOK = f"""tok AS (SELECT doc_id, list_filter(string_split({squeeze("regexp_replace(" + squeeze("lower(text)") + ", '[^\\pL\\pM\\pN\\p{Pc}\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g')")}, ' '), lambda x: x <> '') AS w FROM documents)"""
@@ -42,7 +42,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS_EN) + ", 'tion']"
 @query("I3_preprocess", f"""WITH {_TOK} SELECT doc_id, len(w)::INTEGER AS n_tokens, len(list_filter(w, lambda x: NOT list_contains({_STOP}, x)))::INTEGER AS n_kept,
 md5(array_to_string(list_filter(w, lambda x: NOT list_contains({_STOP}, x)), ' ')) AS m FROM tok""")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", notes.preprocess("text", stopwords=False).alias("w"))
+    d = t.heavy("documents", *DOC).select("doc_id", notes.preprocess("text", stopwords=False).alias("w"))
     kept = notes.remove_stopwords(F.col("w"), "en", ["tion"])
     return d.select("doc_id", F.size("w").alias("n_tokens"), F.size(kept).alias("n_kept"), md5(F.array_join(kept, " ")).alias("m"))
 
@@ -67,25 +67,25 @@ md5(""" + squeeze("regexp_replace(regexp_replace('Name: X' || chr(10) || 'CHIEF
 def _(t):
     a = F.concat(F.lit("Sex: M\nService: "), "text", F.lit("\nx"))
     b = F.concat(F.lit("Name: X\nCHIEF COMPLAINT:\n"), "text")
-    return t.text("documents", *DOC).select("doc_id", md5(notes.strip_headers(a)).alias("m"), md5(notes.strip_line_headers(b)).alias("m_lines"))
+    return t.heavy("documents", *DOC).select("doc_id", md5(notes.strip_headers(a)).alias("m"), md5(notes.strip_line_headers(b)).alias("m_lines"))
 
 
 @query("I4_clean_note", f"""WITH c AS (SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({RAW}, '(?s)\\[\\*\\*.*?\\*\\*\\]', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')), '^{WS}+|{WS}+$', '', 'g') AS x FROM documents)
 SELECT doc_id, md5(x) AS m, md5({abbr_sql('x')}) AS m_expanded FROM c""")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", raw().alias("x"))
+    d = t.heavy("documents", *DOC).select("doc_id", raw().alias("x"))
     return d.select("doc_id", md5(notes.clean_note("x")).alias("m"), md5(notes.clean_note("x", fixed.ABBREVIATIONS_SHORT)).alias("m_expanded"))
 
 
 @query("I6_letters_only", """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z\\t-\\r ]', ' ', 'g'), '[\\t-\\r ]+', ' ', 'g'))) AS m FROM documents""")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", md5(notes.letters_only("text")).alias("m"))
+    return t.heavy("documents", *DOC).select("doc_id", md5(notes.letters_only("text")).alias("m"))
 
 
 @query("I7_text_stats", f"""WITH s AS (SELECT doc_id, text, list_filter(string_split({squeeze('text')}, ' '), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, length(text)::INTEGER AS n_chars, len(w)::INTEGER AS n_words, len(list_distinct(w))::INTEGER AS n_unique FROM s""")
 def _(t):
-    return t.text("documents", *DOC).select(
+    return t.heavy("documents", *DOC).select(
         "doc_id", F.length("text").alias("n_chars"), notes.word_count("text").alias("n_words"), notes.unique_words("text").alias("n_unique")
     )
 
@@ -96,12 +96,12 @@ def flags_sql(patterns) -> str:
 
 @query("I8_concept_flags", f"WITH d AS (SELECT doc_id, {MASK('text')} AS x FROM documents) SELECT doc_id, {flags_sql(fixed.CONCEPT_PATTERNS)} FROM d")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", *notes.pattern_flags("text", fixed.CONCEPT_PATTERNS))
+    return t.heavy("documents", *DOC).select("doc_id", *notes.pattern_flags("text", fixed.CONCEPT_PATTERNS))
 
 
 @query("I9_risk_keyword_flags", f"WITH d AS (SELECT doc_id, {MASK('text')} AS x, length(lower(text)) AS n FROM documents) SELECT doc_id, n::INTEGER AS nlp_note_length, {flags_sql(fixed.RISK_PATTERNS)} FROM d")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", F.length(F.lower("text")).alias("nlp_note_length"), *notes.pattern_flags("text", fixed.RISK_PATTERNS))
+    return t.heavy("documents", *DOC).select("doc_id", F.length(F.lower("text")).alias("nlp_note_length"), *notes.pattern_flags("text", fixed.RISK_PATTERNS))
 
 
 _PICK = {k: fixed.CONCEPT_PATTERNS[k] for k in ("nlp_myocardial_infarction", "nlp_dvt_pe", "nlp_surgery", "nlp_pain", "nlp_falls")} | {"word_the": r"\bthe\b|\bder\b|\bles?\b"}
@@ -113,14 +113,14 @@ s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, featur
 
 @query("I10_concept_positions", POSITIONS_SQL + "SELECT doc_id, feature, (e - length(hit))::INTEGER AS start, e::INTEGER AS \"end\", substring(text, (e - length(hit) + 1)::BIGINT, length(hit)) AS hit FROM s")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", F.explode(spans.concept_positions("text", _PICK, 5)).alias("s"))
+    d = t.heavy("documents", *DOC).select("doc_id", F.explode(spans.concept_positions("text", _PICK, 5)).alias("s"))
     return d.select("doc_id", "s.feature", "s.start", "s.end", F.col("s.text").alias("hit"))
 
 
 @query("I11_concept_matches", "WITH d AS (SELECT doc_id, " + MASK("text") + " AS x FROM documents) SELECT doc_id, " + ", ".join(
     f"array_to_string(regexp_extract_all(x, '{p}')[1:3], '|') AS {n}" for n, p in _PICK.items()) + " FROM d")
 def _(t):
-    return t.text("documents", *DOC).select("doc_id", *[F.array_join(notes.first_matches("text", p, 3), "|").alias(n) for n, p in _PICK.items()])
+    return t.heavy("documents", *DOC).select("doc_id", *[F.array_join(notes.first_matches("text", p, 3), "|").alias(n) for n, p in _PICK.items()])
 
 
 _SENT = """string_split_regex(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+')"""
@@ -132,7 +132,7 @@ SELECT doc_id, """ + ", ".join(
     f"max(CASE WHEN regexp_matches(s, '{notes.any_of(w)}') AND NOT regexp_matches(regexp_extract(s, '(?s)^(.*?)(?:{notes.any_of(w)})', 1), '{_NEG}') THEN 1 ELSE 0 END)::INTEGER AS {n}"
     for n, w in fixed.CONCEPT_GROUPS.items()) + " FROM s GROUP BY 1")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", notes.sentences("text").alias("s"))
+    d = t.heavy("documents", *DOC).select("doc_id", notes.sentences("text").alias("s"))
     return d.select("doc_id", *notes.concept_flags_negated("s"))
 
 
@@ -143,7 +143,7 @@ _CTX = "lower(substring(text, greatest(p - 51, 0) + 1, p - 1 + 5 + 50 - greatest
 w AS (SELECT doc_id, {MASK(_CTX)} AS x FROM d WHERE p > 0)
 SELECT doc_id, """ + ", ".join(f"regexp_matches(x, '{'|'.join(ps)}')::INTEGER AS is_{n}" for n, ps in fixed.CONTEXT_TRIGGERS.items()) + " FROM w")
 def _(t):
-    d = t.text("documents", *DOC).select("doc_id", F.concat("text", F.lit(" mother had no prior fever, rule out if possible. "), "text").alias("text"))
+    d = t.heavy("documents", *DOC).select("doc_id", F.concat("text", F.lit(" mother had no prior fever, rule out if possible. "), "text").alias("text"))
     d = d.withColumn("p", F.expr("instr(text, ' no ')")).where("p > 0")
     return d.select("doc_id", notes.context_window("text", F.col("p") - 1, F.col("p") + 4).alias("w")).select("doc_id", *notes.context_flags("w"))
 
@@ -178,7 +178,7 @@ d AS (SELECT doc_id, coalesce(avg(s), 0) AS s FROM l GROUP BY 1)
 SELECT source, round(avg(s), 6) AS polarity FROM documents JOIN d USING (doc_id) GROUP BY 1""")
 def _(t):
     s = notes.lexicon_mean(notes.tokens(notes.letters_only("text")), LEXICON)
-    return t.text("documents", "source", "text").select("source", s.alias("s")).groupBy("source").agg(F.round(F.avg("s"), 6).alias("polarity"))
+    return t.heavy("documents", "source", "text").select("source", s.alias("s")).groupBy("source").agg(F.round(F.avg("s"), 6).alias("polarity"))
 
 
 LEXICON = {"the": 0.5, "and": 0.2, "of": -0.4, "der": -0.1, "les": 0.3}
@@ -188,7 +188,7 @@ _D22 = ("nlp_kidney_injury", "nlp_cardiac_event", "nlp_fall", "nlp_withdrawal")
 @query("D22_keyword_agg", f"WITH d AS (SELECT source, {MASK('text')} AS x, length(text) AS n, doc_id % 3 - 1 AS s FROM documents) SELECT source, " + ", ".join(
     f"max(regexp_matches(x, '{fixed.RISK_PATTERNS[n]}')::INTEGER) AS {n}" for n in _D22) + ", round(avg(s), 6) AS nlp_sentiment_score, sum(n)::BIGINT AS nlp_note_length FROM d GROUP BY 1")
 def _(t):
-    d = t.text("documents", "doc_id", "source", "text")
+    d = t.heavy("documents", "doc_id", "source", "text")
     out = corpus.keyword_summary(d, "source", "text", {n: fixed.RISK_PATTERNS[n] for n in _D22}, F.col("doc_id") % 3 - 1)
     return out.withColumn("nlp_sentiment_score", F.round("nlp_sentiment_score", 6))
 

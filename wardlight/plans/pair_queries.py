@@ -20,7 +20,7 @@ LONG_SQL = """lg AS (SELECT 'quantity' AS f, l_quantity AS x FROM lineitem UNION
 
 
 def wide(t: Tables):
-    return t("lineitem").select(
+    return t.heavy("lineitem").select(
         *KEY, F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
         F.col("l_linenumber").cast("double").alias("line"), (F.col("l_partkey") % 2).cast("double").alias("half"), F.col("l_returnflag").alias("ret"),
     )
@@ -74,7 +74,7 @@ def pair_frame(t: Tables):
     vs = [F.expr(c).cast("double").alias(n) for n, c in V_COLS.items()]
     late = F.when(F.col("l_linestatus") == "F", F.col("l_quantity") / 500.0).otherwise(0.0)
     r = flag(F.col("l_returnflag") == "R") - 0.3 + (F.col("l_partkey") % 100) / 1000.0 + late
-    return t("lineitem").select(*ts, *vs, r.alias("r"))
+    return t.heavy("lineitem").select(*ts, *vs, r.alias("r"))
 
 
 @query("J16_rank_interactions", f"""WITH {RANK_SQL} SELECT v AS vital_feature, t AS nlp_feature, round(0.4 * d + 0.4 * f + 20 * abs(c0 - c1), 5) AS interaction_score, round(d, 5) AS residual_diff_score,

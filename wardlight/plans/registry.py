@@ -32,7 +32,7 @@ class Tables:
         df = self.spark.read.parquet(self.path(name))
         return df.select(*cols) if cols else df
 
-    def text(self, name: str, *cols) -> DataFrame:
+    def heavy(self, name: str, *cols) -> DataFrame:
         """Like a plain scan, for work that is heavy per row."""
         return spread(self(name, *cols))
 

@@ -143,8 +143,10 @@ def read_interaction_list(spark: SparkSession, path: str, top_n: int | None = No
 
 def passing_runs(runs: DataFrame, threshold: float = 0.5, strict: bool = False, file: str = "file") -> DataFrame:
     """Folders of the runs whose precision, recall and F1 all reach (or exceed) the threshold."""
-    worst = F.least(*[F.col(c).try_cast("double") for c in ("precision", "recall", "f1")])
-    known = F.col("precision").isNotNull() & F.col("recall").isNotNull() & F.col("f1").isNotNull()
+    numbers = [F.col(c).try_cast("double") for c in ("precision", "recall", "f1")]
+    worst = F.least(*numbers)
+    # least() skips nulls, so an unreadable metric must be ruled out on its own.
+    known = numbers[0].isNotNull() & numbers[1].isNotNull() & numbers[2].isNotNull()
     good = worst > threshold if strict else worst >= threshold
     folder = F.regexp_replace(F.trim(F.col(file)), r"/[^/]*$", "")
     return runs.where(known & good & (F.trim(F.col(file)) != "")).select(folder.alias("dir")).distinct()
