@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .exprs import col, flag, sql_regex, total
+from .exprs import col, flag, sql_regex
 
 WS = r"(?U)\s+"
 
@@ -225,7 +225,3 @@ def lexicon_mean(words: Column, lexicon: Mapping[str, float]) -> Column:
     hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
     sum_ = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(hits) > 0, sum_ / F.size(hits)).otherwise(0.0)
-
-
-def count_flags(cols: Sequence[Column]) -> Column:
-    return total(list(cols))

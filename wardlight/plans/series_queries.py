@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import days_between, hours_between
 from ..operators import ordered, series, temporal
 from .registry import Tables, query
 
