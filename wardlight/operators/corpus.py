@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, notes
-from ..functions.exprs import col
 from ..functions.spans import word_spans
 from .aggregates import concept_frequency, majority_value, pivot_counts
 
 # A matrix wider than this is left in long form by the callers that would pivot it.
 MAX_COLUMNS = 5_000
 
+# explode() makes the optimizer test the array for emptiness first, which works a costly array out
+# again; explode_outer() does not, and the joins or filters behind it drop its null rows.
+
 
 def keyword_summary(df: DataFrame, key: str, text: str, patterns: Mapping[str, str], polarity: Column) -> DataFrame:
     """Per key: max of every pattern flag, mean polarity, sum of note lengths."""
@@ -42,7 +44,7 @@ def dictionary_entities(df: DataFrame, id_col: str, text: str, terms: DataFrame,
             ),
         )
 
-    every = words.select(id_col, F.explode(F.concat(*[grams(n) for n in range(1, max_words + 1)])).alias("g")).select(id_col, "g.*")
+    every = words.select(id_col, F.explode_outer(F.concat(*[grams(n) for n in range(1, max_words + 1)])).alias("g")).select(id_col, "g.*")
     table = terms.select(
         F.array_join(F.regexp_extract_all(F.lower(F.col(term)), F.lit(r"(?U)(\w+)"), F.lit(1)), " ").alias("gram"), F.col(label).alias("entity_label")
     ).where("gram <> ''").groupBy("gram").agg(F.min("entity_label").alias("entity_label"))
@@ -58,7 +60,7 @@ def dictionary_entities(df: DataFrame, id_col: str, text: str, terms: DataFrame,
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(h)))
 
     # Only one text's own mentions are folded here.
-    kept = hits.select(id_col, F.explode(F.aggregate("__h", F.array().cast(kept_type), add)).alias("h"))
+    kept = hits.select(id_col, F.explode_outer(F.aggregate("__h", F.array().cast(kept_type), add)).alias("h")).where("h IS NOT NULL")
     return kept.select(
         id_col, F.col("h.gram").alias("entity_norm"), "h.entity_label", "h.start_char", "h.end_char"
     ).join(df.select(id_col, text), id_col).select(
@@ -214,11 +216,11 @@ def tfidf_fit(
     n = train.count()
     srt = F.col("__s")
     marked = with_terms(train, text, "__t", ngrams, stop).select(F.sort_array("__t").alias("__s")).select(
-        F.explode(
+        F.explode_outer(
             F.transform(srt, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(srt, i - 1) == x), 0).otherwise(1).alias("new")))
         ).alias("e")
     )
-    counts = marked.groupBy(F.col("e.term").alias("term")).agg(F.sum("e.new").alias("df"), F.count("*").alias("total"))
+    counts = marked.where("e IS NOT NULL").groupBy(F.col("e.term").alias("term")).agg(F.sum("e.new").alias("df"), F.count("*").alias("total"))
     inside = counts.where((F.col("df") >= min_df * n) & (F.col("df") <= max_df * n))
     top = inside.orderBy(F.desc("total"), "term").limit(max_features)
     return top.withColumn("idf", F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
@@ -227,9 +229,16 @@ def tfidf_fit(
 def tfidf_transform(
     df: DataFrame, id_col: str, text: str, vocabulary: DataFrame, ngrams: tuple[int, int] = (1, 2), stop: Sequence[str] = fixed.STOPWORDS_EN
 ) -> DataFrame:
-    """Long (id, term, tfidf) with unit length per text. The vocabulary holds at most the fitted number of terms."""
-    rows = with_terms(df, text, "__t", ngrams, stop).select(id_col, F.explode("__t").alias("term"))
-    tf = rows.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    """Long (id, term, tfidf) with unit length per text.
+
+    The fitted terms (a fixed number) come to the driver once; texts keep only these before they are
+    exploded.
+    """
+    fitted = vocabulary.select("term", "idf").collect()
+    known = df.sparkSession.createDataFrame(fitted, "term string, idf double")
+    hits = F.filter("__t", lambda x: x.isin([r["term"] for r in fitted]))
+    rows = with_terms(df, text, "__t", ngrams, stop).select(id_col, hits.alias("__t")).select(id_col, F.explode_outer("__t").alias("term"))
+    tf = rows.groupBy(id_col, "term").agg(F.count("*").alias("tf")).join(F.broadcast(known), "term")
     raw = tf.withColumn("__w", F.col("tf") * F.col("idf"))
     w = Window.partitionBy(id_col)  # at most as many rows per text as the vocabulary has terms
     return raw.select(id_col, "term", (F.col("__w") / F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(w))).alias("tfidf"))
@@ -237,7 +246,7 @@ def tfidf_transform(
 
 def vocabulary_spans(df: DataFrame, id_col: str, text: str, vocabulary: DataFrame, term: str = "term") -> DataFrame:
     """Positions of vocabulary words, one row per occurrence."""
-    spans = df.select(id_col, text, F.explode(word_spans()(F.col(text))).alias("s")).select(
+    spans = df.select(id_col, F.explode_outer(word_spans()(F.col(text))).alias("s")).select(
         id_col, F.col("s.word").alias(term), F.col("s.start").alias("start"), F.col("s.end").alias("end")
     )
     return spans.join(vocabulary.select(term).distinct(), term, "left_semi")

@@ -164,7 +164,7 @@ p AS (SELECT doc_id, term, sum(length(gap) + length(term)) OVER (PARTITION BY do
 SELECT doc_id, term, (e - length(term))::INTEGER AS start, e::INTEGER AS "end" FROM p SEMI JOIN vb USING (term)""")
 def _(t):
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0))
-    vocabulary = t("benchmark", "text").select(F.explode(words).alias("term")).distinct()
+    vocabulary = t("benchmark", "text").select(F.explode_outer(words).alias("term")).where("term IS NOT NULL").distinct()
     d = t.heavy("documents", "doc_id", "text", "lang", "source").where("lang = 'de' OR source = 'src3'").select("doc_id", "text")
     return corpus.vocabulary_spans(d, "doc_id", "text", vocabulary).select("doc_id", "term", "start", "end")
 

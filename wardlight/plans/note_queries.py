@@ -113,7 +113,7 @@ s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, featur
 
 @query("I10_concept_positions", POSITIONS_SQL + "SELECT doc_id, feature, (e - length(hit))::INTEGER AS start, e::INTEGER AS \"end\", substring(text, (e - length(hit) + 1)::BIGINT, length(hit)) AS hit FROM s")
 def _(t):
-    d = t.heavy("documents", *DOC).select("doc_id", F.explode(spans.concept_positions("text", _PICK, 5)).alias("s"))
+    d = t.heavy("documents", *DOC).select("doc_id", F.explode_outer(spans.concept_positions("text", _PICK, 5)).alias("s")).where("s IS NOT NULL")
     return d.select("doc_id", "s.feature", "s.start", "s.end", F.col("s.text").alias("hit"))
 
 
