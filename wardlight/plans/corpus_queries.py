@@ -158,15 +158,14 @@ def _(t):
 
 
 @query("I25_vocabulary_highlight", f"""WITH vb AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM benchmark),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TERM}') AS w, string_split_regex(lower(text), '{_TERM}') AS g FROM documents WHERE lang = 'de' OR source = 'src3'),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_TERM}') AS w, string_split_regex(lower(text), '{_TERM}') AS g FROM documents),
 u AS (SELECT doc_id, unnest(w) AS term, unnest(g[1:len(w)]) AS gap, generate_subscripts(w, 1) AS i FROM d),
 p AS (SELECT doc_id, term, sum(length(gap) + length(term)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u)
 SELECT doc_id, term, (e - length(term))::INTEGER AS start, e::INTEGER AS "end" FROM p SEMI JOIN vb USING (term)""")
 def _(t):
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0))
     vocabulary = t("benchmark", "text").select(F.explode_outer(words).alias("term")).where("term IS NOT NULL").distinct()
-    d = t.heavy("documents", "doc_id", "text", "lang", "source").where("lang = 'de' OR source = 'src3'").select("doc_id", "text")
-    return corpus.vocabulary_spans(d, "doc_id", "text", vocabulary).select("doc_id", "term", "start", "end")
+    return corpus.vocabulary_spans(t.heavy("documents", *DOC), "doc_id", "text", vocabulary).select("doc_id", "term", "start", "end")
 
 
 @query("I25_vocabulary_mark", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([\\pL\\pM\\pN\\p{{Pc}}]+)', chr(57344) || '\\1' || chr(57344), 'g'),

@@ -134,9 +134,9 @@ def _(t):
 
 
 @query("C16_left_join_fill", """SELECT doc_id, coalesce(round(embedding[3]::DOUBLE, 6), 0.0) AS x3, coalesce(len(embedding), 64)::INTEGER AS dim
-FROM documents LEFT JOIN embeddings ON doc_id = vec_id AND label % 2 = 0""")
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
 def _(t):
-    emb = t("embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+    emb = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     filled = F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
     df = t("documents", "doc_id").join(emb, "doc_id", "left").withColumn("embedding", filled)
     return df.select("doc_id", F.round(F.col("embedding")[2].cast("double"), 6).alias("x3"), F.size("embedding").alias("dim"))

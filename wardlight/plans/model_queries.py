@@ -41,10 +41,10 @@ def _(t):
     return models.score_ensemble(bins(t).drop("y"), shapes(t), "id").withColumn("pred_proba", F.round("pred_proba", 6))
 
 
-@query("J20_soft_vote", f"""WITH {BINS_SQL}, o AS (SELECT o_orderkey AS id, (o_custkey % 100) / 100.0 AS p2 FROM orders WHERE o_orderkey % 3 <> 0)
+@query("J20_soft_vote", f"""WITH {BINS_SQL}, o AS (SELECT o_orderkey AS id, (o_custkey % 100) / 100.0 AS p2 FROM orders)
 SELECT id, round((0.75 * p + 0.25 * p2), 6) AS pred_proba FROM pr JOIN o USING (id)""")
 def _(t):
-    other = t("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 100) / 100.0).alias("pred_proba"))
+    other = t("orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 100) / 100.0).alias("pred_proba"))
     out = models.soft_vote([models.score_ensemble(bins(t).drop("y"), shapes(t), "id"), other], "id", weights=[3, 1])
     return out.withColumn("pred_proba", F.round("pred_proba", 6))
 
@@ -149,8 +149,10 @@ def _(t):
 
 @query("J24_batch_predict")
 def _(t):
-    df = order_frame(t)
-    m = models.fit_additive(df.where("o_orderkey % 2 = 0"), FEATURES, "y", n_bins=5, max_iter=10)
+    from ..operators import sampling
+
+    df = sampling.stratified_split(order_frame(t), "o_orderkey", "y", 0.2)
+    m = models.fit_additive(df.where("is_test = 0"), FEATURES, "y", n_bins=5, max_iter=10)
     return models.batch_predict(df, "o_orderkey", m, 0.3)
 
 
@@ -163,15 +165,15 @@ def _(t):
 def _(t):
     from ..operators import neighbors
 
-    e = t("embeddings").withColumn("y", flag(F.col("label") % 5 == 1))
+    e = t("embeddings").withColumn("y", flag(F.col("label") <= 1))
     return neighbors.smote(e, "vec_id", "y", "embedding", 5, 0.5)
 
 
-@query("J8_nearest_minority", """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label % 5 = 1),
+@query("J8_nearest_minority", """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label <= 1),
 p AS (SELECT a.vec_id AS rep, b.vec_id AS neighbor, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2))) AS d FROM m a JOIN m b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY d, neighbor) AS rank FROM p) SELECT rep, neighbor, rank::INTEGER AS rank, round(d, 6) AS distance FROM r WHERE rank <= 5""")
 def _(t):
     from ..operators import neighbors
 
-    points = neighbors.distinct_vectors(t("embeddings").where("label % 5 = 1"), "vec_id", "embedding").select("rep", "vec")
+    points = neighbors.distinct_vectors(t("embeddings").where("label <= 1"), "vec_id", "embedding").select("rep", "vec")
     return neighbors.nearest_rows(points, 5, block_rows=40).select("rep", "neighbor", "rank", F.round("distance", 6).alias("distance"))

@@ -67,15 +67,15 @@ def _(t):
     return sampling.cv_weights(t("labels", "doc_id", "toxic"), "toxic").select("doc_id", F.round("weight", 6).alias("weight"))
 
 
-@query("J12_impute_encode", """WITH tr AS (SELECT * FROM orders WHERE o_orderkey % 4 <> 0), m AS (SELECT median(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) AS med FROM tr),
-v AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS code FROM (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'MISSING' ELSE o_orderpriority END AS x FROM tr WHERE o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW'))
+@query("J12_impute_encode", """WITH tr AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT median(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) AS med FROM tr),
+v AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS code FROM (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'MISSING' ELSE o_orderpriority END AS x FROM tr))
 SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, med), 2) AS price,
 coalesce((SELECT code FROM v WHERE x = CASE WHEN o_orderkey % 5 = 0 THEN 'MISSING' WHEN o_orderkey % 11 = 0 THEN 'new' ELSE o_orderpriority END), -1)::INTEGER AS priority FROM orders, m""")
 def _(t):
     o = t("orders", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
     missing = F.col("o_orderkey") % 5 == 0
-    train = o.where("o_orderkey % 4 <> 0").select("o_orderkey", price.alias("price"), F.when(~missing, F.col("o_orderpriority")).alias("priority"))
+    train = o.where("o_orderstatus <> 'P'").select("o_orderkey", price.alias("price"), F.when(~missing, F.col("o_orderpriority")).alias("priority"))
     raw = F.when(missing, None).when(F.col("o_orderkey") % 11 == 0, "new").otherwise(F.col("o_orderpriority"))
     out = sampling.impute_encode(train, o.select("o_orderkey", price.alias("price"), raw.alias("priority")), ["price"], ["priority"])
     return out.select("o_orderkey", F.round("price", 2).alias("price"), F.col("priority").cast("int"))
