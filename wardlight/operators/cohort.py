@@ -25,7 +25,7 @@ def coerce_timestamp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def standardize_ids(df: DataFrame, exact_ids: bool = False, ids: Sequence[str] = ("subject_id", "hadm_id", "icustay_id")) -> DataFrame:
-    """Upper-case id columns. Without ``exact_ids`` any name containing "id" counts, as in the original files."""
+    """Upper-case id columns. Without ``exact_ids`` any name containing "id" counts."""
     hit = (lambda c: c.lower() in ids) if exact_ids else (lambda c: "id" in c.lower())
     return df.toDF(*[c.upper() if hit(c) else c for c in df.columns])
 
