@@ -79,14 +79,19 @@ def concat_unique(df: DataFrame, key: str, bucket_of: Column, order: str, text:
 def priority_concat(
     df: DataFrame, key: str, category: str, order: str, text: str, priority: Sequence[str], sep: str = "\n\n---\n\n", max_length: int = 10_000
 ) -> DataFrame:
-    """Notes by category priority, then the remaining categories by first appearance; cut at ``max_length``."""
+    """Notes by category priority, then the remaining categories by first appearance; cut at ``max_length``.
+
+    ``order`` is numeric (a turn, or a time in microseconds).
+    """
     ranks = F.array(*[F.lit(c) for c in priority])
     place = F.array_position(ranks, F.col(category))
     first = df.groupBy(key, category).agg(F.min(order).alias("__first"))
     ranked = df.join(first, [key, category]).withColumn("__rank", F.when(place > 0, place).otherwise(F.lit(len(priority) + 1)))
-    ranked = ranked.withColumn("__late", F.when(F.col("__rank") > len(priority), F.col("__first")).otherwise(F.lit(None)))
+    ranked = ranked.withColumn("__late", F.when(F.col("__rank") > len(priority), F.col("__first")).otherwise(F.lit(0)))
+    # A category with very many notes is cut into stretches of its numeric order as well.
+    bucket = F.struct("__rank", "__late", F.col(category), F.floor(F.col(order) / 1024).alias("__stretch"))
     return concat_truncated(
-        ranked.select(key, "__rank", "__late", category, order, text), key, F.col("__rank"), ["__rank", "__late", category, order], text, sep, max_length
+        ranked.select(key, "__rank", "__late", category, order, text), key, bucket, ["__rank", "__late", category, order], text, sep, max_length
     )
 
 
