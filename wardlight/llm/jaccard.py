@@ -35,6 +35,8 @@ BANDS, ROWS = 6, 2
 TOKENS_A_TASK = 2_000_000
 #: a bucket up to this size gives all its pairs at once (at most 496); larger ones are starred first
 SMALL_BUCKET = 32
+#: frequent shingles of a prefix that are paired; with more, they are indexed alone
+MOST_PAIRED = 40
 
 
 def _alpha(n):
@@ -228,23 +230,28 @@ def _between(sets: DataFrame, comps: DataFrame) -> DataFrame:
     return ids.join(some, "id")
 
 
-def _index(sets: DataFrame, left: DataFrame, demoted: DataFrame | None = None) -> DataFrame:
-    """(sig, id, n, component, c2): single rare shingles and pairs of frequent ones of every prefix."""
+def _index(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(sig, id, n, component): single rare shingles and pairs of frequent ones of every prefix.
+
+    The frequency of a shingle is the number of components that hold it. Shingles of one component come first
+    in the order and need no entry; k is 2 throughout. Where a prefix holds very many frequent shingles their
+    pairs would be too many: those shingles are indexed alone, in every set.
+    """
     rows = sets.select("id", F.explode("tokens").alias("token")).join(left.select("id", "component"), "id")
-    stats = keep(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df"))
-    if demoted is not None:
-        stats = keep(stats.join(demoted.withColumn("single", F.lit(True)), "token", "left"))
-    else:
-        stats = stats.withColumn("single", F.lit(None).cast("boolean"))
-    own = rows.join(stats, "token").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "token", "single"))).alias("t"))
-    own = own.join(left, "id")
-    # shingles that no other component holds come first in the order and need no entry; k = 2 throughout
+    stats = rows.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    stats = keep(stats)
+    own = rows.join(stats, "token").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
     length = "cast(greatest(0, n - (n * 3 + 3) div 4 + 2 - (n - size(t))) as int)"
-    own = own.withColumn("t", F.expr(f"slice(t, 1, {length})"))
-    own = own.withColumn("rare", F.expr(f"filter(t, x -> x.df <= {RARE} or x.single)")).withColumn("often", F.expr(f"filter(t, x -> x.df > {RARE} and x.single is null)"))
-    single = F.expr("transform(rare, x -> xxhash64(x.token))")
-    double = F.expr("flatten(transform(often, (x, i) -> transform(slice(often, i + 2, greatest(size(often) - i - 1, 0)), y -> xxhash64(least(x.token, y.token), greatest(x.token, y.token)))))")
-    return own.select("id", "n", "component", "often", F.explode(F.concat(single, double)).alias("sig"))
+    own = keep(own.join(left, "id").select("id", "n", "component", F.expr(f"slice(t, 1, {length})").alias("t")))
+    entries = own.select("id", F.explode("t").alias("x")).select("id", "x.*")
+    many = entries.where(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("c2")).where(F.col("c2") > MOST_PAIRED).select("id")
+    alone = keep(entries.where(F.col("df") > RARE).join(many, "id").select("token").distinct())
+    entries = entries.join(alone.withColumn("alone", F.lit(True)), "token", "left")
+    single = entries.where((F.col("df") <= RARE) | F.col("alone")).select("id", F.xxhash64("token").alias("sig"))
+    often = entries.where((F.col("df") > RARE) & F.col("alone").isNull()).groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("o"))
+    double = F.expr("flatten(transform(o, (x, i) -> transform(slice(o, i + 2, greatest(size(o) - i - 1, 0)), y -> xxhash64(x, y))))")
+    sigs = single.unionByName(often.select("id", F.explode(double).alias("sig")))
+    return sigs.join(own.select("id", "n", "component"), "id")
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -274,13 +281,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     comps = keep(components(links, "a", "b"))
     left = keep(_between(sets, comps))
     rest = keep(sets.join(left.select("id"), "id").select("id", "n", "tokens"))
-    buckets = _index(rest, left)
-    # a set with very many frequent shingles in its prefix would make too many pairs: those shingles go single
-    heavy = buckets.where(F.size("often") > 64).select(F.explode("often.token").alias("token")).distinct()
-    heavy = keep(heavy)
-    if heavy.limit(1).count():
-        buckets = _index(rest, left, heavy)
-    buckets = keep(buckets.select("sig", "id", "n", "component").distinct())
+    buckets = keep(_index(rest, left))
     sizes = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     sizes = keep(sizes.select("sig", "m"))
     buckets = keep(buckets.join(sizes, "sig"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
+from . import decontam, jaccard, neardup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,7 +27,124 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("op4_ngram_jaccard_join")
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+OP2_SQL = """
+WITH v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+),
+l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach AS r JOIN l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
+    least(e.vec_id, coalesce(c.c, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.c, e.vec_id) AS kept
+FROM embeddings AS e LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS c ON c.a = e.vec_id
+""".replace("WITH v", "WITH RECURSIVE v", 1)
+
+
+@query("op2_embedding_near_dedup", OP2_SQL)
+def op2(spark, sf_dir):
+    found = neardup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+#: lower-cases A-Z only, as the operators do
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY 1, 2
+),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach AS r JOIN l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS c ON c.a = d.doc_id
+"""
+
+
+@query("op4_ngram_jaccard_join", OP4_SQL)
 def op4(spark, sf_dir):
     found = jaccard.similar(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op5_sharding")
+def op5(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def held_out(modulus: int, remainder: int):
+    """Whether a row's label is never learnt from: crc32 of its id as text, modulo ``modulus``."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def scored(found: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    found = found.withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    return quality.fit(docs, "doc_id", "text", labels.where(~held_out(4, 2)), "doc_id", "quality")
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(quality.score(docs, "doc_id", "text", quality_model(docs, table(spark, sf_dir, "labels"))), 4, 2)
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, "doc_id", "text", labels.where(~held_out(3, 1)), "doc_id", "toxic")
+    return scored(toxicity.score(docs, "doc_id", "text", model), 3, 1)
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+    FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+),
+dw AS (
+    SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+    FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+),
+hit AS (SELECT doc_id, item_id, i, dw.m FROM dw JOIN bw ON dw.g = bw.g AND dw.m = bw.m),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+    sha256(coalesce(t.items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op10_benchmark_decontamination", OP10_SQL)
+def op10(spark, sf_dir):
+    found = decontam.spans(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    hits = F.expr("aggregate(zip_with(starts, stops, (a, z) -> z - a), 0L, (x, y) -> x + y)")
+    names = F.array_distinct(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hits.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(names)), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
+    )
