@@ -32,11 +32,11 @@ from .words import SPACED, U64, mix, shingles, split, texts
 NUM, DEN = 3, 4
 RARE = 16
 BANDS, ROWS = 6, 2
-TOKENS_A_TASK = 2_000_000
 #: a bucket up to this size gives all its pairs at once (at most 496); larger ones are starred first
 SMALL_BUCKET = 32
 #: frequent shingles of a prefix that are paired; with more, they are indexed alone
 MOST_PAIRED = 40
+NARROWING = 3
 
 
 def _alpha(n):
@@ -206,9 +206,15 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _stars(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the smallest id of each bucket and its other rows."""
-    lead = keep(buckets.groupBy("sig").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("sig", "a"))
+def _stars(buckets: DataFrame, sets: DataFrame, centre: DataFrame) -> DataFrame:
+    """Links between the middle of each bucket and its other rows.
+
+    The middle is the set with the largest share of shingles that other sets hold too: among edited copies,
+    the one with the fewest edits, which most of them reach.
+    """
+    ranked = buckets.join(centre, "id")
+    lead = ranked.groupBy("sig").agg(F.max(F.struct("centre", (-F.col("id")).alias("id"))).alias("x"), F.count("*").alias("m")).where("m > 1")
+    lead = keep(lead.select("sig", (-F.col("x.id")).alias("a")))
     pairs = buckets.join(lead, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     return verify(pairs, sets)
 
@@ -230,8 +236,23 @@ def _between(sets: DataFrame, comps: DataFrame) -> DataFrame:
     return ids.join(some, "id")
 
 
+def _narrowed(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(id, n, component, v, alpha) of the sets of ``left`` that may still link with one of another component.
+
+    Such a link needs at least 3/7 of both sizes together in common, and never more than v, the number of a
+    set's shingles that another component holds. So v bounds the partner's size from above; the smallest set
+    with one of those shingles bounds it from below and gives alpha, the least overlap. That many shingles
+    must occur in sets of at most the upper size. What falls here takes its shingles out of the count.
+    """
+    rows = sets.select("id", F.explode("tokens").alias("token")).join(left.select("id", "n", "component"), "id")
+    stats = keep(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least"))
+    own = rows.join(stats, "token").groupBy("id", "n", "component").agg(F.collect_list("least").alias("l"))
+    own = own.withColumn("v", F.size("l").cast("long")).withColumn("alpha", F.expr("greatest((n * 3 + 3) div 4, (3 * (n + array_min(l)) + 6) div 7)"))
+    return own.where("size(filter(l, x -> 3 * (n + x) <= 7 * v)) >= alpha").select("id", "n", "component", "v", "alpha")
+
+
 def _index(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """(sig, id, n, component): single rare shingles and pairs of frequent ones of every prefix.
+    """(sig, id, n, component, v): single rare shingles and pairs of frequent ones of every prefix.
 
     The frequency of a shingle is the number of components that hold it. Shingles of one component come first
     in the order and need no entry; k is 2 throughout. Where a prefix holds very many frequent shingles their
@@ -241,8 +262,8 @@ def _index(sets: DataFrame, left: DataFrame) -> DataFrame:
     stats = rows.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     stats = keep(stats)
     own = rows.join(stats, "token").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
-    length = "cast(greatest(0, n - (n * 3 + 3) div 4 + 2 - (n - size(t))) as int)"
-    own = keep(own.join(left, "id").select("id", "n", "component", F.expr(f"slice(t, 1, {length})").alias("t")))
+    length = "cast(greatest(0, n - alpha + 2 - (n - size(t))) as int)"
+    own = keep(own.join(left, "id").select("id", F.expr(f"slice(t, 1, {length})").alias("t")))
     entries = own.select("id", F.explode("t").alias("x")).select("id", "x.*")
     many = entries.where(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("c2")).where(F.col("c2") > MOST_PAIRED).select("id")
     alone = keep(entries.where(F.col("df") > RARE).join(many, "id").select("token").distinct())
@@ -251,7 +272,7 @@ def _index(sets: DataFrame, left: DataFrame) -> DataFrame:
     often = entries.where((F.col("df") > RARE) & F.col("alone").isNull()).groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("o"))
     double = F.expr("flatten(transform(o, (x, i) -> transform(slice(o, i + 2, greatest(size(o) - i - 1, 0)), y -> xxhash64(x, y))))")
     sigs = single.unionByName(often.select("id", F.explode(double).alias("sig")))
-    return sigs.join(own.select("id", "n", "component"), "id")
+    return sigs.join(left.select("id", "n", "component", "v"), "id")
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -266,20 +287,25 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     some = sig.where("id is not null and n_shingles > 0")
     classes = keep(some.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
     total = sig.agg(F.sum(F.expr("n_shingles - (n_shingles * 3 + 3) div 4 + 1 + n_shingles div 8"))).first()[0] or 0
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // TOKENS_A_TASK + 1)
-    parts = 1 << (4 * tasks - 1).bit_length()
+    # small tasks while there are few of them, up to about 100 MB each on very large inputs
+    tokens_a_task = min(max(250_000, int(total) // 20_000), 4_000_000)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // tokens_a_task + 1)
+    parts = 1 << (2 * tasks - 1).bit_length()
     packed = _hash_prefixes(docs.where("id is not null"), "text", size, parts)
     # the part's number spreads the key space; part -1 (counts) is spread by its content
     packed = packed.repartition(tasks, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("keys")))
     shared = packed.mapInArrow(_shared, "set_key long, n long").groupBy("set_key").agg(F.sum("n").alias("shared"))
     need = F.expr("1 + ((n * 3 + 3) div 4) div 8")
-    live = keep(classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", F.col("rep").alias("id")))
+    live = keep(classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", F.col("rep").alias("id"), (F.col("shared") / F.col("n")).alias("centre")))
     found = docs.join(live.hint("shuffle_hash"), "id").select("id", "text", "set_key")
     sets = keep(_token_sets(found, size))
+    centre = live.select("id", "centre")
 
-    links = keep(_stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens")))
+    links = keep(_stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens"), centre))
     comps = keep(components(links, "a", "b"))
     left = keep(_between(sets, comps))
+    for _ in range(NARROWING):
+        left = keep(_narrowed(sets.join(left.select("id"), "id").select("id", "tokens"), left))
     rest = keep(sets.join(left.select("id"), "id").select("id", "n", "tokens"))
     buckets = keep(_index(rest, left))
     sizes = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
@@ -287,12 +313,12 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     buckets = keep(buckets.join(sizes, "sig"))
     big = buckets.where(F.col("m") > SMALL_BUCKET)
     if big.limit(1).count():
-        links = keep(links.unionByName(_stars(big.select("sig", "id"), rest)))
+        links = keep(links.unionByName(_stars(big.select("sig", "id"), rest, centre)))
         comps = keep(components(links, "a", "b"))
         buckets = keep(_labelled(buckets.drop("component"), comps))
-    one = buckets.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = buckets.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = one.join(two, "sig").where("ca < cb and 4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b").distinct()
+    one = buckets.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), F.col("component").alias("ca"))
+    two = buckets.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), F.col("component").alias("cb"))
+    pairs = one.join(two, "sig").where("ca < cb and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(va, vb) >= 3 * (na + nb)").select("a", "b").distinct()
     links = links.unionByName(verify(pairs, rest))
     comps = components(links, "a", "b")
 
