@@ -1,27 +1,74 @@
-"""A corpus pipeline out of the operators of wardlight.llm."""
+"""A corpus pipeline out of the operators of wardlight.llm.
+
+Each stage takes what the one before it kept. What one stage decides takes effect: rejected and repeated
+documents go, test passages leave the texts, personal data is replaced, and the last stage packs what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import jaccard
+from wardlight.llm import decontam, jaccard, packing, pii, quality
+from wardlight.llm.queries import quality_model, table
+from wardlight.llm.storage import keep
+
+ACCEPT = 0.7
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below ``ACCEPT`` go. Columns stay as they are."""
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, "text", model, ACCEPT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays: the one with the smallest id."""
     found = jaccard.similar(docs, "doc_id", "text")
     gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    twice = found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
+    twice = keep(twice.join(gone, "doc_id", "left_anti"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if twice.limit(1).count():  # rows that repeat one id are one document
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark leave the texts; ``n_chars`` follows."""
+    return decontam.cleaned(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes pseudonyms of the same format; ``n_chars`` follows."""
+    out = pii.pseudonymize(docs, "text", found_col="__found").drop("__found")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a text, with its sequence and place there."""
+    import public_tokenizers
+
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
+#: trained scores, tokenizers and keyed permutations cannot be said in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages; what each keeps is written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = keep(docs)
     return docs

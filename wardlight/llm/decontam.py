@@ -226,28 +226,20 @@ def _shard(t: Texts, phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], li
     )
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int, cut: bool) -> DataFrame:
-    spark = docs.sparkSession
-    carried = spark.sparkContext.broadcast(items)
+def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
+    carried = docs.sparkSession.sparkContext.broadcast(items)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases.of(carried.value, window)
         for b in batches:
             for t in texts(b.column(1), SHARD_BYTES):
                 n, starts, stops, found = _shard(t, phrases)
-                out = [
-                    b.column(0).slice(t.lo, t.hi - t.lo),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(starts, pa.list_(pa.int64())),
-                    pa.array(stops, pa.list_(pa.int64())),
-                    pa.array(found, pa.list_(pa.int64())),
-                ]
-                if cut:
-                    out.append(pa.array(_without(t, starts, stops), pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(t.lo, t.hi - t.lo), pa.array(n.astype(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, stops, found))],
+                    ["id", "n_words", "starts", "stops", "items"],
+                )
 
-    names = ["id", "n_words", "starts", "stops", "items"] + ["clean"] * cut
-    return docs.mapInArrow(rows, "id long, n_words long, starts array<long>, stops array<long>, items array<long>" + ", clean string" * cut)
+    return docs.mapInArrow(rows, "id long, n_words long, starts array<long>, stops array<long>, items array<long>")
 
 
 def _without(t: Texts, starts: list[np.ndarray], stops: list[np.ndarray]) -> list[str]:
@@ -265,27 +257,76 @@ def _without(t: Texts, starts: list[np.ndarray], stops: list[np.ndarray]) -> lis
     return out
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int = 10, clean: bool = False, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
+def _slices(benchmark: DataFrame, item_col: str, item_text: str, words_a_pass: int) -> Iterator[list[tuple[int, str]]]:
+    """The test set in parts of at most about ``words_a_pass`` words; one empty part if there is none."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    batch, weight, some = [], 0, False
+    for item, text in items.orderBy("item", "text").toLocalIterator():
+        batch.append((item, text))
+        weight += text.count(" ") + 1
+        if weight >= words_a_pass:
+            yield batch
+            batch, weight, some = [], 0, True
+    if batch or not some:
+        yield batch
+
+
+def cleaned(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int = 10, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
+    """``docs`` with all spans of test phrases removed from the text, until none is left.
+
+    All columns stay as they are but the text. Null stays null; an empty test set changes nothing.
+    """
+    at = docs.columns.index(text_col)
+    for items in _slices(benchmark, item_col, item_text, words_a_pass):
+        carried = docs.sparkSession.sparkContext.broadcast(items)
+
+        def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases.of(carried.value, window)
+            for b in batches:
+                changed: dict[int, str] = {}
+                for t in texts(b.column(at), SHARD_BYTES):
+                    _, starts, stops, _ = _shard(t, phrases)
+                    hit = [i for i, x in enumerate(starts) if len(x)]
+                    if hit:
+                        new = _without(t, starts, stops)
+                        changed |= {t.lo + i: new[i] for i in hit}
+                again = list(changed)
+                while again:  # what closes up may be a phrase again
+                    t = next(texts(pa.array([changed[i] for i in again], pa.string()), 1 << 60))
+                    _, starts, stops, _ = _shard(t, phrases)
+                    new = _without(t, starts, stops)
+                    hit = [j for j, x in enumerate(starts) if len(x)]
+                    changed |= {again[j]: new[j] for j in hit}
+                    again = [again[j] for j in hit]
+                if changed:
+                    body = b.column(at).to_pylist()
+                    for i, x in changed.items():
+                        body[i] = x
+                    columns = list(b.columns)
+                    columns[at] = pa.array(body, b.column(at).type)
+                    b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+                yield b
+
+        docs = docs.mapInArrow(rows, docs.schema)
+    return docs
+
+
+def spans(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int = 10, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
     """(id, n_words, starts, stops, items) per row of ``docs``: spans of words inside test windows, and the items.
 
-    ``clean`` adds the text without those spans (for one pass only). A window is ``window`` words in a row
+    A window is ``window`` words in a row
     of an item; a shorter item that has words is one window. Null and empty texts have no words and no
     spans; items without words or id occur nowhere; repeated items count once. The test set is read in
-    passes of bounded size: what a pass broadcasts is at most ``words_a_pass`` words, whatever its size.
+    passes of bounded size: what a pass broadcasts is at most
+    ``words_a_pass`` words, whatever its size; with several passes, rows of one id are one document.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    out, batch, weight = None, [], 0
-    for item, text in items.orderBy("item", "text").toLocalIterator():
-        batch.append((item, text))
-        weight += text.count(" ") + 1
-        if weight >= words_a_pass:
-            part = _pass(docs, batch, window, False)
-            out, batch, weight = part if out is None else out.unionByName(part), [], 0
-    if out is None:
-        return _pass(docs, batch, window, clean)
-    if batch:
-        out = out.unionByName(_pass(docs, batch, window, False))
+    passes = [_pass(docs, items, window) for items in _slices(benchmark, item_col, item_text, words_a_pass)]
+    if len(passes) == 1:
+        return passes[0]
+    out = passes[0]
+    for p in passes[1:]:
+        out = out.unionByName(p)
     merged = "aggregate(array_sort(flatten(collect_list(arrays_zip(starts, stops)))), cast(array() as array<struct<starts:bigint,stops:bigint>>), (a, x) -> case when size(a) > 0 and x.starts <= element_at(a, -1).stops then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).starts as starts, greatest(element_at(a, -1).stops, x.stops) as stops))) else concat(a, array(x)) end)"
     out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.expr(merged).alias("s"), F.expr("array_distinct(flatten(collect_list(items)))").alias("items"))
     return out.select("id", "n_words", F.col("s.starts").alias("starts"), F.col("s.stops").alias("stops"), "items")

@@ -244,3 +244,19 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(net.scores(features(t, vectors)).astype(np.float64))], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(compute, "id long, score double")
+
+
+def keep_good(docs: DataFrame, text_col: str, model: tuple[np.ndarray, Network], accept: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``accept``, with all their columns."""
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def rows(batches):
+        vectors, net = carried.value
+        for b in batches:
+            for t in texts(b.column(at)):
+                good = net.scores(features(t, vectors)) >= accept
+                if good.any():
+                    yield b.slice(t.lo, t.hi - t.lo).filter(pa.array(good))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, neardup, packing, quality, sharding, toxicity
+from . import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +57,13 @@ def op2(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+@query("op3_license_scans")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, "doc_id", "text", licenses.fit(docs, "doc_id", "text"))
+    return licenses.per_document(docs, "doc_id", found).withColumnRenamed("id", "doc_id")
+
+
 #: lower-cases A-Z only, as the operators do
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -112,6 +119,35 @@ def op6(spark, sf_dir):
     return scored(quality.score(docs, "doc_id", "text", quality_model(docs, table(spark, sf_dir, "labels"))), 4, 2)
 
 
+OP7_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(regexp_replace(role, '(\\\\|###|</turn>|:)', '#\\1', 'g')) + length(regexp_replace(text, '(\\\\|###|</turn>)', '#\\1', 'g')) + 14) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", OP7_SQL)
+def op7(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    # fields that are null stay in the record, so every row has the layout of a turn
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    records = turns.select("conv_id", "turn", record.alias("record"))
+    return chat.read_back(chat.format_chats(chat.canonical(records, "conv_id", "turn", "record"))).withColumnRenamed("id", "conv_id")
+
+
+@query("op8_pii")
+def op8(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

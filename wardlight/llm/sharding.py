@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import keep
@@ -38,8 +38,8 @@ def _mixed(x: int, c: int) -> int:
     return (t * t + c) % PRIME
 
 
-def permuted(number: str, n: int, seed: int) -> Column:
-    """The permuted number of a column of numbers 0 to n - 1."""
+def permuted(number: str, n: int, seed: int) -> str:
+    """SQL for the permuted number of an expression of numbers 0 to n - 1."""
     a, b = sides(n)
 
     def mixed(x: str) -> str:
@@ -57,7 +57,7 @@ def permuted(number: str, n: int, seed: int) -> Column:
     """
     # at most a numbers lie outside, so a walk has at most that many steps; beyond 64 it has no chance (a**-64)
     walk = f"aggregate(sequence(1, {min(a, 64) + 1}), cast({number} as bigint), (x, i) -> if(i > 1 and x < {n}, x, {step}))"
-    return F.expr(walk)
+    return walk
 
 
 def row_number(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
@@ -111,7 +111,7 @@ def shard(docs: DataFrame, id_col: str, text_col: str, shards: int = 8, seed: in
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     thin = keep(docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")))
     rows, n = number_rows(thin, ["id", "size", "text_crc32"], "number")
-    rows = rows.withColumn("p", permuted("number", n, seed))
+    rows = rows.withColumn("p", F.expr(permuted("number", n, seed)))
     return rows.select(
         "id", "size", "text_crc32", F.lit("rows").alias("law"), F.expr(f"cast(p % {shards} as int)").alias("shard"),
         F.expr(f"p div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
