@@ -324,5 +324,5 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
 
     by_set = keep(_labelled(classes.select("set_key", F.col("rep").alias("id")), comps).select("set_key", "component"))
     return sig.join(by_set, "set_key", "left").select(
-        "id", "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component")
+        "id", "n_shingles", "set_key", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component")
     )

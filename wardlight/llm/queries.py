@@ -36,9 +36,9 @@ def op1(spark, sf_dir):
 
 
 OP2_SQL = """
-WITH v AS (
+WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
 ),
 l AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -48,7 +48,7 @@ reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach AS r JOIN l ON l.a
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
     least(e.vec_id, coalesce(c.c, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.c, e.vec_id) AS kept
 FROM embeddings AS e LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS c ON c.a = e.vec_id
-""".replace("WITH v", "WITH RECURSIVE v", 1)
+"""
 
 
 @query("op2_embedding_near_dedup", OP2_SQL)
