@@ -21,14 +21,14 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
         return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _stars(pairs: DataFrame) -> bool:
     """Whether every node hangs on one root, and no root hangs on anything."""
-    upper = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    roots = pairs.select(F.col("v").alias("u"), F.lit(2).cast("long").alias("n")).distinct()
-    return upper.unionByName(roots).groupBy("u").agg(F.sum("n").alias("n")).where("n > 2 or n = 0").limit(1).count() == 0 and upper.where("n > 1").limit(1).count() == 0
+    ends = pairs.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("root")))
+    nodes = ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root"))
+    return nodes.where("hangs > 1 or hangs = 1 and root = 1").limit(1).count() == 0
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,4 +43,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not _stars(pairs):
         pairs = keep(_star(_star(pairs, small=False), small=True))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())

@@ -219,6 +219,11 @@ def _stars(buckets: DataFrame, sets: DataFrame, centre: DataFrame) -> DataFrame:
     return verify(pairs, sets)
 
 
+def _star_links(comps: DataFrame) -> DataFrame:
+    """Components as links again."""
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
     """ids with the component found so far; an id without links is its own."""
     return ids.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -236,43 +241,46 @@ def _between(sets: DataFrame, comps: DataFrame) -> DataFrame:
     return ids.join(some, "id")
 
 
-def _narrowed(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """(id, n, component, v, alpha) of the sets of ``left`` that may still link with one of another component.
+def _narrowed(left: DataFrame) -> DataFrame:
+    """(id, n, component, tokens, v, alpha) of the sets of ``left`` that may still link with one of another component.
 
     Such a link needs at least 3/7 of both sizes together in common, and never more than v, the number of a
     set's shingles that another component holds. So v bounds the partner's size from above; the smallest set
     with one of those shingles bounds it from below and gives alpha, the least overlap. That many shingles
     must occur in sets of at most the upper size. What falls here takes its shingles out of the count.
     """
-    rows = sets.select("id", F.explode("tokens").alias("token")).join(left.select("id", "n", "component"), "id")
+    rows = left.select("id", "n", "component", F.explode("tokens").alias("token"))
     stats = keep(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least"))
     own = rows.join(stats, "token").groupBy("id", "n", "component").agg(F.collect_list("least").alias("l"))
     own = own.withColumn("v", F.size("l").cast("long")).withColumn("alpha", F.expr("greatest((n * 3 + 3) div 4, (3 * (n + array_min(l)) + 6) div 7)"))
-    return own.where("size(filter(l, x -> 3 * (n + x) <= 7 * v)) >= alpha").select("id", "n", "component", "v", "alpha")
+    own = own.where("size(filter(l, x -> 3 * (n + x) <= 7 * v)) >= alpha").select("id", "v", "alpha")
+    return left.drop("v", "alpha").join(own, "id")
 
 
-def _index(sets: DataFrame, left: DataFrame) -> DataFrame:
+def _index(left: DataFrame) -> DataFrame:
     """(sig, id, n, component, v): single rare shingles and pairs of frequent ones of every prefix.
 
     The frequency of a shingle is the number of components that hold it. Shingles of one component come first
     in the order and need no entry; k is 2 throughout. Where a prefix holds very many frequent shingles their
     pairs would be too many: those shingles are indexed alone, in every set.
     """
-    rows = sets.select("id", F.explode("tokens").alias("token")).join(left.select("id", "component"), "id")
-    stats = rows.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    stats = keep(stats)
+    rows = left.select("id", "component", F.explode("tokens").alias("token"))
+    stats = keep(rows.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     own = rows.join(stats, "token").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
     length = "cast(greatest(0, n - alpha + 2 - (n - size(t))) as int)"
-    own = keep(own.join(left, "id").select("id", F.expr(f"slice(t, 1, {length})").alias("t")))
-    entries = own.select("id", F.explode("t").alias("x")).select("id", "x.*")
-    many = entries.where(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("c2")).where(F.col("c2") > MOST_PAIRED).select("id")
-    alone = keep(entries.where(F.col("df") > RARE).join(many, "id").select("token").distinct())
-    entries = entries.join(alone.withColumn("alone", F.lit(True)), "token", "left")
-    single = entries.where((F.col("df") <= RARE) | F.col("alone")).select("id", F.xxhash64("token").alias("sig"))
-    often = entries.where((F.col("df") > RARE) & F.col("alone").isNull()).groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("o"))
-    double = F.expr("flatten(transform(o, (x, i) -> transform(slice(o, i + 2, greatest(size(o) - i - 1, 0)), y -> xxhash64(x, y))))")
-    sigs = single.unionByName(often.select("id", F.explode(double).alias("sig")))
-    return sigs.join(left.select("id", "n", "component", "v"), "id")
+    own = own.join(left.select("id", "n", "component", "v", "alpha"), "id").withColumn("t", F.expr(f"slice(t, 1, {length})"))
+    own = keep(own.withColumn("o", F.expr(f"filter(t, x -> x.df > {RARE})")))
+    alone = keep(own.where(F.size("o") > MOST_PAIRED).select(F.explode("o.token").alias("token")).distinct())
+    rare = f"x.df <= {RARE}"
+    if alone.limit(1).count():
+        marked = own.select("id", F.explode("o.token").alias("token")).join(alone, "token").groupBy("id").agg(F.collect_set("token").alias("alone"))
+        own = own.join(marked, "id", "left").withColumn("alone", F.coalesce("alone", F.array().cast("array<bigint>")))
+        own = own.withColumn("o", F.expr("filter(o, x -> not array_contains(alone, x.token))"))
+        rare += " or array_contains(alone, x.token)"
+    single = F.expr(f"transform(filter(t, x -> {rare}), x -> xxhash64(x.token))")
+    double = F.expr("""flatten(transform(o, (x, i) -> transform(slice(o, i + 2, greatest(size(o) - i - 1, 0)),
+        y -> xxhash64(least(x.token, y.token), greatest(x.token, y.token)))))""")
+    return own.select(F.explode(F.concat(single, double)).alias("sig"), "id", "n", "component", "v")
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -301,26 +309,25 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     sets = keep(_token_sets(found, size))
     centre = live.select("id", "centre")
 
-    links = keep(_stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens"), centre))
+    links = _stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens"), centre)
     comps = keep(components(links, "a", "b"))
     left = keep(_between(sets, comps))
+    left = sets.select("id", "tokens").join(left, "id")
     for _ in range(NARROWING):
-        left = keep(_narrowed(sets.join(left.select("id"), "id").select("id", "tokens"), left))
-    rest = keep(sets.join(left.select("id"), "id").select("id", "n", "tokens"))
-    buckets = keep(_index(rest, left))
+        left = keep(_narrowed(left))
+    rest = left.select("id", "tokens")
+    buckets = keep(_index(left))
     sizes = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     sizes = keep(sizes.select("sig", "m"))
     buckets = keep(buckets.join(sizes, "sig"))
     big = buckets.where(F.col("m") > SMALL_BUCKET)
     if big.limit(1).count():
-        links = keep(links.unionByName(_stars(big.select("sig", "id"), rest, centre)))
-        comps = keep(components(links, "a", "b"))
+        comps = keep(components(_star_links(comps).unionByName(_stars(big.select("sig", "id"), rest, centre)), "a", "b"))
         buckets = keep(_labelled(buckets.drop("component"), comps))
     one = buckets.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), F.col("component").alias("ca"))
     two = buckets.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), F.col("component").alias("cb"))
     pairs = one.join(two, "sig").where("ca < cb and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(va, vb) >= 3 * (na + nb)").select("a", "b").distinct()
-    links = links.unionByName(verify(pairs, rest))
-    comps = components(links, "a", "b")
+    comps = components(_star_links(comps).unionByName(verify(pairs, rest)), "a", "b")
 
     by_set = keep(_labelled(classes.select("set_key", F.col("rep").alias("id")), comps).select("set_key", "component"))
     return sig.join(by_set, "set_key", "left").select(

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -49,7 +49,7 @@ class Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
+            size = n + (1 << 16)
             for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
                 p = np.full(size, base, U64)
                 p[0] = 1
