@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Texts, split, texts
+from .words import ALNUM, U64, Texts, split, texts
 
 #: words of test phrases a pass over the texts carries; a larger test set takes several passes
 WORDS_A_PASS = 2_000_000
@@ -148,6 +148,8 @@ class Phrases:
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], window: int) -> Phrases:
+        if not items:
+            return cls(np.zeros(0, U64), np.zeros(0, np.int64), [])
         t = next(texts(pa.array([x or "" for _, x in items], pa.string()), 1 << 60))
         w = split(t, ALNUM)
         keys = np.unique(w.key)

@@ -71,15 +71,15 @@ def permuted_text(value: str, key: int, hexadecimal: str = "false") -> str:
 def _check_digit(digits: str, skip: int) -> str:
     """Sum of the card check over ``digits``; ``skip``: 1 if the check digit is among them, else 0."""
     return f"""aggregate(transform(split(reverse({digits}), ''), (c, i) -> case when c = '' then 0
-        when (i + {1 - skip}) % 2 = 0 then cast(c as int)
-        when cast(c as int) > 4 then 2 * cast(c as int) - 9 else 2 * cast(c as int) end), 0, (a, b) -> a + b)"""
+        when (i + {1 - skip}) % 2 = 0 then ascii(c) - 48
+        when ascii(c) > 52 then 2 * (ascii(c) - 48) - 9 else 2 * (ascii(c) - 48) end), 0, (a, b) -> a + b)"""
 
 
 def _iban_rest(text: str) -> str:
     """Remainder by 97 of the moved and spelled-out IBAN (without spaces)."""
     moved = f"concat(substring({text}, 5), substring({text}, 1, 4))"
     return f"""aggregate(split({moved}, ''), 0, (a, c) -> case when c = '' then a
-        when c >= '0' and c <= '9' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"""
+        when c >= '0' and c <= '9' then (a * 10 + ascii(c) - 48) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"""
 
 
 def _put_back(shape: str, chars: str) -> str:
@@ -103,7 +103,7 @@ def pseudonym(m: str, key: int) -> str:
     plain = f"replace({m}, ' ', '')"
     iban = one("d", plain, one("p", permuted_text("substring(d, 5)", key),
         f"if({_iban_rest('d')} <> 1, {m}, " + _put_back(m, one("z", "concat(substring(d, 1, 2), '00', p)", f"concat(substring(d, 1, 2), lpad(cast(98 - {_iban_rest('z')} as string), 2, '0'), p)")) + ")"))
-    host = one("d", f"transform(split({m}, '[.]'), x -> cast(x as int))", f"if(exists(d, x -> x > 255), {m}, " + one(
+    host = one("d", f"transform(split({m}, '[.]'), x -> try_cast(x as int))", f"if(exists(d, x -> x > 255), {m}, " + one(
         "p", (permuted("((d[0] * 256L + d[1]) * 256L + d[2]) * 256L + d[3]", 1 << 32, key)), "concat_ws('.', array(string(p div 16777216), string(p div 65536 % 256), string(p div 256 % 256), string(p % 256)))") + ")")
     forms = (("'-'", "yyyy-MM-dd"), ("'/'", "dd/MM/yyyy"), ("'.'", "dd.MM.yyyy"))
     date = "case " + " ".join(
