@@ -129,11 +129,12 @@ def test_budget_skips_but_goes_on(spark):
     assert documents.concat_with_budget(df, "id", ["o"], "t", 50, 10).first()["clean_text"] == "abcdef xyz"
 
 
-def test_concatenation_in_parts_keeps_everything(spark):
+def test_concatenation_has_one_row_per_key_and_a_long_form(spark):
     df = frame(spark, [(1, i, f"n{i}") for i in range(25)], "id long, o long, t string")
-    parts = documents.concat_notes(df, "id", F.col("o"), ["o"], "t", " ", rows_per_part=10).orderBy("part").collect()
-    assert [p["n_notes"] for p in parts] == [10, 10, 5]
-    assert " ".join(p["t"] for p in parts) == " ".join(f"n{i}" for i in range(25))
+    whole = documents.concat_notes(df, "id", F.col("o"), ["o"], "t", " ").collect()
+    assert [(p["n_notes"], p["t"]) for p in whole] == [(25, " ".join(f"n{i}" for i in range(25)))]
+    long = documents.ordered_texts(df, ["id"], F.col("o"), ["o"], "t").collect()
+    assert {(p["pos"], p["t"]) for p in long} == {(i + 1, f"n{i}") for i in range(25)}
 
 
 def test_note_rules(spark):

@@ -122,10 +122,12 @@ def alternatives(pattern: str) -> list[str]:
 
 def required_literals(pattern: str) -> list[str]:
     """One plain string per alternative that every match of it must hold; empty when there is none."""
+    if re.search(r"\(\?|\{|\([^()]*\(", pattern):  # counts, look-arounds and nested groups: no promise
+        return []
     out = []
     for alt in alternatives(pattern):
-        broken = re.sub(r"\\[bswdBSWD][*+?]?|\[[^\]]*\][*+?]?|\([^)]*\)[*+?]?|\{[^}]*\}|[^\\][*?]|[\^$.+]", "\0", alt)
-        longest = max(broken.replace("\\", "\0").split("\0"), key=len)
+        broken = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)|.[*?]|[\^$.+*?]", "\0", alt)
+        longest = max(broken.split("\0"), key=len)
         if not longest:
             return []
         out.append(longest)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import first_per_key, ordered_parts, prefix_sums, top_n_per_key
+from .ordered import first_per_key, joined_texts, ordered_texts, prefix_sums, top_n_per_key
 
 
 def first_n_notes(df: DataFrame, key: str, order: Sequence[str], n: int = 50) -> DataFrame:
@@ -34,9 +34,9 @@ def concat_with_budget(
     return folded.where(F.size("__f.kept") > 0).select(key, F.array_join("__f.kept", sep).alias(out))
 
 
-def concat_notes(df: DataFrame, key: str, bucket: Column, order: Sequence[str], text: str, sep: str = " ", rows_per_part: int = 1000) -> DataFrame:
-    """All notes of a key in order. Keys beyond ``rows_per_part`` notes come as several numbered parts."""
-    return ordered_parts(df, [key], bucket, order, text, sep, rows_per_part)
+def concat_notes(df: DataFrame, key: str, bucket: Column, order: Sequence[str], text: str, sep: str = " ") -> DataFrame:
+    """All notes of a key in order, one row per key at any size. ``ordered_texts`` gives the long form."""
+    return joined_texts(ordered_texts(df, [key], bucket, order, text), [key], text, sep)
 
 
 def concat_truncated(
@@ -67,13 +67,13 @@ def keep_first(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return first_per_key(df.select(key, order, text), [key], [order]).select(key, text)
 
 
-def concat_unique(df: DataFrame, key: str, bucket_of: Column, order: str, text: str, sep: str = " ", rows_per_part: int = 1000) -> DataFrame:
-    """Distinct texts per key in order of first appearance, joined (in parts for very large keys).
+def concat_unique(df: DataFrame, key: str, bucket_of: Column, order: str, text: str, sep: str = " ") -> DataFrame:
+    """Distinct texts per key in order of first appearance, joined: one row per key at any size.
 
     Copies are removed first by a map-side combined minimum, so a key full of copies stays small.
     """
     unique = df.groupBy(key, text).agg(F.min(F.col(order)).alias(order))
-    return ordered_parts(unique, [key], bucket_of, [order], text, sep, rows_per_part)
+    return joined_texts(ordered_texts(unique, [key], bucket_of, [order], text), [key], text, sep)
 
 
 def priority_concat(

@@ -26,7 +26,8 @@ def day_bucket(ts: str | Column) -> Column:
 def magnitude_bucket(value: str | Column) -> Column:
     """Integer that grows with the number; about 1 % of relative width per bucket."""
     v = col(value)
-    size = F.floor(F.log2(F.abs(v)) * 64).cast("int") + 70_000
+    # infinities share the end bucket of the largest doubles: no cast can overflow
+    size = F.floor(F.log2(F.least(F.abs(v), F.lit(1.7e308))) * 64).cast("int") + 70_000
     return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
 
 
@@ -37,16 +38,22 @@ def prefix_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
 ) -> DataFrame:
-    """Inclusive running sums along ``order`` inside each key. ``bucket`` must not decrease along it."""
+    """Inclusive running sums along ``order`` inside each key. ``bucket`` must not decrease along it.
+
+    Rows without a key are a group of their own; rows whose bucket is null (no order value) come last.
+    """
     keys = list(keys)
     base = df.withColumn(BUCKET, bucket)
     totals = base.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    grid = [*keys, BUCKET]
     offsets = totals.select(
-        *keys, BUCKET, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums]
+        *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(grid)],
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
     )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{i}")) for i, k in enumerate(grid)])
     within = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return base.join(offsets, [*keys, BUCKET]).select(
+    return base.join(offsets, same).select(
         *df.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__o_{n}")).alias(n) for n, c in sums.items()]
     )
 
@@ -136,21 +143,20 @@ def grouped_quantiles(
     return found.select(
         *keys,
         *[
-            (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (pos - lo)).alias(name)
+            F.when(F.col(f"__lo_{name}") == F.col(f"__hi_{name}"), F.col(f"__lo_{name}"))
+            .otherwise(F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (pos - lo)).alias(name)
             for name, (pos, lo, _) in ranks.items()
         ],
     )
 
 
-def ordered_parts(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], text: str, sep: str, rows_per_part: int = 1000
-) -> DataFrame:
-    """Texts of a key joined in order. A key with more rows than one part holds yields several parts."""
-    pos = positions(df, keys, bucket, [F.col(c) for c in order], "__pos")
-    part = F.floor((F.col("__pos") - 1) / rows_per_part).cast("int").alias("part")
-    gathered = pos.groupBy(*keys, part).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.col(text).alias("__x")))).alias("__l"), F.count("*").alias("n_notes")
-    )
-    return gathered.select(
-        *keys, "part", "n_notes", F.array_join(F.transform("__l", lambda r: r["__x"]), sep).alias(text)
-    )
+def ordered_texts(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], text: str) -> DataFrame:
+    """Long form of a joined text: one row per note with its place in the key. No key is gathered."""
+    return positions(df, keys, bucket, [F.col(c) for c in order], "pos").select(*keys, "pos", text)
+
+
+def joined_texts(long: DataFrame, keys: Sequence[str], text: str, sep: str) -> DataFrame:
+    """One row per key: its notes joined in order. The text of a key becomes one value, so it must fit one."""
+    notes = F.array_sort(F.collect_list(F.struct("pos", F.col(text).alias("x"))))
+    gathered = long.groupBy(*keys).agg(notes.alias("__l"), F.count("*").alias("n_notes"))
+    return gathered.select(*keys, "n_notes", F.array_join(F.transform("__l", lambda r: r["x"]), sep).alias(text))

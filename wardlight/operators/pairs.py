@@ -109,7 +109,8 @@ def rank_interactions(
     combined aggregate per (v, bin) carries the sums of every t = 1 side. The t = 0 side is the
     total minus that. What is shuffled has V x bins rows, whatever the number of input rows.
 
-    The t columns must be 0/1 without nulls.
+    Rows whose t is null count on neither side of that t. Values are centred on the middle edge of their
+    feature before they are summed, so large offsets do not cancel.
     """
     long = (
         df.select(*[F.col(t).cast("double").alias(t) for t in t_cols], F.col(residual).cast("double").alias("__r"),
@@ -120,18 +121,23 @@ def rank_interactions(
     plain = unpivot(df, [], v_cols, "v", "x")
     edges = quantile_edges(plain, "v", "x", n_bins)
     small = F.broadcast(edges) if len(v_cols) <= MAX_NAMES else edges
-    binned = long.join(small, "v").withColumn("bin", bin_by_edges("x", "edges", True, n_bins)).drop("edges")
+    binned = long.join(small, "v").withColumn("bin", bin_by_edges("x", "edges", True, n_bins))
+    binned = binned.withColumn("x", F.col("x") - F.coalesce(F.try_element_at("edges", (F.size("edges") / 2).cast("int") + 1), F.lit(0.0))).drop("edges")
     r, x = F.col("__r"), F.col("x")
     terms = {"n": F.lit(1.0), "r": r, "rr": r * r, "x": x, "xx": x * x, "xr": x * r}
     sums = binned.groupBy("v", "bin").agg(
         *[F.sum(e).alias(f"__{k}") for k, e in terms.items()],
         *[F.sum(F.when(F.col(t) == 1, e).otherwise(0.0)).alias(f"{k}|{t}") for t in t_cols for k, e in terms.items()],
+        *[F.sum(F.when(F.col(t).isNull(), e).otherwise(0.0)).alias(f"{k}?{t}") for t in t_cols for k, e in terms.items()],
     )
-    ones = F.array(*[F.struct(F.lit(t).alias("t"), *[F.col(f"{k}|{t}").alias(f"{k}1") for k in terms]) for t in t_cols])
+    ones = F.array(*[
+        F.struct(F.lit(t).alias("t"), *[F.col(f"{k}|{t}").alias(f"{k}1") for k in terms], *[F.col(f"{k}?{t}").alias(f"{k}u") for k in terms])
+        for t in t_cols
+    ])
     cells = (
         sums.select("v", "bin", *[f"__{k}" for k in terms], F.explode(ones).alias("o"))
         .select("v", "bin", F.col("o.t").alias("t"), *[F.col(f"o.{k}1").alias(f"{k}1") for k in terms],
-                *[(F.col(f"__{k}") - F.col(f"o.{k}1")).alias(f"{k}0") for k in terms])
+                *[(F.col(f"__{k}") - F.col(f"o.{k}1") - F.col(f"o.{k}u")).alias(f"{k}0") for k in terms])
     )
     both = (F.col("n0") >= 5) & (F.col("n1") >= 5)
     diff = F.try_divide(F.col("r0"), F.col("n0")) - F.try_divide(F.col("r1"), F.col("n1"))

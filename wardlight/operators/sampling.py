@@ -22,7 +22,9 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: exactly floor(share x n) rows of every class."""
-    ranked = hash_positions(df, [label], [id_col], seed).join(F.broadcast(class_sizes(df, label)), label)
+    sizes = class_sizes(df, label).withColumnRenamed(label, "__class")  # one row per class; rows without label are one
+    ranked = hash_positions(df, [label], [id_col], seed)
+    ranked = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__class")))
     return ranked.select(*df.columns, flag(F.col("rn") <= F.floor(F.col("__n") * F.lit(test_share))).alias("is_test"))
 
 

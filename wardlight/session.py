@@ -56,10 +56,12 @@ def spread(df: DataFrame) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 
-    Only where no ``spark.checkpoint.dir`` is configured (tests, laptops) is a folder made up.
+    A missing ``spark.checkpoint.dir`` is an error on a cluster; a local session makes up a folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
