@@ -104,7 +104,7 @@ def _(t):
     return t.heavy("documents", *DOC).select("doc_id", F.length(F.lower("text")).alias("nlp_note_length"), *notes.pattern_flags("text", fixed.RISK_PATTERNS))
 
 
-_PICK = {k: fixed.CONCEPT_PATTERNS[k] for k in ("nlp_myocardial_infarction", "nlp_dvt_pe", "nlp_surgery", "nlp_pain", "nlp_falls")} | {"word_the": r"\bthe\b|\bder\b|\bles?\b"}
+_PICK = fixed.CONCEPT_PATTERNS | {"word_the": r"\bthe\b|\bder\b|\bles?\b"}
 POSITIONS_SQL = "WITH d AS (SELECT doc_id, text, " + MASK("text") + " AS x FROM documents), p AS (" + " UNION ALL ".join(
     f"SELECT doc_id, text, '{n}' AS feature, regexp_extract_all(x, '{p}') AS hits, string_split_regex(x, '{p}') AS gaps FROM d" for n, p in _PICK.items()
 ) + """), u AS (SELECT doc_id, text, feature, unnest(hits[1:5]) AS hit, unnest(gaps[1:len(hits[1:5])]) AS gap, generate_subscripts(hits[1:5], 1) AS i FROM p),
@@ -182,7 +182,7 @@ def _(t):
 
 
 LEXICON = {"the": 0.5, "and": 0.2, "of": -0.4, "der": -0.1, "les": 0.3}
-_D22 = ("nlp_kidney_injury", "nlp_cardiac_event", "nlp_fall", "nlp_withdrawal")
+_D22 = tuple(fixed.RISK_PATTERNS)
 
 
 @query("D22_keyword_agg", f"WITH d AS (SELECT source, {MASK('text')} AS x, length(text) AS n, doc_id % 3 - 1 AS s FROM documents) SELECT source, " + ", ".join(

@@ -70,21 +70,21 @@ def _(t):
 
 @query("D2_series_stats_raw", "WITH u AS (SELECT DISTINCT user_id FROM events), " + ", ".join(
     f"""{c} AS (SELECT user_id, min(value) AS mn, max(value) AS mx, avg(value) AS av, arg_max(value, ts) AS la, count(value) AS n
-        FROM events WHERE event_type = '{c}' AND value IS NOT NULL AND value > 40 GROUP BY 1)""" for c in ("click", "view")) + """
+        FROM events WHERE event_type = '{c}' AND value IS NOT NULL GROUP BY 1)""" for c in ("click", "view")) + """
 SELECT u.user_id, """ + ", ".join(
     f"""coalesce({c}.mn, -1) AS {c}_Min, coalesce({c}.mx, -1) AS {c}_Max, round(coalesce({c}.av, -1) + 2e-9, 6) AS {c}_Mean,
         coalesce({c}.la, -1) AS {c}_Last, coalesce({c}.n, 0)::BIGINT AS {c}_Count,
         CASE WHEN coalesce({c}.n, 0) > 0 THEN 1 ELSE 0 END AS {c}_Measured""" for c in ("click", "view")) + """
 FROM u LEFT JOIN click USING (user_id) LEFT JOIN view USING (user_id) WHERE click.n IS NOT NULL OR view.n IS NOT NULL""")
 def _(t):
-    df = series.stats_with_default(events(t).where("value > 40"), "user_id", "event_type", "ts", "value", ["click", "view"], -1.0, False)
+    df = series.stats_with_default(events(t), "user_id", "event_type", "ts", "value", ["click", "view"], -1.0, False)
     return df.select(*[r6(c).alias(c) if c.endswith("_Mean") else F.col(c) for c in df.columns])
 
 
 @query("D3_series_stats_serving", "WITH " + ", ".join(
     f"""{c} AS (SELECT user_id, min(value) AS mn, max(value) AS mx, avg(value) AS av, arg_max(value, ts) AS la, count(value) AS n,
         stddev_pop(value) AS sd, median(value) AS md
-        FROM events WHERE event_type = '{c}' AND value > 60 GROUP BY 1)""" for c in ("error", "purchase")) + """,
+        FROM events WHERE event_type = '{c}' GROUP BY 1)""" for c in ("error", "purchase")) + """,
 u AS (SELECT user_id FROM error UNION SELECT user_id FROM purchase)
 SELECT u.user_id, """ + ", ".join(
     f"""coalesce({c}.mn, 0) AS {c}_Min, coalesce({c}.mx, 0) AS {c}_Max, round(coalesce({c}.av, 0) + 2e-9, 6) AS {c}_Mean,
@@ -93,7 +93,7 @@ SELECT u.user_id, """ + ", ".join(
     for c in ("error", "purchase")) + """
 FROM u LEFT JOIN error USING (user_id) LEFT JOIN purchase USING (user_id)""")
 def _(t):
-    df = series.stats_with_default(events(t).where("value > 60"), "user_id", "event_type", "ts", "value", ["error", "purchase"], 0.0, True)
+    df = series.stats_with_default(events(t), "user_id", "event_type", "ts", "value", ["error", "purchase"], 0.0, True)
     return df.select(*[r6(c).alias(c) if c.endswith(("_Mean", "_Std", "_Median")) else F.col(c) for c in df.columns])
 
 
@@ -139,7 +139,7 @@ def _(t):
 
 @query("D15_population_median_fill", """WITH grid AS (SELECT u.user_id, c.event_type FROM (SELECT DISTINCT user_id FROM events) u,
   (SELECT DISTINCT event_type FROM events) c),
-s AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b, stddev_samp(value) AS d, count(value) AS n FROM events WHERE value > 80 GROUP BY 1, 2),
+s AS (SELECT user_id, event_type, avg(value) AS a, max(value) AS b, stddev_samp(value) AS d, count(value) AS n FROM events GROUP BY 1, 2),
 m AS (SELECT event_type, median(a) AS ma, median(b) AS mb, median(d) AS md FROM s GROUP BY 1)
 SELECT user_id, event_type, coalesce(n, 0)::BIGINT AS n,
   round(CASE WHEN coalesce(n, 0) = 0 THEN coalesce(a, ma) ELSE a END + 2e-9, 6) AS a,
@@ -149,7 +149,7 @@ FROM grid LEFT JOIN s USING (user_id, event_type) LEFT JOIN m USING (event_type)
 def _(t):
     e = events(t)
     cells = e.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(c) for c in TYPES])).alias("event_type"))
-    s = e.where("value > 80").groupBy(*KEYS).agg(
+    s = e.groupBy(*KEYS).agg(
         F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_samp("value").alias("d"), F.count("value").alias("n")
     )
     filled = series.fill_population_median(cells.join(s, KEYS, "left"), "event_type", "n", ["a", "b", "d"])
