@@ -259,7 +259,7 @@ def test_csv_ingest_types_blanks_and_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "NOTES.csv").write_text('ROW_ID,VALUE,TEXT\n1,2.5,"a ""b""\nc"\n2,,\n3,bad,x\n')
     schema = T.StructType.fromDDL("ROW_ID BIGINT, VALUE DOUBLE, TEXT STRING")
-    assert ingest.ingest_csv_dir(spark, str(tmp_path / "in"), str(tmp_path / "out"), {"NOTES": schema}) == ["NOTES"]
+    assert ingest.ingest_csv_dir(spark, str(tmp_path / "in"), str(tmp_path / "out"), {"NOTES": schema}, multi_line=["NOTES"]) == ["NOTES"]
     rows = spark.read.parquet(str(tmp_path / "out" / "NOTES")).orderBy("ROW_ID").collect()
     assert [(r["VALUE"], r["TEXT"]) for r in rows] == [(2.5, 'a "b"\nc'), (None, None), (None, "x")]
 

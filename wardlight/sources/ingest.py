@@ -28,9 +28,13 @@ def list_dir(spark: SparkSession, path: str, suffix: str) -> list[str]:
     return sorted(str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(suffix))
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """CSV with a header, every column text; quoted line breaks and doubled quotes are kept."""
-    return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
+def read_csv_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every column text; doubled quotes are kept.
+
+    A file with line breaks inside quotes needs ``multi_line``, which makes one task read a whole file; all
+    other files are split.
+    """
+    return spark.read.options(header=True, multiLine=multi_line, escape='"', inferSchema=False).csv(path)
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -44,12 +48,15 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def ingest_csv_dir(spark: SparkSession, csv_dir: str, out_dir: str, schemas: Mapping[str, T.StructType] | None = None) -> list[str]:
-    """Every ``*.csv`` of a folder becomes one Parquet table named after the file; returns the names."""
+def ingest_csv_dir(spark: SparkSession, csv_dir: str, out_dir: str, schemas: Mapping[str, T.StructType] | None = None, multi_line: Sequence[str] = ()) -> list[str]:
+    """Every ``*.csv`` of a folder becomes one Parquet table named after the file; returns the names.
+
+    ``multi_line`` names the tables whose quoted texts hold line breaks.
+    """
     names = []
     for path in list_dir(spark, csv_dir, ".csv"):
         name = os.path.basename(path)[: -len(".csv")]
-        df = read_csv_text(spark, path)
+        df = read_csv_text(spark, path, name in multi_line)
         if schemas and name in schemas:
             df = typed(df, schemas[name])
         df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
@@ -91,7 +98,7 @@ def union_note_files(spark: SparkSession, paths: Sequence[str], required: Sequen
         raise FileNotFoundError("none of the note files exists")
     frames = []
     for p in present:
-        df = read_csv_text(spark, p)
+        df = read_csv_text(spark, p, multi_line=True)  # notes hold line breaks
         lacking = [c for c in required if c not in df.columns]
         if lacking:
             raise ValueError(f"{p} lacks columns {lacking}")
@@ -133,12 +140,13 @@ def parse_interactions(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def read_interaction_list(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
     """Pairs of a list file; ``top_n`` keeps the first ones in file order."""
-    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-    pairs = parse_interactions(lines).select("*")
+    lines = spark.read.text(path)
     if top_n is None:
-        return pairs
-    ordered = lines.where(F.col("value").contains(" & ")).orderBy("__at").limit(top_n)
-    return parse_interactions(ordered)
+        return parse_interactions(lines)
+    # scan partitions are not in file order: file, block and place in the block are
+    at = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    ordered = lines.select("value", *[c.alias(f"__at{i}") for i, c in enumerate(at)]).where(F.col("value").contains(" & "))
+    return parse_interactions(ordered.orderBy("__at0", "__at1", "__at2").limit(top_n))
 
 
 def passing_runs(runs: DataFrame, threshold: float = 0.5, strict: bool = False, file: str = "file") -> DataFrame:
