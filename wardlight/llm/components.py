@@ -12,11 +12,11 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     """Hang neighbours on the smallest node of each neighbourhood.
 
     ``small``: neighbours below ``u``, and ``u`` itself; else: neighbours above ``u``.
-    The minima are written first, so that a node with very many neighbours meets its rows in a plain
-    join whose large partitions Spark splits.
+    Above ``u`` there may be very many neighbours: there the minima are written first, so that they meet their
+    rows in a plain join whose large partitions Spark splits.
     """
     if small:
-        low = keep(pairs.groupBy("u").agg(F.min("v").alias("m")))
+        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
         hung = pairs.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -36,7 +36,7 @@ BANDS, ROWS = 6, 2
 SMALL_BUCKET = 32
 #: frequent shingles of a prefix that are paired; with more, they are indexed alone
 MOST_PAIRED = 40
-NARROWING = 3
+NARROWING = 2
 
 
 def _alpha(n):
