@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .storage import keep
 
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
+def _star(pairs: DataFrame, small: bool, rows: int) -> DataFrame:
     """Hang neighbours on the smallest node of each neighbourhood.
 
     ``small``: neighbours below ``u``, and ``u`` itself; else: neighbours above ``u``.
@@ -20,7 +20,7 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
         hung = pairs.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -35,12 +35,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node on an edge; the component is its smallest node.
 
     Loops, repeated edges and edges with a null end add nothing. Every round is written to the shared
-    folder; the number of rounds grows with the logarithm of the longest path. Only two row counts
+    folder; the number of rounds grows with the logarithm of the longest path. Only row counts
     reach the driver.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     pairs = keep(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    rows = pairs.count()
     while not _stars(pairs):
-        pairs = keep(_star(_star(pairs, small=False), small=True))
+        # a round never adds pairs: one comes from each pair above a node, then one for each pair and node
+        pairs = keep(_star(_star(pairs, False, 2 * rows), True, 2 * rows), 2 * rows)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())

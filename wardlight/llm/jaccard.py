@@ -206,7 +206,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _stars(buckets: DataFrame, sets: DataFrame, centre: DataFrame) -> DataFrame:
+def _stars(buckets: DataFrame, sets: DataFrame, centre: DataFrame, rows: int) -> DataFrame:
     """Links between the middle of each bucket and its other rows.
 
     The middle is the set with the largest share of shingles that other sets hold too: among edited copies,
@@ -214,7 +214,7 @@ def _stars(buckets: DataFrame, sets: DataFrame, centre: DataFrame) -> DataFrame:
     """
     ranked = buckets.join(centre, "id")
     lead = ranked.groupBy("sig").agg(F.max(F.struct("centre", (-F.col("id")).alias("id"))).alias("x"), F.count("*").alias("m")).where("m > 1")
-    lead = keep(lead.select("sig", (-F.col("x.id")).alias("a")))
+    lead = keep(lead.select("sig", (-F.col("x.id")).alias("a")), rows)
     pairs = buckets.join(lead, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     return verify(pairs, sets)
 
@@ -307,11 +307,11 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     live = keep(classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", F.col("rep").alias("id"), (F.col("shared") / F.col("n")).alias("centre")))
     found = docs.join(live.hint("shuffle_hash"), "id").select("id", "text", "set_key")
     sets = keep(_token_sets(found, size))
-    centre = live.select("id", "centre")
+    centre, n_live = live.select("id", "centre"), live.count()
 
-    links = _stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens"), centre)
-    comps = keep(components(links, "a", "b"))
-    left = keep(_between(sets, comps))
+    links = _stars(sets.select("id", F.explode("bands").alias("sig")).distinct(), sets.select("id", "tokens"), centre, BANDS * n_live)
+    comps = keep(components(links, "a", "b"), n_live)
+    left = keep(_between(sets, comps), n_live)
     left = sets.select("id", "tokens").join(left, "id")
     for _ in range(NARROWING):
         left = keep(_narrowed(left))
@@ -322,7 +322,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     buckets = keep(buckets.join(sizes, "sig"))
     big = buckets.where(F.col("m") > SMALL_BUCKET)
     if big.limit(1).count():
-        comps = keep(components(_star_links(comps).unionByName(_stars(big.select("sig", "id"), rest, centre)), "a", "b"))
+        comps = keep(components(_star_links(comps).unionByName(_stars(big.select("sig", "id"), rest, centre, n_live)), "a", "b"), n_live)
         buckets = keep(_labelled(buckets.drop("component"), comps))
     one = buckets.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), F.col("component").alias("ca"))
     two = buckets.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), F.col("component").alias("cb"))

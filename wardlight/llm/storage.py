@@ -24,12 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame) -> DataFrame:
+ROWS_A_FILE = 100_000
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and gives later joins exact sizes to plan with.
+    Cuts the lineage, survives lost executors, and gives later joins exact sizes to plan with. ``rows``, where
+    known, bounds the rows of a narrow table: it is then written in files of a fair size, however many
+    shuffle partitions there are.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE + 1))
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
