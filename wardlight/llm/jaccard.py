@@ -129,8 +129,9 @@ def _packed(chunks: list[tuple[np.ndarray, int]], bits: int) -> Iterator[pa.Reco
     )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set_key, n): how many prefix shingles of a set another set holds too."""
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many prefix shingles of each set another set holds too, as (bucket, keys, counts): one row for each
+    bucket of sets."""
     tokens, keys, sets, counts = [], [], [], []
     for b in batches:
         for part, t, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
@@ -152,9 +153,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets.append(got)
         counts.append(n.astype(np.int64))
     if sets:
-        got, at = np.unique(np.concatenate(sets), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts), len(got)).astype(np.int64) if len(got) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(total)], ["set_key", "n"])
+        got, total = _added(sets, counts)
+        home = (mix(got.view(U64)) % U64(buckets)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        got, total, home = got[order], total[order], home[order]
+        cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(home))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(home[cut]), *(pa.array([x[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary()) for x in (got, total))], ["bucket", "keys", "counts"]
+        )
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    got, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return got, np.bincount(at, np.concatenate(counts), len(got)).astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_key, shared) out of the rows of whole buckets."""
+    keys, counts = [], []
+    for b in batches:
+        for k, n in zip(b.column(1), b.column(2)):
+            keys.append(np.frombuffer(k.as_py(), np.int64))
+            counts.append(np.frombuffer(n.as_py(), np.int64))
+    if keys:
+        got, total = _added(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(total)], ["set_key", "shared"])
 
 
 def _token_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -302,7 +326,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     packed = _hash_prefixes(docs.where("id is not null"), "text", size, parts)
     # the part's number spreads the key space; part -1 (counts) is spread by its content
     packed = packed.repartition(tasks, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("keys")))
-    shared = packed.mapInArrow(_shared, "set_key long, n long").groupBy("set_key").agg(F.sum("n").alias("shared"))
+    homes = max(64, tasks // 64)
+    shared = packed.mapInArrow(lambda batches: _shared(batches, homes), "bucket int, keys binary, counts binary")
+    shared = shared.repartition(homes, "bucket").mapInArrow(_summed, "set_key long, shared long")
     need = F.expr("1 + ((n * 3 + 3) div 4) div 8")
     live = keep(classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", F.col("rep").alias("id"), (F.col("shared") / F.col("n")).alias("centre")))
     found = docs.join(live.hint("shuffle_hash"), "id").select("id", "text", "set_key")
