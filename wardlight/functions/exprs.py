@@ -81,3 +81,13 @@ def hash_bucket(hex_rank: str | Column) -> Column:
 def sql_regex(pattern: str) -> str:
     """Unicode-aware, case-insensitive Java form of a pattern written for Unicode word classes."""
     return "(?iU)" + pattern
+
+
+def vector_md5(c: str | Column) -> Column:
+    """Digest of a whole vector, cut to four digits."""
+    return F.md5(F.array_join(F.transform(col(c), lambda x: F.floor(x.cast("double") * 10000).cast("long").cast("string")), ","))
+
+
+def vector_md5_sql(c: str) -> str:
+    """The same in ANSI SQL."""
+    return f"md5(array_to_string([CAST(floor(CAST(x AS DOUBLE) * 10000) AS BIGINT) FOR x IN {c}], ','))"

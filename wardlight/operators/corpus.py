@@ -11,9 +11,6 @@ from ..functions import fixed, notes
 from ..functions.spans import word_spans
 from .aggregates import concept_frequency, majority_value, pivot_counts
 
-# A matrix wider than this is left in long form by the callers that would pivot it.
-MAX_COLUMNS = 5_000
-
 # explode() makes the optimizer test the array for emptiness first, which works a costly array out
 # again; explode_outer() does not, and the joins or filters behind it drop its null rows.
 
@@ -106,20 +103,22 @@ def map_codes(
     )
 
 
-def frequent_concepts(rows: DataFrame, patient: str, concept: str, min_share: float) -> list[str]:
-    """Concept names for the columns of a matrix: at most 1 / min_share times the concepts per patient."""
-    names = [r[concept] for r in concept_frequency(rows, patient, concept, min_share).select(concept).orderBy(concept).limit(MAX_COLUMNS + 1).collect()]
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} concepts pass; raise min_share or use the long form")
-    return names
+def bag_of_concepts(rows: DataFrame, labels: DataFrame, patient: str, concept: str, min_share: float = 0.01) -> DataFrame:
+    """Long (patient, concept) of the concepts that at least ``min_share`` of the patients have.
 
+    Every labelled patient occurs; one without a frequent concept has a single row with concept null.
+    """
+    frequent = concept_frequency(rows, patient, concept, min_share).select(concept)
+    own = rows.select(patient, concept).distinct().join(frequent, concept, "left_semi")
+    return labels.select(patient).distinct().join(own, patient, "left").select(patient, concept)
 
-def bag_of_concepts(rows: DataFrame, labels: DataFrame, patient: str, concept: str, min_share: float = 0.01) -> DataFrame:
-    """0/1 matrix of the frequent concepts with a row for every labelled patient."""
+
+def concept_matrix(bag: DataFrame, patient: str, concept: str, names: Sequence[str]) -> DataFrame:
+    """0/1 columns of the listed concepts, one row per patient of the bag."""
     from .cohort import add_absent
 
-    names = frequent_concepts(rows, patient, concept, min_share)
-    return add_absent(labels, pivot_counts(rows.where(F.col(concept).isin(names)), patient, concept, names, binary=True), patient)
+    matrix = pivot_counts(bag.where(F.col(concept).isin(list(names))), patient, concept, list(names), binary=True)
+    return add_absent(bag.select(patient).distinct(), matrix, patient)
 
 
 def entity_counts(rows: DataFrame, key: str, entity: str, negated: str, min_count: int = 10, include_negated: bool = False) -> DataFrame:

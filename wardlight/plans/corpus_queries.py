@@ -87,12 +87,21 @@ def concepts(t: Tables):
     return t.heavy("documents", *DOC).select("doc_id", F.explode(found).alias("concept"))
 
 
+#: columns a caller asks for; the long form has all concepts
+BAG_NAMES = ("the", "tion", "ere", "ung")
+
+
 @query("I19_bag_of_concepts", f"""WITH {CONCEPT_SQL}, f AS (SELECT concept FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT count(DISTINCT doc_id) FROM c))
-SELECT doc_id, """ + ", ".join(f"coalesce(max((concept = '{k}')::INTEGER), 0)::BIGINT AS {k}" for k in ("the", "tion", "ere", "ung")) + """ FROM (
-SELECT l.doc_id, f.concept FROM labels l LEFT JOIN (SELECT c.* FROM c SEMI JOIN f USING (concept)) f USING (doc_id)) GROUP BY 1""")
+SELECT DISTINCT l.doc_id, f.concept FROM labels l LEFT JOIN (SELECT c.* FROM c SEMI JOIN f USING (concept)) f USING (doc_id)""")
+def _(t):
+    return corpus.bag_of_concepts(concepts(t), t("labels", "doc_id"), "doc_id", "concept", 0.2)
+
+
+@query("I19_concept_matrix", f"""WITH {CONCEPT_SQL} SELECT l.doc_id, {", ".join(f"coalesce(max((concept = '{k}')::INTEGER), 0)::BIGINT AS {k}" for k in BAG_NAMES)}
+FROM labels l LEFT JOIN (SELECT c.* FROM c SEMI JOIN (SELECT concept FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) >= 0.05 * (SELECT count(DISTINCT doc_id) FROM c)) USING (concept)) f USING (doc_id) GROUP BY 1""")
 def _(t):
-    bag = corpus.bag_of_concepts(concepts(t), t("labels", "doc_id"), "doc_id", "concept", 0.2)
-    return bag.select("doc_id", *[F.col(k) if k in bag.columns else F.lit(0).cast("long").alias(k) for k in ("the", "tion", "ere", "ung")])
+    bag = corpus.bag_of_concepts(concepts(t), t("labels", "doc_id"), "doc_id", "concept", 0.05)
+    return corpus.concept_matrix(bag, "doc_id", "concept", BAG_NAMES)
 
 
 @query("I20_entity_count_matrix", """WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type <> 'error'),

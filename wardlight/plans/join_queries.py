@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import vector_md5, vector_md5_sql
+
 from ..operators import cohort, temporal
 from .registry import Tables, query
 from .row_queries import ADM_SQL, admissions
@@ -133,13 +135,13 @@ def _(t):
     return t("customer", "c_custkey", "c_nationkey").join(lookup, "c_nationkey", "left").select("c_custkey", F.coalesce("r_name", F.lit("NONE")).alias("region"))
 
 
-@query("C16_left_join_fill", """SELECT doc_id, coalesce(round(embedding[3]::DOUBLE, 6), 0.0) AS x3, coalesce(len(embedding), 64)::INTEGER AS dim
-FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
+@query("C16_left_join_fill", f"""WITH e AS (SELECT doc_id, coalesce(embedding, list_transform(range(64), lambda i: CAST(0 AS FLOAT))) AS v FROM documents LEFT JOIN embeddings ON doc_id = vec_id)
+SELECT doc_id, {vector_md5_sql('v')} AS digest, len(v)::INTEGER AS dim FROM e""")
 def _(t):
     emb = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     filled = F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
     df = t("documents", "doc_id").join(emb, "doc_id", "left").withColumn("embedding", filled)
-    return df.select("doc_id", F.round(F.col("embedding")[2].cast("double"), 6).alias("x3"), F.size("embedding").alias("dim"))
+    return df.select("doc_id", vector_md5("embedding").alias("digest"), F.size("embedding").alias("dim"))
 
 
 @query("C17_pair_enumeration", """WITH v AS (SELECT DISTINCT event_type AS v FROM events), x AS (SELECT DISTINCT 'seg_' || c_mktsegment AS t FROM customer) SELECT v.v, x.t FROM v, x""")

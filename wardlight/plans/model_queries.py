@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag
+from ..functions.exprs import flag, vector_md5, vector_md5_sql
 from ..operators import models
 from .registry import Tables, query
 
@@ -83,12 +83,14 @@ def _(t):
     return models.risk_narrative(models.score_ensemble(b, s, "id"), models.local_explanation(b, s, "id", 3), "id", 0.45)
 
 
-@query("J3_zero_vectors", "SELECT vec_id, (CASE WHEN label % 3 = 0 AND vec_id % 2 = 0 THEN 9.0 WHEN label % 3 = 0 THEN 0.0 ELSE round(embedding[1]::DOUBLE, 6) END)::DOUBLE AS first FROM embeddings")
+@query("J3_zero_vectors", f"""WITH e AS (SELECT vec_id, CASE WHEN label % 3 = 0 AND vec_id % 2 = 0 THEN list_transform(range(64), lambda i: CAST(9 AS FLOAT))
+WHEN label % 3 = 0 THEN list_transform(range(64), lambda i: CAST(0 AS FLOAT)) ELSE embedding END AS v FROM embeddings)
+SELECT vec_id, {vector_md5_sql('v')} AS digest FROM e""")
 def _(t):
     zeroed = F.when(F.col("label") % 3 == 0, F.array_repeat(F.lit(0.0).cast("float"), 64)).otherwise(F.col("embedding"))
     e = t("embeddings").select("vec_id", zeroed.alias("embedding"))
     new = t("embeddings").where("vec_id % 2 = 0").select("vec_id", F.array_repeat(F.lit(9.0).cast("float"), 64).alias("embedding"))
-    return models.refill_vectors(e, new, "vec_id", "embedding").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return models.refill_vectors(e, new, "vec_id", "embedding").select("vec_id", vector_md5("embedding").alias("digest"))
 
 
 @query("J1_kmeans_clusters")

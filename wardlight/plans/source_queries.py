@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import vector_md5, vector_md5_sql
 from ..sources import export, ingest
 from .registry import query
 
@@ -73,10 +74,10 @@ def _(t):
     return notes.select(F.col("doc_id").cast("long"), F.length(F.regexp_replace("text", r"\s+", "")).cast("long").alias("n"))
 
 
-@query("A7_read_embeddings", """SELECT vec_id, label, len(embedding)::INTEGER AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings""")
+@query("A7_read_embeddings", f"SELECT vec_id, label, len(embedding)::INTEGER AS dim, {vector_md5_sql('embedding')} AS digest FROM embeddings")
 def _(t):
     df = ingest.read_embeddings(t("embeddings", "vec_id", "embedding"), t("embeddings", "vec_id", "label"), "vec_id")
-    return df.select("vec_id", "label", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    return df.select("vec_id", "label", F.size("embedding").alias("dim"), vector_md5("embedding").alias("digest"))
 
 
 @query("A8_read_interaction_list", "SELECT p_brand AS a, p_name AS b, p_size::DOUBLE AS score FROM part")
