@@ -282,7 +282,7 @@ def _narrowed(left: DataFrame) -> DataFrame:
 
 
 def _index(left: DataFrame) -> DataFrame:
-    """(sig, id, n, component, v, sigs): single rare shingles and pairs of frequent ones of every prefix.
+    """(sig, id, n, component, v): single rare shingles and pairs of frequent ones of every prefix.
 
     The frequency of a shingle is the number of components that hold it. Shingles of one component come first
     in the order and need no entry; k is 2 throughout. Where a prefix holds very many frequent shingles their
@@ -304,8 +304,7 @@ def _index(left: DataFrame) -> DataFrame:
     single = F.expr(f"transform(filter(t, x -> {rare}), x -> xxhash64(x.token))")
     double = F.expr("""flatten(transform(o, (x, i) -> transform(slice(o, i + 2, greatest(size(o) - i - 1, 0)),
         y -> xxhash64(least(x.token, y.token), greatest(x.token, y.token)))))""")
-    own = own.select("id", "n", "component", "v", F.concat(single, double).alias("sigs"))
-    return own.select(F.explode("sigs").alias("sig"), "id", "n", "component", "v", "sigs")
+    return own.select(F.explode(F.concat(single, double)).alias("sig"), "id", "n", "component", "v")
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -351,9 +350,10 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataF
     if big.limit(1).count():
         comps = keep(components(_star_links(comps).unionByName(_stars(big.select("sig", "id"), rest, centre, n_live)), "a", "b"), n_live)
         buckets = keep(_labelled(buckets.drop("component"), comps))
+    # a pair that meets in several buckets comes out of the first of them only
+    buckets = buckets.join(keep(buckets.groupBy("id").agg(F.collect_list("sig").alias("sigs")), n_live), "id")
     one = buckets.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"), F.col("component").alias("ca"), F.col("sigs").alias("sa"))
     two = buckets.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"), F.col("component").alias("cb"), F.col("sigs").alias("sb"))
-    # a pair that meets in several buckets comes out of the first of them only
     fits = "ca < cb and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(va, vb) >= 3 * (na + nb) and sig = array_min(array_intersect(sa, sb))"
     pairs = one.join(two, "sig").where(fits).select("a", "b").distinct()
     comps = components(_star_links(comps).unionByName(verify(pairs, rest)), "a", "b")
