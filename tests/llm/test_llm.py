@@ -334,6 +334,47 @@ def test_scores_of_odd_rows(spark):
     assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
 
 
+def test_quality_knows_words_of_one_shape(spark):
+    """Good and bad texts differ by their words alone: same letters' case and length, same low bits of the keys."""
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8000)})
+    key = words.split(next(words.texts(pa.array([" ".join(names)]))), words.SPACED, lower=False).key
+    by_bits = {}
+    for name, k in zip(names, key.tolist()):
+        by_bits.setdefault(k % 16, []).append(name)
+    good, bad = ([x for own in by_bits.values() for x in own[a : a + 8]] for a in (0, 8))
+    rows = []
+    for i in range(800):
+        mine, other = (good, bad) if i % 2 else (bad, good)
+        rows.append((i, " ".join(rng.choice(mine if rng.random() < 0.8 else other) for _ in range(60))))
+    docs = docs_of(spark, rows).repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    found = quality.score(docs, "doc_id", "text", quality.fit(docs, "doc_id", "text", labels, "doc_id", "quality")).where("id >= 600").collect()
+    assert auc(np.array([r.score for r in found]), np.array([r.id % 2 for r in found])) > 0.97
+
+
+def test_word_vectors_follow_the_definition(spark):
+    rows = [(1, "one two three Four one"), (2, "two, five"), (3, ""), (4, None), (5, "two two")]
+    w = ["one", "two", "three", "four", "five"]
+    key = dict(zip(w, words.split(next(words.texts(pa.array([" ".join(w)]))), words.ALNUM).key))
+    own = {x: quality.index_vectors(np.array([k]))[0] for x, k in key.items()}
+    assert all((np.abs(v).sum(), np.abs(v).max()) == (quality.NONZERO, 1) for v in own.values())
+    context = {x: np.zeros(quality.DIM) for x in w}
+    for _, text in rows:
+        said = (text or "").lower().replace(",", "").split()
+        for i, x in enumerate(said):
+            for j, y in enumerate(said):
+                if 0 < abs(i - j) <= quality.REACH:
+                    context[x] += own[y]
+    got = quality.word_vectors(docs_of(spark, rows).repartition(3), "text")
+    assert sorted(got.keys) == sorted(key.values())
+    for x in w:
+        want = own[x] + 2 * context[x] / np.linalg.norm(context[x])
+        assert np.allclose(got.of(np.array([key[x]]))[0], want, atol=1e-5)
+    few = quality.word_vectors(docs_of(spark, rows), "text", most=2)  # the frequent words; the rest by index
+    assert set(few.keys) == {key["one"], key["two"]} and (few.of(np.array([key["five"]]))[0] == own["five"]).all()
+
+
 def test_gradients_of_the_recurrent_network():
     net, rng = toxicity.Reader(), np.random.default_rng(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

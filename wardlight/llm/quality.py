@@ -1,12 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per text, and a small calibrated network.
 
-A word type is the shape of a space-separated word (case, punctuation, digits, length, whether it repeats
-one of the two words before) together with four bits of its key. Every type has a sparse random index
-vector; its context vector is the sum, over the whole corpus, of the index vectors of the types within two
-words of it. The vector of a word is its index vector plus its normalized context vector. A text is
-the mean of its word vectors, and the largest and smallest mean of its stretches of 32 words, so a bad
-stretch in a good text shows. A two-layer network scores this; its temperature is fitted on rows held
-back from training.
+Every word (lower-cased run of letters and digits) has a sparse random index vector of its own, whose places and signs come from its
+64-bit key, so no table is needed. Its context vector is the sum, over the whole corpus, of the index vectors
+of the words within two words of it; sums are grouped by word in Spark. The vector of a word is its index vector
+plus its normalized context vector. Context vectors are kept of the most frequent words, at most
+``VOCABULARY``; rarer words have their index vector alone.
+
+Punctuation and case are no words: the shape of each space-separated token (case, punctuation, digits,
+length, whether it repeats one of the two before) has a sparse random vector too, as an extra input.
+A text is the mean of its word vectors and of its shape vectors, and the largest and smallest mean of its stretches
+of 32, so a bad stretch in a good text shows. A two-layer network scores this; its temperature is
+fitted on rows held back from training.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep
-from .words import SPACED, U64, Texts, Words, split, texts
+from .words import ALNUM, SPACED, U64, Texts, Words, mix, split, texts
 
-SHAPES, HASHED = 512, 16
-TYPES = SHAPES * HASHED
+SHAPES = 512
 DIM, NONZERO = 48, 6
+#: words with a context vector, at most: the most frequent of the corpus
+VOCABULARY = 65_536
+#: distinct words a task counts before it hands its counts on
+COUNTED = 1 << 20
 REACH = 2
 STRETCH = 32
-BLOCKS = 16
-FEATURES = 3 * DIM + 1
+FEATURES = 6 * DIM + 1
 #: labelled rows used for training, at most: those with the smallest hash of their id
 TRAIN_ROWS = 20_000
 
@@ -40,18 +46,36 @@ PUNCT = np.zeros(256, bool)
 PUNCT[33:48] = PUNCT[58:65] = PUNCT[91:97] = PUNCT[123:127] = True
 
 
-def index_vectors() -> np.ndarray:
-    rng = np.random.default_rng(23)
-    out = np.zeros((TYPES, DIM), np.float32)
-    for part in (np.repeat(np.arange(SHAPES), HASHED), np.arange(TYPES)):  # one of the shape, one of the type
-        own = np.zeros((part.max() + 1, DIM), np.float32)
-        at = rng.random(own.shape).argsort(1)[:, :NONZERO]
-        np.put_along_axis(own, at, rng.choice(np.array([-1, 1], np.float32), at.shape), 1)
-        out += own[part]
+def index_vectors(key: np.ndarray) -> np.ndarray:
+    """One vector per word key: a sign in each of ``NONZERO`` equal parts, at a place of the key's own."""
+    part = DIM // NONZERO
+    h = mix(key * U64(0xD6E8FEB86659FD93))
+    out = np.zeros((len(key), DIM), np.float32)
+    row = np.arange(len(key)) * DIM
+    for k in range(NONZERO):
+        own = h >> U64(10 * k)
+        out.ravel()[row + k * part + (own >> U64(1) & U64(511)).astype(np.int64) % part] = 1 - 2 * (own & U64(1)).astype(np.float32)
     return out
 
 
-def word_types(t: Texts, w: Words) -> np.ndarray:
+class Vectors(NamedTuple):
+    keys: np.ndarray  # sorted uint64: words with a context vector
+    table: np.ndarray  # their vectors
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return index_vectors(key)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out = self.table[at]
+        rare = np.flatnonzero(self.keys[at] != key)
+        out[rare] = index_vectors(key[rare])
+        return out
+
+
+SHAPE_VECTORS = index_vectors(np.arange(1, SHAPES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+
+
+def word_shapes(t: Texts, w: Words) -> np.ndarray:
     def within(table: np.ndarray) -> np.ndarray:
         total = np.zeros(len(t.data) + 1, np.int32)
         np.cumsum(table[t.data], dtype=np.int32, out=total[1:])
@@ -67,96 +91,147 @@ def word_types(t: Texts, w: Words) -> np.ndarray:
         again[back:] |= w.key[back:] == w.key[:-back] if len(w.key) > back else False
     last = t.data[np.maximum(w.end - 1, 0)] if len(w.key) else np.zeros(0, np.uint8)
     usual = (punct == 1) & ((last == 44) | (last == 46))
-    shape = ((((case * 4 + marks) * 4 + size) * 2 + (digit > 0)) * 2 + again) * 2 + usual
-    return shape * HASHED + (w.key & U64(HASHED - 1)).astype(np.int64)
-
-
-def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, sums): counts of neighbouring types, projected on the index vectors, as one table per task."""
-    index = index_vectors()
-    places = [np.nonzero(row)[0] for row in index]
-    width = max(len(p) for p in places)
-    at = np.zeros((TYPES, width), np.int64)
-    value = np.zeros((TYPES, width), np.float32)
-    for i, p in enumerate(places):
-        at[i, : len(p)], value[i, : len(p)] = p, index[i, p]
-    total = np.zeros(TYPES * DIM)
-    some = False
-    pairs = np.zeros(TYPES, np.int64)
+    return ((((case * 4 + marks) * 4 + size) * 2 + (digit > 0)) * 2 + again) * 2 + usual
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): how often each word stands in the texts of a task."""
+
+    def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+    held, size = [], 0
     for b in batches:
         for t in texts(b.column(0)):
-            w = split(t, SPACED, lower=False)
-            if not len(w.key):
-                continue
-            some = True
-            kind = word_types(t, w)
-            doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-            for step in range(1, REACH + 1):
-                same = doc[step:] == doc[:-step]
-                a, z = kind[:-step][same], kind[step:][same]
-                both = np.concatenate([a * TYPES + z, z * TYPES + a])
-                pair, n = np.unique(both, return_counts=True)
-                one, two = pair // TYPES, pair % TYPES
-                pairs += np.bincount(one, n, TYPES).astype(np.int64)
-                for k in range(width):
-                    total += np.bincount(one * DIM + at[two, k], n * value[two, k], TYPES * DIM)
-    if some:
-        yield _blobs(total)
-
-
-def _blobs(total: np.ndarray) -> pa.RecordBatch:
-    cut = np.split(total, BLOCKS)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([x.tobytes() for x in cut], pa.binary())], ["block", "sums"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
-            x = np.frombuffer(blob.as_py(), np.float64)
-            total[block] = total[block] + x if block in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
-
-
-def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Vectors of all word types, from every text of the corpus. What reaches the driver has a fixed size."""
-    schema = "block int, sums binary"
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums, schema)
-    sums = sums.repartition(4 * BLOCKS, "block", (F.xxhash64("sums") % 8)).mapInArrow(_add, schema)
-    sums = sums.repartition(BLOCKS, "block").mapInArrow(_add, schema)
-    index = index_vectors()
-    context = np.zeros((BLOCKS, TYPES * DIM // BLOCKS))
-    for block, blob in sums.collect():
-        context[block] += np.frombuffer(blob, np.float64)
-    context = context.reshape(TYPES, DIM)
+            key, n = np.unique(split(t, ALNUM).key, return_counts=True)
+            held.append((key, n))
+            size += len(key)
+            if size >= COUNTED:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if 2 * size >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
+                    held, size = [], 0
+    if size:
+        key, n = summed(held)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def vocabulary(docs: DataFrame, text_col: str, most: int) -> np.ndarray:
+    """Sorted keys of the most frequent words: all from the least count on that leaves at most ``most``."""
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # eighths of a power of two: what reaches the driver does not grow with the corpus
+    counts = keep(counts.select("word", F.floor(8 * F.log2("n")).cast("int").alias("level")))
+    least, total = None, 0
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = level
+    words = [r.word for r in counts.where(F.col("level") >= least).select("word").collect()] if least is not None else []
+    return np.sort(np.array(words, np.int64).view(U64))
+
+
+def _context_sums(keys: np.ndarray):
+    """(slot, sums): index vectors of the neighbours, summed over a task for each word of ``keys``."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(keys), DIM), np.int64)
+        seen = np.zeros(len(keys), bool)
+        for b in batches:
+            for t in texts(b.column(0)):
+                w = split(t, ALNUM)
+                if not len(w.key):
+                    continue
+                own = index_vectors(w.key)
+                doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+                around = np.zeros_like(own)
+                for step in range(1, REACH + 1):
+                    same = (doc[step:] == doc[:-step])[:, None]
+                    around[:-step] += own[step:] * same
+                    around[step:] += own[:-step] * same
+                at = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
+                known = np.flatnonzero(keys[at] == w.key)
+                _add_at(total, at[known], around[known])
+                seen[at[known]] = True
+        yield from _rows(total, seen)
+
+    return compute
+
+
+def _add_at(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        total[at[first]] += np.add.reduceat(rows[order], first, axis=0).astype(np.int64)
+
+
+def _rows(total: np.ndarray, seen: np.ndarray, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    slots = np.flatnonzero(seen)
+    for k in range(0, len(slots), size):
+        own = slots[k : k + size]
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([x.tobytes() for x in total[own]], pa.binary())], ["slot", "sums"])
+
+
+def _add(size: int):
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((size, DIM), np.int64), np.zeros(size, bool)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            if len(at):
+                _add_at(total, at, np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, DIM))
+                seen[at] = True
+        yield from _rows(total, seen)
+
+    return compute
+
+
+def word_vectors(docs: DataFrame, text_col: str, most: int = VOCABULARY) -> Vectors:
+    """Vectors of the ``most`` most frequent words, from every text of the corpus. What reaches the driver is bounded by ``most``."""
+    keys = vocabulary(docs, text_col, most)
+    if not len(keys):
+        return Vectors(keys, np.zeros((0, DIM), np.float32))
+    schema = "slot int, sums binary"
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums(keys), schema).repartition(64, "slot").mapInArrow(_add(len(keys)), schema)
+    context = np.zeros((len(keys), DIM))
+    for slot, blob in sums.collect():
+        context[slot] = np.frombuffer(blob, np.int64)
     norm = np.sqrt((context**2).sum(1, keepdims=True))
-    return index + (2 * context / np.maximum(norm, 1e-9)).astype(np.float32)
+    return Vectors(keys, index_vectors(keys) + (2 * context / np.maximum(norm, 1e-9)).astype(np.float32))
 
 
-def features(t: Texts, vectors: np.ndarray) -> np.ndarray:
-    """One row per text; a text without words is all zero."""
-    w = split(t, SPACED, lower=False)
-    out = np.zeros((t.hi - t.lo, FEATURES), np.float32)
-    some = np.flatnonzero(np.diff(w.first))
+def _pooled(v: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> None:
+    """Mean of each text's vectors, then the largest and smallest mean of its stretches, into ``out``."""
+    some = np.flatnonzero(np.diff(bounds))
     if not len(some):
-        return out
-    v = vectors[word_types(t, w)]
-    n = np.diff(w.first)[some]
+        return
+    n = np.diff(bounds)[some]
     blocks = -(-n // STRETCH)
     first = np.cumsum(blocks) - blocks
-    starts = np.repeat(w.first[some] - first * STRETCH, blocks) + np.arange(blocks.sum()) * STRETCH
-    ends = np.repeat(w.first[some] + n, blocks)
+    starts = np.repeat(bounds[some] - first * STRETCH, blocks) + np.arange(blocks.sum()) * STRETCH
+    ends = np.repeat(bounds[some] + n, blocks)
     size = np.minimum(ends - starts, STRETCH)
     sums = np.add.reduceat(v, starts, axis=0)
-    out[some, :DIM] = np.add.reduceat(sums, first, axis=0) / n[:, None]
-    means = sums / size[:, None]
+    mean = np.add.reduceat(sums, first, axis=0) / n[:, None].astype(np.float32)
+    means = sums / size[:, None].astype(np.float32)
     # a short last stretch counts with its text's mean for the rest, or it would be mostly chance
     share = (size / STRETCH)[:, None].astype(np.float32)
-    means = means * share + np.repeat(out[some, :DIM], blocks, axis=0) * (1 - share)
+    means = means * share + np.repeat(mean, blocks, axis=0) * (1 - share)
+    out[some, :DIM] = mean
     out[some, DIM : 2 * DIM] = np.maximum.reduceat(means, first, axis=0)
-    out[some, 2 * DIM : 3 * DIM] = np.minimum.reduceat(means, first, axis=0)
-    out[some, 3 * DIM] = np.log1p(n)
+    out[some, 2 * DIM :] = np.minimum.reduceat(means, first, axis=0)
+
+
+def features(t: Texts, vectors: Vectors) -> np.ndarray:
+    """One row per text: pooled words, pooled shapes, length. A text without words or marks is all zero."""
+    out = np.zeros((t.hi - t.lo, FEATURES), np.float32)
+    w = split(t, ALNUM)
+    _pooled(vectors.of(w.key), w.first, out[:, : 3 * DIM])
+    w = split(t, SPACED, lower=False)
+    _pooled(SHAPE_VECTORS[word_shapes(t, w)], w.first, out[:, 3 * DIM : 6 * DIM])
+    out[:, 6 * DIM] = np.log1p(np.diff(w.first))
     return out
 
 
@@ -213,9 +288,10 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, deca
     return net._replace(temperature=float(grid[int(np.argmin(loss))]))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
+def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, rows: int = TRAIN_ROWS) -> tuple[Vectors, Network]:
     """Word vectors from all of ``docs``; the network from at most ``rows`` labelled texts."""
     vectors = word_vectors(docs, text_col)
+    carried = docs.sparkSession.sparkContext.broadcast(vectors)
     wanted = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     wanted = keep(wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows))
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted), "id")
@@ -223,7 +299,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     def compute(batches):
         for b in batches:
             for t in texts(b.column(1)):
-                x = features(t, vectors)
+                x = features(t, carried.value)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(t.lo, t.hi - t.lo), b.column(2).slice(t.lo, t.hi - t.lo), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"]
                 )
@@ -233,7 +309,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     return vectors, train(x, np.array([r.y for r in got], np.float32))
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray, Network]) -> DataFrame:
+def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Vectors, Network]) -> DataFrame:
     """(id, score) per row: 0 to 1, higher is better. Null text counts as empty; every text has a score."""
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -246,7 +322,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray,
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(compute, "id long, score double")
 
 
-def keep_good(docs: DataFrame, text_col: str, model: tuple[np.ndarray, Network], accept: float) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str, model: tuple[Vectors, Network], accept: float) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``accept``, with all their columns."""
     carried = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
