@@ -530,6 +530,38 @@ def test_decontamination(spark):
         assert clean.columns == docs_of(spark, rows).columns and not any(h for *_, h, _ in left)
 
 
+def test_decontamination_by_passes(spark):
+    """The number of passes does not show in the rows of spans, nor in the cleaned texts."""
+    rng = random.Random(16)
+    word = lambda: rng.choice(["a", "b", "c", "ña", "9"])
+    p, q, r = ([f"{x}{k}" for k in range(1, 11)] for x in "pqr")
+    lap = [*q[5:], *r[:5]]  # overlaps with q and r in a text
+    items = [(1, " ".join(p)), (2, " ".join(q)), (3, " ".join(r)), (4, " ".join(lap)), (5, "a-b,c"), (5, "only,three,words"), (6, "?!")]
+    items += [(7 + k, " ".join(word() for _ in range(12))) for k in range(3)]
+    nested = [*p[:5], *q, *p[5:]]
+    rows = [(1, "x " + " ".join(nested) + " y"), (1, " ".join([*r[:5], *nested, *r[5:]])), (1, "x"), (2, " ".join([*q, *r[:5]]) + " z"), (3, None), (3, ""), (3, None)]
+    rows += [(None, "only three words"), (None, "a b c d"), (None, None), (4, "only three words"), (4, "only three words"), (4, "Only three a b c words")]
+    rows += [(k % 7, " ".join(word() for _ in range(rng.randrange(0, 50)))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, rows).repartition(3)
+    want = Counter((i, n, tuple(sorted(h)), tuple(sorted(f))) for i, n, h, f in brute_hits(rows, items))
+    spans, clean = [], []
+    for words_a_pass in (1 << 20, 25, 1):
+        got = decontam.spans(docs, "doc_id", "text", bench, "item_id", "text", words_a_pass=words_a_pass).collect()
+        assert Counter((x.id, x.n_words, tuple(p for a, z in zip(x.starts, x.stops) for p in range(a, z)), tuple(x["items"])) for x in got) == want
+        spans.append(Counter(map(str, got)))
+        out = decontam.cleaned(docs, "text", bench, "item_id", "text", words_a_pass=words_a_pass)
+        assert out.columns == docs.columns
+        clean.append(Counter(map(str, out.collect())))
+        assert not any(h for *_, h, _ in brute_hits([(x.doc_id, x.text) for x in out.collect()], items))
+    assert spans[0] == spans[1] == spans[2] and clean[0] == clean[1] == clean[2]
+
+
+def test_passes_count_words_as_the_operator_does(spark):
+    bench = spark.createDataFrame([(k, ",".join(["w"] * 50)) for k in range(4)] + [(9, " . ! ")], "item_id long, text string")
+    assert [len(x.value) for x in decontam._slices(bench, "item_id", "text", 100)] == [2, 2]
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     for n, symbols in ((1, 3), (50, 4), (800, 5), (3000, 60)):

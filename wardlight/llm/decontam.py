@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import keep
 from .words import ALNUM, U64, Texts, split, texts
 
 #: words of test phrases a pass over the texts carries; a larger test set takes several passes
@@ -228,20 +230,33 @@ def _shard(t: Texts, phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], li
     )
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
-    carried = docs.sparkSession.sparkContext.broadcast(items)
+def _pass(docs: DataFrame, carried: Broadcast, window: int) -> DataFrame:
+    """The last column of ``docs`` is the text; the others go along."""
+    keys = docs.drop("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases.of(carried.value, window)
         for b in batches:
-            for t in texts(b.column(1), SHARD_BYTES):
+            for t in texts(b.column(b.num_columns - 1), SHARD_BYTES):
                 n, starts, stops, found = _shard(t, phrases)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(t.lo, t.hi - t.lo), pa.array(n.astype(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, stops, found))],
-                    ["id", "n_words", "starts", "stops", "items"],
+                    [*(c.slice(t.lo, t.hi - t.lo) for c in b.columns[:-1]), pa.array(n.astype(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, stops, found))],
+                    [*b.schema.names[:-1], "n_words", "starts", "stops", "items"],
                 )
 
-    return docs.mapInArrow(rows, "id long, n_words long, starts array<long>, stops array<long>, items array<long>")
+    fields = ", ".join(f"{name} {kind}" for name, kind in keys.dtypes)
+    return docs.mapInArrow(rows, f"{fields}, n_words long, starts array<long>, stops array<long>, items array<long>")
+
+
+#: spans of several passes over one text, merged where they touch
+MERGED = "aggregate(array_sort(flatten(collect_list(arrays_zip(starts, stops)))), cast(array() as array<struct<starts:bigint,stops:bigint>>), (a, x) -> case when size(a) > 0 and x.starts <= element_at(a, -1).stops then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).starts as starts, greatest(element_at(a, -1).stops, x.stops) as stops))) else concat(a, array(x)) end)"
+
+
+def _passes(docs: DataFrame, slices: list[Broadcast], window: int) -> DataFrame:
+    out = _pass(docs, slices[0], window)
+    for carried in slices[1:]:
+        out = out.unionByName(_pass(docs, carried, window))
+    return out
 
 
 def _without(t: Texts, starts: list[np.ndarray], stops: list[np.ndarray]) -> list[str]:
@@ -259,58 +274,91 @@ def _without(t: Texts, starts: list[np.ndarray], stops: list[np.ndarray]) -> lis
     return out
 
 
-def _slices(benchmark: DataFrame, item_col: str, item_text: str, words_a_pass: int) -> Iterator[list[tuple[int, str]]]:
-    """The test set in parts of at most about ``words_a_pass`` words; one empty part if there is none."""
+def _slices(benchmark: DataFrame, item_col: str, item_text: str, words_a_pass: int) -> list[Broadcast]:
+    """The test set in parts of at most ``words_a_pass`` words, a longer item being a part of its own; one empty part if there is none."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    batch, weight, some = [], 0, False
+    carry = benchmark.sparkSession.sparkContext.broadcast
+    out, batch, weight = [], [], 0
     for item, text in items.orderBy("item", "text").toLocalIterator():
+        n = len(split(next(texts(pa.array([text], pa.string()), 1 << 60)), ALNUM).key)
+        if not n:
+            continue
+        if batch and weight + n > words_a_pass:
+            out.append(carry(batch))
+            batch, weight = [], 0
         batch.append((item, text))
-        weight += text.count(" ") + 1
-        if weight >= words_a_pass:
-            yield batch
-            batch, weight, some = [], 0, True
-    if batch or not some:
-        yield batch
+        weight += n
+    return [*out, carry(batch)] if batch or not out else out
+
+
+def _cleaned_by_rounds(docs: DataFrame, text_col: str, slices: list[Broadcast], window: int) -> DataFrame:
+    """A round takes the spans of all slices out of a text at once, as one slice would; changed texts have another round."""
+    keyed = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    todo = keyed.where(F.col(text_col).isNotNull()).select("__row", F.col(text_col).cast("string").alias("text"))
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in texts(b.column(1), SHARD_BYTES):
+                starts, stops = (b.column(c).slice(t.lo, t.hi - t.lo).to_pylist() for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(_without(t, starts, stops), pa.string())], ["__row", "text"])
+
+    rounds = []
+    while True:
+        found = _passes(todo, slices, window).where(F.size("starts") > 0).groupBy("__row").agg(F.expr(MERGED).alias("s"))
+        hit = todo.join(found, "__row").select("__row", "text", F.col("s.starts").alias("starts"), F.col("s.stops").alias("stops"))
+        todo = keep(hit.mapInArrow(removed, "__row long, text string"))
+        if todo.isEmpty():
+            break
+        rounds.append(todo.withColumn("__round", F.lit(len(rounds))))
+    if not rounds:
+        return keyed.select(*docs.columns)
+    changed = rounds[0]
+    for r in rounds[1:]:
+        changed = changed.unionByName(r)
+    changed = changed.groupBy("__row").agg(F.max_by("text", "__round").alias("__text"))
+    return keyed.join(changed, "__row", "left").withColumn(text_col, F.coalesce("__text", F.col(text_col))).select(*docs.columns)
 
 
 def cleaned(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int = 10, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
     """``docs`` with all spans of test phrases removed from the text, until none is left.
 
-    All columns stay as they are but the text. Null stays null; an empty test set changes nothing.
+    All columns stay as they are but the text. Null stays null; an empty test set changes nothing. The result does
+    not depend on ``words_a_pass``. Columns with a leading ``__`` are the operator's own.
     """
     at = docs.columns.index(text_col)
-    for items in _slices(benchmark, item_col, item_text, words_a_pass):
-        carried = docs.sparkSession.sparkContext.broadcast(items)
-
-        def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases.of(carried.value, window)
-            for b in batches:
-                changed: dict[int, str] = {}
-                for t in texts(b.column(at), SHARD_BYTES):
-                    _, starts, stops, _ = _shard(t, phrases)
-                    hit = [i for i, x in enumerate(starts) if len(x)]
-                    if hit:
-                        new = _without(t, starts, stops)
-                        changed |= {t.lo + i: new[i] for i in hit}
-                again = list(changed)
-                while again:  # what closes up may be a phrase again
-                    t = next(texts(pa.array([changed[i] for i in again], pa.string()), 1 << 60))
-                    _, starts, stops, _ = _shard(t, phrases)
+    slices = _slices(benchmark, item_col, item_text, words_a_pass)
+    if len(slices) > 1:
+        return _cleaned_by_rounds(docs, text_col, slices, window)
+    carried = slices[0]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases.of(carried.value, window)
+        for b in batches:
+            changed: dict[int, str] = {}
+            for t in texts(b.column(at), SHARD_BYTES):
+                _, starts, stops, _ = _shard(t, phrases)
+                hit = [i for i, x in enumerate(starts) if len(x)]
+                if hit:
                     new = _without(t, starts, stops)
-                    hit = [j for j, x in enumerate(starts) if len(x)]
-                    changed |= {again[j]: new[j] for j in hit}
-                    again = [again[j] for j in hit]
-                if changed:
-                    body = b.column(at).to_pylist()
-                    for i, x in changed.items():
-                        body[i] = x
-                    columns = list(b.columns)
-                    columns[at] = pa.array(body, b.column(at).type)
-                    b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
-                yield b
-
-        docs = docs.mapInArrow(rows, docs.schema)
-    return docs
+                    changed |= {t.lo + i: new[i] for i in hit}
+            again = list(changed)
+            while again:  # what closes up may be a phrase again
+                t = next(texts(pa.array([changed[i] for i in again], pa.string()), 1 << 60))
+                _, starts, stops, _ = _shard(t, phrases)
+                new = _without(t, starts, stops)
+                hit = [j for j, x in enumerate(starts) if len(x)]
+                changed |= {again[j]: new[j] for j in hit}
+                again = [again[j] for j in hit]
+            if changed:
+                body = b.column(at).to_pylist()
+                for i, x in changed.items():
+                    body[i] = x
+                columns = list(b.columns)
+                columns[at] = pa.array(body, b.column(at).type)
+                b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            yield b
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int = 10, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
@@ -320,15 +368,14 @@ def spans(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, ite
     of an item; a shorter item that has words is one window. Null and empty texts have no words and no
     spans; items without words or id occur nowhere; repeated items count once. The test set is read in
     passes of bounded size: what a pass broadcasts is at most
-    ``words_a_pass`` words, whatever its size; with several passes, rows of one id are one document.
+    ``words_a_pass`` words (or one item), whatever its size; passes are merged by row, so their number does not show.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    passes = [_pass(docs, items, window) for items in _slices(benchmark, item_col, item_text, words_a_pass)]
-    if len(passes) == 1:
-        return passes[0]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    merged = "aggregate(array_sort(flatten(collect_list(arrays_zip(starts, stops)))), cast(array() as array<struct<starts:bigint,stops:bigint>>), (a, x) -> case when size(a) > 0 and x.starts <= element_at(a, -1).stops then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).starts as starts, greatest(element_at(a, -1).stops, x.stops) as stops))) else concat(a, array(x)) end)"
-    out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.expr(merged).alias("s"), F.expr("array_distinct(flatten(collect_list(items)))").alias("items"))
+    slices = _slices(benchmark, item_col, item_text, words_a_pass)
+    if len(slices) == 1:
+        return _pass(docs, slices[0], window).withColumn("items", F.array_distinct("items"))
+    docs = keep(docs.withColumn("row", F.monotonically_increasing_id())).select("row", "id", "text")
+    out = _passes(docs, slices, window).groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.expr(MERGED).alias("s"), F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items")
+    )
     return out.select("id", "n_words", F.col("s.starts").alias("starts"), F.col("s.stops").alias("stops"), "items")
