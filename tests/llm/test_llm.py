@@ -480,6 +480,22 @@ def test_pseudonyms(spark):
     assert got[90].asDict().keys() >= {"lang", "key", "bucket"}
 
 
+def test_pseudonyms_next_to_numbers_and_in_usual_layouts(spark):
+    gone = {
+        "4111-1111-1111-1111 12/27": "4111-1111-1111-1111", "4111 1111 1111 1111 123": "4111 1111 1111 1111", "12 4111 1111 1111 1111": "4111 1111 1111 1111",
+        "1234 4111 1111 1111 1111 5": "4111 1111 1111 1111", "4111111111111111 12": "4111111111111111", "4111 1111 1111 1111 12/03/1985": "12/03/1985", "7 1985-03-12 555-123-4567": "1985-03-12",
+        "77 12 123-45-6789 5500": "123-45-6789", "BE68 5390 0754 7034 EUR": "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00 BIC": "DE89 3704 0044 0532 0130 00",
+        "+44 20 7946 0958": "0958", "+33 1 23 45 67 89": "23 45 67 89", "+49 30 12345678": "12345678", "555-123-4567": "555-123-4567", "1985/03/12": "1985/03/12", "3/4/1985": "3/4/1985", "12/25/1999": "12/25/1999",
+    }
+    rows = [(i, f"x {t} y") for i, t in enumerate(gone)] + [(90, "1 2 3 4 5 6 7 8 9 1 2 3 4 5 0"), (91, " ".join(["10"] * 3000)), (92, "13/32/1999"), (93, "x " + "1234567" * 3 + " y"), (94, "7" * 40)]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs_of(spark, rows), "text").collect()}
+    for i, (t, value) in enumerate(gone.items()):
+        assert value not in got[i].text and got[i].n_personal >= 1, (t, got[i].text)
+    assert got[0].text.endswith(" 12/27 y") and got[1].text.endswith(" 123 y") and got[8].text.endswith(" EUR y") and got[2].text.startswith("x 12 ")
+    assert luhn(got[1].text[2:21].replace(" ", "")) and int(got[16].text.split("/")[1]) > 12 and all(got[i].text == t for i, t in rows if i in (92, 93)) and got[94].text != "7" * 40
+    assert "555-123-4567" not in got[6].text and got[6].text.startswith("x 7 ")
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.range(10_000).selectExpr("lpad(string(id), 4, '0') as v").selectExpr("v", f"{pii.permuted_text('v', 5)} as p")
     assert df.select("p").distinct().count() == 10_000

@@ -18,21 +18,34 @@ from .sharding import permuted
 ROUNDS = 6
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
+#: Length of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_DATED = r"(?![./][0-9]{1,3}[./][0-9])"  # a group that begins a date or an address of a host
+
 #: (kind, pattern); the first that matches at a place holds
 PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"),
     ("secret", r"(?<=password=)[^\s\"']+"),
     ("secret", r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])"),
+    ("iban", rf"(?<![A-Z0-9])(?:{_COUNTRIES})(?![A-Z0-9])"),
     ("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,5}\)?(?:[ .-][0-9]{4}){2}|[ .-]\(?[0-9]{1,3}\)?(?:[ .-][0-9]{2}){4}|(?:[ .-][0-9]{2}){4}|[ .-]\(?[0-9]{1,5}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}|[ .-]\(?[0-9]{2,5}\)?[ .-][0-9]{5,8})(?![0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{10,15}(?![0-9])"),
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3}[ -]?[0-9]{3,4}(?![0-9])"),
     ("phone", r"(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"),
-    ("date", r"(?<![0-9./-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9]|[./-][0-9])"),
-    ("date", r"(?<![0-9./-])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9])"),
-    ("date", r"(?<![0-9./-])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9])"),
+    ("phone", r"(?<![0-9.-])[0-9]{3}(?:-[0-9]{3}-[0-9]{4}|\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])"),
+    ("date", r"(?<![0-9./-])(?:19|20)[0-9]{2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}(?![0-9]|[./-][0-9])"),
+    ("date", r"(?<![0-9./-])[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("host", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
+    # a whole run of groups, cut into values afterwards
+    ("card", rf"(?<![0-9])(?=(?:[0-9][ -]?){{12}}[0-9])[0-9]++(?:[ -][0-9]++{_DATED})*+"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 
@@ -88,8 +101,8 @@ def _put_back(shape: str, chars: str) -> str:
         struct(concat(s.done, substring({chars}, s.n, 1)) as done, s.n + 1 as n), struct(concat(s.done, c) as done, s.n as n)), s -> s.done)"""
 
 
-def pseudonym(m: str, key: int) -> str:
-    """SQL: the pseudonym of a found value ``m``, or ``m`` itself where its check fails."""
+def pseudonym(m: str, key: int, piece: bool = False) -> str:
+    """SQL: the pseudonym of a found value ``m``, or ``m`` itself where its check fails; a ``piece`` is one value of a run."""
 
     def holds(kind: str) -> str:
         return "(" + " or ".join(f"{m} rlike {_lit('^(?:' + p.replace('(?<=password=)', '') + ')$')}" for k, p in PATTERNS if k == kind) + ")"
@@ -105,26 +118,55 @@ def pseudonym(m: str, key: int) -> str:
         f"if({_iban_rest('d')} <> 1, {m}, " + _put_back(m, one("z", "concat(substring(d, 1, 2), '00', p)", f"concat(substring(d, 1, 2), lpad(cast(98 - {_iban_rest('z')} as string), 2, '0'), p)")) + ")"))
     host = one("d", f"transform(split({m}, '[.]'), x -> try_cast(x as int))", f"if(exists(d, x -> x > 255), {m}, " + one(
         "p", (permuted("((d[0] * 256L + d[1]) * 256L + d[2]) * 256L + d[3]", 1 << 32, key)), "concat_ws('.', array(string(p div 16777216), string(p div 65536 % 256), string(p div 256 % 256), string(p % 256)))") + ")")
-    forms = (("'-'", "yyyy-MM-dd"), ("'/'", "dd/MM/yyyy"), ("'.'", "dd.MM.yyyy"))
+    permuted_day = permuted("d", DAYS, key)
+    # month first is read only where day first is no date, so the day is over 12 and stays so: walk on until it is
+    late = f"aggregate(sequence(1, 60), d, (a, k) -> if(k > 1 and dayofmonth(date_add(date'{FIRST_DAY}', cast(a as int))) > 12, a, {permuted('a', DAYS, key)}))"
+
+    def dated(form: str, moved: str) -> str:
+        wide = form.replace("d", "dd").replace("M", "MM")
+        put = f"date_add(date'{FIRST_DAY}', cast({moved} as int))"
+        shown = f"if({m} rlike '(^|[^0-9])[0-9]([^0-9]|$)', date_format({put}, '{form}'), date_format({put}, '{wide}'))"
+        return one("d", f"cast(datediff(try_to_date({m}, '{form}'), date'{FIRST_DAY}') as bigint)", f"if(d is null, null, {shown})")
+
     date = "case " + " ".join(
-        f"when instr({m}, {sign}) > 0 then coalesce(" + one("d", f"datediff(try_to_date({m}, '{form}'), date'{FIRST_DAY}')", f"if(d is null, null, date_format(date_add(date'{FIRST_DAY}', cast({(permuted('d', DAYS, key))} as int)), '{form}'))") + f", {m})"
-        for sign, form in forms
+        f"when instr({m}, '{x}') > 0 then coalesce(if({m} rlike '^[0-9]{{4}}', {dated(f'yyyy{x}M{x}d', permuted_day)}, coalesce({dated(f'd{x}M{x}yyyy', permuted_day)}, {dated(f'M{x}d{x}yyyy', late)})), {m})"
+        for x in "-/."
     ) + f" else {m} end"
     mail = one("d", f"substring_index({m}, '@', 1)", f"concat({permuted_text('d', key)}, '@', substring({m}, length(d) + 2))")
     secret = f"if({m} like 'AKIA%', concat('AKIA', " + one("d", f"substring({m}, 5)", permuted_text("d", key)) + f"), {permuted_text(m, key, f'{m} rlike r{chr(39)}^[0-9a-f]+${chr(39)}')})"
     number = one("d", digits, _put_back(m, permuted_text("d", key)))
     phone = one("d", digits, _put_back(m, f"concat(substring(d, 1, length(d) - 10), {permuted_text('right(d, 10)', key)})"))
     phone = f"if(length({digits}) between 10 and 15, {phone}, {m})"
+    if piece:
+        return f"""case when {holds('phone')} then {phone} when {holds('date')} then {date} when {holds('ssn')} then {number} else {card} end"""
     return f"""case when {m} like '%@%' then {mail}
         when {holds('iban')} then {iban}
         when {holds('phone')} then {phone}
         when {holds('date')} then {date}
         when {holds('ssn')} then {number}
         when {holds('host')} then {host}
-        when {m} rlike '^[0-9][0-9 -]*$' and length({digits}) between 13 and 19 then {card}
+        when {m} rlike '^[0-9][0-9 -]*$' and not {m} rlike '^[0-9]{{32,128}}$' then {_run(m, key)}
         else {secret} end"""
 
 
+def _run(m: str, key: int) -> str:
+    """SQL: a run of groups of digits with its values replaced. At each group the longest stretch of groups that is
+    a card holds, else three groups that are a date, a telephone or a social security number; else the group stays."""
+    g, seps = f"regexp_extract_all({m}, '[0-9]+', 0)", f"regexp_extract_all({m}, '[ -]', 0)"
+    digits = "array_join(slice(g, i + 1, n), '')"
+    card = f"length({digits}) between 13 and 19 and {_check_digit(digits, 1)} % 10 = 0 and not {digits} rlike '^0+$'"
+    stretch = "array_join(zip_with(slice(g, i + 1, n), slice(s, i + 1, n - 1), (a, b) -> concat(a, coalesce(b, ''))), '')"
+    three = stretch.replace("n - 1", "2").replace(", n)", ", 3)")
+    other = "(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})"
+    alone = "(i = 0 or s[i - 1] = ' ') and coalesce(get(s, i + 2), ' ') = ' '"
+    # how many groups from group i on are one value
+    size = f"""coalesce(array_max(filter(sequence(1, least(19, size(g) - i)), n -> {card})), if({alone} and {three} rlike '^{other}$', 3, 1))"""
+    return f"""element_at(transform(array(struct({g} as g, {seps} as s)), r -> element_at(transform(array(r.g), g -> element_at(transform(array(r.s), s ->
+        aggregate(sequence(0, size(g) - 1), struct('' as done, 0 as free), (t, i) -> if(i < t.free, t,
+            element_at(transform(array({size}), n -> element_at(transform(array({stretch}), c ->
+                struct(concat(t.done, if(i = 0, '', s[i - 1]), if(n = 1 and length(c) not between 13 and 19, c, {pseudonym('c', key, piece=True)})) as done, cast(i + n as int) as free)), 1)), 1)), t -> t.done)), 1)), 1)), 1)"""
+
+
 def pseudonymize(docs: DataFrame, text_col: str, key: int = 20_260_101, found_col: str = "n_personal") -> DataFrame:
     """``docs`` with personal data in the text replaced, and the number of values replaced.
 
