@@ -375,6 +375,14 @@ def test_word_vectors_follow_the_definition(spark):
     assert set(few.keys) == {key["one"], key["two"]} and (few.of(np.array([key["five"]]))[0] == own["five"]).all()
 
 
+def test_windows_hold_every_passage_of_half_their_size():
+    for n in [*range(1, 80), 500]:
+        x = toxicity.Inputs(next(words.texts(pa.array([" ".join(f"w{k}" for k in range(n))]))))
+        held = [set(at[inside].tolist()) for at, inside in zip(x.at, x.inside)]
+        size = min(n, toxicity.WINDOW // 2)
+        assert all(any(set(range(k, k + size)) <= own for own in held) for k in range(n - size + 1)), n
+
+
 def test_gradients_of_the_recurrent_network():
     net, rng = toxicity.Reader(), np.random.default_rng(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

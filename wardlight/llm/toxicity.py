@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as the sum of a hashed word vector and, beside it, of its hashed character n-grams (four bytes;
-the first ones of a word apart). Windows of 24 words, each overlapping the next by six, are read in both
-directions; attention pools the states of a window to a score, and a text is as toxic as its worst window.
+the first ones of a word apart). Windows of 24 words, each overlapping the next by half, are read in both
+directions, so any 13 words in a row are whole in one of them; attention pools the states of a window to a score, and a text is as toxic as its worst window.
 All windows of a text are scored, however long it is.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .storage import keep
 from .words import ALNUM, LOWER, U64, Texts, mix, split, texts
 
-WINDOW, STRIDE = 24, 18
+WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 13, 1 << 14
 EMB, HIDDEN = 8, 8
 INPUT = 2 * EMB
