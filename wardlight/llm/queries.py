@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, sharding, toxicity
+from . import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, repair, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +184,76 @@ def op10(spark, sf_dir):
         F.col("id").alias("doc_id"), "n_words", hits.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(names)), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
     )
+
+
+#: crc32 of a string's bytes
+CRC_SQL = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length({0}::BLOB)), lambda i: ('0x' || substr(hex({0}::BLOB), 2 * i::INT + 1, 2))::BIGINT)), "
+    "lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+)
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations
+),
+h AS (SELECT *, {CRC_SQL.format("k")} % 20 AS h FROM d),
+r AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM h, (SELECT 0 AS copy UNION ALL SELECT 1) WHERE h <> 0 AND (copy = 0 OR h = 3)
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i FROM r),
+f AS (
+    SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy,
+        left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o
+),
+g AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN copy > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+dp AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS made FROM (SELECT DISTINCT conv_id FROM g)
+    UNION ALL
+    SELECT conv_id, i, goal, (min(b)).cost, (min(b)).audit, (min(b)).made FROM (
+        SELECT g.conv_id, g.i, e.goal, {{'cost': dp.cost + e.cost + CASE WHEN e.edit <> 'D' AND g.fault = 3 THEN 3 ELSE 0 END, 'audit': dp.audit || e.edit,
+            'made': dp.made || CASE WHEN e.edit LIKE 'I%' THEN CASE WHEN dp.state = 2 THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE '' END
+                || CASE WHEN e.edit LIKE '%K' THEN g.role || ':' || g.text || chr(10) WHEN e.edit LIKE '%R' THEN CASE WHEN e.goal = 2 THEN 'user:' ELSE 'assistant:' END || g.text || chr(10) ELSE '' END}} AS b
+        FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.i = dp.i + 1
+        JOIN (VALUES (0, 0, 'D', 4, ''), (1, 1, 'D', 4, ''), (2, 2, 'D', 4, ''), (3, 3, 'D', 4, ''), (0, 1, 'K', 0, 's'),
+            (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'), (0, 2, 'R', 3, ''), (1, 2, 'R', 3, ''), (3, 2, 'R', 3, ''), (2, 3, 'R', 3, ''),
+            (0, 3, 'IK', 3, 'a'), (1, 3, 'IK', 3, 'a'), (3, 3, 'IK', 3, 'a'), (2, 2, 'IK', 3, 'u'), (0, 3, 'IR', 6, ''), (1, 3, 'IR', 6, ''), (3, 3, 'IR', 6, ''), (2, 2, 'IR', 6, '')
+        ) AS e(state, goal, edit, cost, ini) ON e.state = dp.state AND (e.edit = 'D' OR g.fault NOT IN (1, 2)) AND (e.edit NOT LIKE '%K' OR e.ini = g.ini)
+    ) GROUP BY conv_id, i, goal
+),
+n AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+        count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+),
+best AS (
+    SELECT conv_id, min({{'cost': cost + t.price, 'audit': audit || t.edit, 'made': made || t.more}}) AS b
+    FROM (SELECT dp.* FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i)
+    JOIN (VALUES (0, 0, '', ''), (1, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 3, 'I', 'assistant:' || chr(10)), (3, 0, '', '')) AS t(state, price, edit, more) USING (state)
+    GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(left(b.made, length(b.made) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with the faults that the query plants by crc32 of ``conv_id:turn``."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    turns = turns.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), lot.alias("lot")).where("lot <> 0")
+    text = F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("lot") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("lot") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    plan = repair.plan(damaged(turns), "conv_id", "turn", "role", "text")
+    found = plan.report.join(repair.digests(plan).withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    out = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
