@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, neardup, packing, pii, quality, repair, sharding, toxicity
+from . import chat, codes, decontam, jaccard, licenses, neardup, packing, pii, quality, repair, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -257,3 +257,44 @@ def op11(spark, sf_dir):
     out = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+
+#: every part assigned to the nearest entry of the codebook before, then the codebook after
+OP13_ASSIGN = """
+a{n} AS MATERIALIZED (
+    SELECT v.j, v.r, min({{'d': list_sum(list_transform(list_zip(v.p, c.p), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, 'e': c.e}}) AS b
+    FROM parts AS v JOIN c{n} AS c ON c.j = v.j GROUP BY v.j, v.r
+)"""
+OP13_UPDATE = """
+s{n} AS (SELECT j, (b).e AS e, i, sum(p[i])::BIGINT AS s, count(*) AS n FROM (SELECT a.b, v.* FROM a{n} AS a JOIN parts AS v ON v.j = a.j AND v.r = a.r) AS x, (SELECT unnest(range(1, 17)) AS i) GROUP BY 1, 2, 3),
+c{m} AS MATERIALIZED (
+    SELECT c.j, c.e, coalesce(n.p, c.p) AS p FROM c{n} AS c
+    LEFT JOIN (SELECT j, e, list((s - (s % n + n) % n) // n ORDER BY i) AS p FROM s{n} GROUP BY j, e) AS n ON n.j = c.j AND n.e = c.e
+)"""
+OP13_SQL = (
+    """
+WITH k AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+parts AS MATERIALIZED (SELECT r, j, v[16 * j + 1:16 * j + 16] AS p FROM k, (SELECT unnest(range(0, 4)) AS j)),
+c0 AS (SELECT j, r - 1 AS e, p FROM parts WHERE r <= 256),"""
+    + ",".join(OP13_ASSIGN.format(n=n) + "," + OP13_UPDATE.format(n=n, m=n + 1) for n in range(4))
+    + ","
+    + OP13_ASSIGN.format(n=4)
+    + """,
+o AS (SELECT r, string_agg(lower(lpad(to_hex((b).e), 2, '0')), '' ORDER BY j) AS code, sum((b).d)::BIGINT AS error FROM a4 GROUP BY r),
+g AS (SELECT label, sum(error)::BIGINT AS label_error FROM o JOIN k USING (r) GROUP BY label)
+SELECT k.vec_id, o.code, o.error, g.label_error, (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY j, e)) FROM c4) AS codebooks_sha256
+FROM k JOIN o USING (r) JOIN g ON g.label IS NOT DISTINCT FROM k.label
+"""
+)
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.fit(vectors, "vec_id", "embedding")
+    coded = codes.error_by(codes.encode(vectors, "embedding", books).drop("embedding"), "label", out_col="label_error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
