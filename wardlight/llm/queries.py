@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontam, jaccard, licenses, neardup, packing, pii, quality, repair, sharding, toxicity
+from . import chat, codes, decontam, jaccard, licenses, neardup, packing, pii, quality, repair, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -260,6 +260,27 @@ def op11(spark, sf_dir):
 
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (g) WHERE least < doc_id),
+k AS (SELECT r, list(p) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t.body, '') END) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN (
+    SELECT r, string_agg(x, ' ' ORDER BY p) AS body FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d SEMI JOIN k USING (r)) ANTI JOIN c USING (r, p) GROUP BY r
+) AS t USING (r)
+"""
+
+
+@query("op12_substring_dedup", OP12_SQL)
+def op12(spark, sf_dir):
+    found = substrings.repeated(table(spark, sf_dir, "documents"), "doc_id", "text")
+    gone = F.expr("aggregate(zip_with(starts, stops, (a, z) -> z - a), 0L, (x, y) -> x + y)")
+    return found.select(F.col("id").alias("doc_id"), "n_words", gone.alias("n_removed"), "kept_sha256")
+
+
 #: every part assigned to the nearest entry of the codebook before, then the codebook after
 OP13_ASSIGN = """
 a{n} AS MATERIALIZED (
