@@ -155,8 +155,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts(body, CHUNK_BYTES):
             w = split(t, SPACED, lower=False)
             shown = [None if not f else d for f, d in zip(free[t.lo : t.hi], _digests(t, w, np.ones(len(w.key), bool)))]
-            mask = pa.array(free[t.lo : t.hi])
-            own = pa.compute.if_else(mask, pa.scalar(None, body.type), body.slice(t.lo, t.hi - t.lo))
+            own = body.take(pa.array(np.arange(t.lo, t.hi), mask=free[t.lo : t.hi]))
             joined = [None if x is None else b"".join(x) for x in anchors.slice(t.lo, t.hi - t.lo).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c).slice(t.lo, t.hi - t.lo) for c in (0, 1)), pa.array(np.diff(w.first)), pa.array(shown, pa.string()), own, pa.array(joined, pa.binary())],
