@@ -15,7 +15,7 @@ fitted on rows held back from training.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep
-from .words import ALNUM, SPACED, U64, Texts, Words, mix, split, texts
+from .words import ALNUM, SPACED, U64, Texts, Words, between, mix, split, texts
 
 SHAPES = 512
 DIM, NONZERO = 48, 6
 #: words with a context vector, at most: the most frequent of the corpus
 VOCABULARY = 65_536
 #: distinct words a task counts before it hands its counts on
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 REACH = 2
 STRETCH = 32
+#: words worked through at a time, also inside one text
+RUN = 512 * STRETCH
 FEATURES = 6 * DIM + 1
 #: labelled rows used for training, at most: those with the smallest hash of their id
 TRAIN_ROWS = 20_000
@@ -76,10 +78,13 @@ SHAPE_VECTORS = index_vectors(np.arange(1, SHAPES + 1, dtype=U64) * U64(0x9E3779
 
 
 def word_shapes(t: Texts, w: Words) -> np.ndarray:
+    base = w.start[0] if len(w.key) else 0
+    data = t.data[base : w.end[-1] if len(w.key) else 0]
+
     def within(table: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(t.data) + 1, np.int32)
-        np.cumsum(table[t.data], dtype=np.int32, out=total[1:])
-        return total[w.end] - total[w.start]
+        total = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(table[data], dtype=np.int32, out=total[1:])
+        return total[w.end - base] - total[w.start - base]
 
     upper, digit, punct = within(UPPER), within(DIGIT), within(PUNCT)
     length = w.end - w.start
@@ -87,9 +92,10 @@ def word_shapes(t: Texts, w: Words) -> np.ndarray:
     marks = np.where(punct == 0, 0, np.where(punct == length, 3, np.minimum(punct, 2)))
     size = np.searchsorted([3, 7, 14], length)
     again = np.zeros(len(w.key), bool)
+    doc = np.searchsorted(w.first, np.arange(len(w.key)), "right")
     for back in (1, 2):
-        again[back:] |= w.key[back:] == w.key[:-back] if len(w.key) > back else False
-    last = t.data[np.maximum(w.end - 1, 0)] if len(w.key) else np.zeros(0, np.uint8)
+        again[back:] |= (w.key[back:] == w.key[:-back]) & (doc[back:] == doc[:-back]) if len(w.key) > back else False
+    last = data[w.end - 1 - base]
     usual = (punct == 1) & ((last == 44) | (last == 46))
     return ((((case * 4 + marks) * 4 + size) * 2 + (digit > 0)) * 2 + again) * 2 + usual
 
@@ -137,35 +143,50 @@ def _context_sums(keys: np.ndarray):
     """(slot, sums): index vectors of the neighbours, summed over a task for each word of ``keys``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(keys), DIM), np.int64)
+        total = np.zeros((len(keys), DIM), np.int32)
         seen = np.zeros(len(keys), bool)
+        words = 0
         for b in batches:
             for t in texts(b.column(0)):
                 w = split(t, ALNUM)
-                if not len(w.key):
-                    continue
-                own = index_vectors(w.key)
-                doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-                around = np.zeros_like(own)
-                for step in range(1, REACH + 1):
-                    same = (doc[step:] == doc[:-step])[:, None]
-                    around[:-step] += own[step:] * same
-                    around[step:] += own[:-step] * same
-                at = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
-                known = np.flatnonzero(keys[at] == w.key)
-                _add_at(total, at[known], around[known])
-                seen[at[known]] = True
+                for lo in range(0, len(w.key), RUN):
+                    hi = min(lo + RUN, len(w.key))
+                    at, around = _neighbours(w, lo, hi, keys)
+                    _add_at(total, at, around)
+                    seen[at] = True
+                    words += hi - lo
+                    if words > MOST_WORDS:  # before 32 bits overflow
+                        yield from _rows(total, seen)
+                        total[:], seen[:], words = 0, False, 0
         yield from _rows(total, seen)
 
     return compute
 
 
+MOST_WORDS = (1 << 31) // (2 * REACH) - RUN
+
+
+def _neighbours(w: Words, lo: int, hi: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words ``lo:hi`` that are in ``keys``, and the sum of their neighbours' index vectors."""
+    a, z = max(0, lo - REACH), min(len(w.key), hi + REACH)
+    own = index_vectors(w.key[a:z]).astype(np.int8)
+    doc = np.searchsorted(w.first, np.arange(a, z), "right")
+    around = np.zeros_like(own)
+    for step in range(1, REACH + 1):
+        same = (doc[step:] == doc[:-step])[:, None]
+        around[:-step] += own[step:] * same
+        around[step:] += own[:-step] * same
+    at = np.minimum(np.searchsorted(keys, w.key[lo:hi]), len(keys) - 1)
+    known = np.flatnonzero(keys[at] == w.key[lo:hi])
+    return at[known], around[lo - a :][known]
+
+
 def _add_at(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     if len(at):
         order = np.argsort(at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        total[at[first]] += np.add.reduceat(rows[order], first, axis=0).astype(np.int64)
+        total[at[first]] += np.add.reduceat(rows[order], first, axis=0, dtype=total.dtype)
 
 
 def _rows(total: np.ndarray, seen: np.ndarray, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -175,15 +196,22 @@ def _rows(total: np.ndarray, seen: np.ndarray, size: int = 4096) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([x.tobytes() for x in total[own]], pa.binary())], ["slot", "sums"])
 
 
-def _add(size: int):
+def _vectors(keys: np.ndarray):
+    """(slot, vector): the sums of all tasks as word vectors. All rows of a slot are in one task."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((size, DIM), np.int64), np.zeros(size, bool)
+        total, seen = np.zeros((len(keys), DIM), np.int64), np.zeros(len(keys), bool)
         for b in batches:
             at = b.column(0).to_numpy()
-            if len(at):
-                _add_at(total, at, np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, DIM))
-                seen[at] = True
-        yield from _rows(total, seen)
+            for k in range(0, len(at), 4096):
+                _add_at(total, at[k : k + 4096], np.frombuffer(b"".join(b.column(1).slice(k, 4096).to_pylist()), np.int32).reshape(-1, DIM))
+            seen[at] = True
+        slots = np.flatnonzero(seen)
+        for k in range(0, len(slots), 4096):
+            own = slots[k : k + 4096]
+            norm = np.sqrt((total[own].astype(np.float64) ** 2).sum(1, keepdims=True))
+            vectors = index_vectors(keys[own]) + (2 * total[own] / np.maximum(norm, 1e-9)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([x.tobytes() for x in vectors], pa.binary())], ["slot", "vector"])
 
     return compute
 
@@ -193,17 +221,18 @@ def word_vectors(docs: DataFrame, text_col: str, most: int = VOCABULARY) -> Vect
     keys = vocabulary(docs, text_col, most)
     if not len(keys):
         return Vectors(keys, np.zeros((0, DIM), np.float32))
-    schema = "slot int, sums binary"
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums(keys), schema).repartition(64, "slot").mapInArrow(_add(len(keys)), schema)
-    context = np.zeros((len(keys), DIM))
-    for slot, blob in sums.collect():
-        context[slot] = np.frombuffer(blob, np.int64)
-    norm = np.sqrt((context**2).sum(1, keepdims=True))
-    return Vectors(keys, index_vectors(keys) + (2 * context / np.maximum(norm, 1e-9)).astype(np.float32))
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums(keys), "slot int, sums binary")
+    table = index_vectors(keys)
+    for slot, blob in sums.repartition("slot").mapInArrow(_vectors(keys), "slot int, vector binary").toLocalIterator():
+        table[slot] = np.frombuffer(blob, np.float32)
+    return Vectors(keys, table)
+
 
+def _pooled(of: Callable[[int, int], np.ndarray], bounds: np.ndarray, out: np.ndarray) -> None:
+    """Mean of each text's vectors, then the largest and smallest mean of its stretches, into ``out``.
 
-def _pooled(v: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> None:
-    """Mean of each text's vectors, then the largest and smallest mean of its stretches, into ``out``."""
+    ``of`` gives the vectors of a range of words; ranges have at most ``RUN`` words.
+    """
     some = np.flatnonzero(np.diff(bounds))
     if not len(some):
         return
@@ -213,7 +242,10 @@ def _pooled(v: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> None:
     starts = np.repeat(bounds[some] - first * STRETCH, blocks) + np.arange(blocks.sum()) * STRETCH
     ends = np.repeat(bounds[some] + n, blocks)
     size = np.minimum(ends - starts, STRETCH)
-    sums = np.add.reduceat(v, starts, axis=0)
+    sums = np.empty((len(starts), DIM), np.float32)
+    for k in range(0, len(starts), RUN // STRETCH):
+        own = starts[k : k + RUN // STRETCH]
+        sums[k : k + len(own)] = np.add.reduceat(of(own[0], own[-1] + size[k + len(own) - 1]), own - own[0], axis=0)
     mean = np.add.reduceat(sums, first, axis=0) / n[:, None].astype(np.float32)
     means = sums / size[:, None].astype(np.float32)
     # a short last stretch counts with its text's mean for the rest, or it would be mostly chance
@@ -228,9 +260,14 @@ def features(t: Texts, vectors: Vectors) -> np.ndarray:
     """One row per text: pooled words, pooled shapes, length. A text without words or marks is all zero."""
     out = np.zeros((t.hi - t.lo, FEATURES), np.float32)
     w = split(t, ALNUM)
-    _pooled(vectors.of(w.key), w.first, out[:, : 3 * DIM])
+    _pooled(lambda lo, hi: vectors.of(w.key[lo:hi]), w.first, out[:, : 3 * DIM])
     w = split(t, SPACED, lower=False)
-    _pooled(SHAPE_VECTORS[word_shapes(t, w)], w.first, out[:, 3 * DIM : 6 * DIM])
+
+    def shapes(lo: int, hi: int) -> np.ndarray:
+        before = max(0, lo - 2)  # a word is compared with the two before it
+        return SHAPE_VECTORS[word_shapes(t, between(w, before, hi))[lo - before :]]
+
+    _pooled(shapes, w.first, out[:, 3 * DIM : 6 * DIM])
     out[:, 6 * DIM] = np.log1p(np.diff(w.first))
     return out
 

@@ -84,7 +84,7 @@ def _digests(t: Texts, w: Words, stay: np.ndarray) -> list[str]:
 
 
 def _asks(window: int, buckets: int):
-    """Anchors of runs of texts: (bucket, asked, keys, known) or, where two texts of a run agree, (-1, key, anchors)."""
+    """Anchors of runs of texts: (bucket, asked, keys, known); where two texts of a run agree, (bucket, key, anchors) at once."""
     names = ["bucket", "key", "asked", "keys", "known"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def _asks(window: int, buckets: int):
                 ours = ours[np.argsort(own[ours], kind="stable")]
                 for span in np.split(ours, np.flatnonzero(own[ours][1:] != own[ours][:-1]) + 1):
                     if len(span):
-                        rows.append((-1, own[span[:1]].view(np.int64)[0], anchor[span].tobytes(), None, None))
+                        rows.append((int(own[span[0]] % U64(buckets)), own[span[:1]].view(np.int64)[0], anchor[span].tobytes(), None, None))
                 bucket = ((anchor >> U64(20)) % U64(buckets)).astype(np.int64)
                 first = np.flatnonzero(head)
                 first = first[np.argsort(bucket[first], kind="stable")]
@@ -137,6 +137,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at, held = None, []
     for b in batches:
+        done = pa.compute.is_valid(b.column(1))
+        if done.true_count:
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(done), b.column(2).filter(done)], ["key", "anchors"])
+        b = b.filter(pa.compute.invert(done))
         for bucket, *blobs in zip(*(b.column(c).to_pylist() for c in ("bucket", "asked", "keys", "known"))):
             if bucket != at and held:
                 yield answered(held)
@@ -338,36 +342,46 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW)
     Words and pieces are compared by 64-bit keys.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc", F.xxhash64("doc", "text").alias("key"), "text")
+    rows = keep(_with_anchors(docs.select("doc", F.xxhash64("doc", "text").alias("key"), "text"), window))
+    pieces = keep(rows.where("anchors is not null").select("doc", "key", "text", "anchors").mapInArrow(_shared(window), "anchor long, content long, doc long, key long, start long, windows int"))
+    alike = keep(pieces.groupBy("anchor", "content").agg(F.min(F.struct("doc", "key", "start", "windows")).alias("first"), F.max("doc").alias("last")))
+    marks = keep(_marks(pieces, alike, _masks(rows, alike, window)))
+    out = rows.join(marks, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc", "n_words", "sha", "text", "marks")
+    return out.mapInArrow(_applied(window), "id long, n_words long, starts array<long>, stops array<long>, kept_sha256 string")
+
+
+# Each step is a function of its own, so that its shuffles can be cleaned up once its result is written.
+
+
+def _with_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, key, n_words, sha, text, anchors): texts with the anchors that other texts have too, and the digests of the others."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    asks = keep(docs.where("doc is not null").select("key", "text").mapInArrow(_asks(window, max(16, size // BUCKET_BYTES)), "bucket long, key long, asked binary, keys binary, known binary"))
-    answers = asks.where("bucket >= 0").drop("key").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "key long, anchors binary")
-    known = asks.where("bucket < 0").select("key", F.col("asked").alias("anchors")).unionByName(answers)
-    known = known.groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    asks = docs.where("doc is not null").select("key", "text").mapInArrow(_asks(window, max(16, size // BUCKET_BYTES)), "bucket long, key long, asked binary, keys binary, known binary")
+    known = asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "_key long, anchors binary").groupBy("_key").agg(F.collect_list("anchors").alias("anchors"))
     # a null id has the key of no other row
-    sorted_out = docs.join(known.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").select("doc", "key", "text", "anchors")
-    rows = keep(sorted_out.mapInArrow(_sorted_out, "doc long, key long, n_words long, sha string, text string, anchors binary"))
-    left = rows.where("anchors is not null")
-    pieces = keep(left.select("doc", "key", "text", "anchors").mapInArrow(_shared(window), "anchor long, content long, doc long, key long, start long, windows int"))
+    joined = docs.join(known, F.col("key") == F.col("_key"), "left").select("doc", "key", "text", "anchors")
+    return joined.mapInArrow(_sorted_out, "doc long, key long, n_words long, sha string, text string, anchors binary")
 
-    alike = keep(pieces.groupBy("anchor", "content").agg(F.min(F.struct("doc", "key", "start", "windows")).alias("first"), F.max("doc").alias("last")))
+
+def _masks(rows: DataFrame, alike: DataFrame, window: int) -> DataFrame:
+    """(anchor, content, mask): windows of the first document of each piece that stand in a smaller document, in unequal pieces."""
     unequal = alike.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first.doc").alias("low"), F.max("first.doc").alias("high")).where("n > 1 and low < high")
-    compared = alike.join(unequal.select("anchor", "n"), "anchor").select("anchor", "content", "first.*", (F.col("n") > ANCHOR_PIECES).alias("crowded"))
-    compared = keep(compared)
+    compared = keep(alike.join(unequal.select("anchor", "n"), "anchor").select("anchor", "content", "first.*", (F.col("n") > ANCHOR_PIECES).alias("crowded")))
     shards = compared.count() // SHARD_PIECES + 1
     listed = compared.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "content", "doc", "start", "windows", "crowded")).alias("own"))
     # rows that repeat an id and its text are one here
-    texts_ = left.join(listed, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key"))).select("text", "own")
+    texts_ = rows.where("anchors is not null").join(listed, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key"))).select("text", "own")
     worded = keep(texts_.mapInArrow(_worded(window, shards), "shard long, anchor long, content long, doc long, shift int, words binary"))
     masks = worded.where("shard >= 0").repartition("shard").sortWithinPartitions("shard").mapInArrow(_matched(window), "anchor long, content long, mask long")
     crowded = worded.where("shard < 0")
     least = crowded.groupBy("words").agg(F.min("doc").alias("least"))
     single = crowded.join(least, "words").where("least < doc").select("anchor", "content", F.expr("shiftleft(1L, shift)").alias("mask"))
-    masks = masks.unionByName(single).groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask"))
+    return keep(masks.unionByName(single).groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask")))
 
+
+def _marks(pieces: DataFrame, alike: DataFrame, masks: DataFrame) -> DataFrame:
+    """(_doc, _key, marks): per text, starts of pieces and masks of their windows that repeat a smaller document."""
     found = alike.select("anchor", "content", F.col("first.doc").alias("first"), "last").join(masks, ["anchor", "content"], "left").where("last > first or mask is not null")
     mask = F.when(F.col("doc") > F.col("first"), F.expr("shiftleft(1L, windows) - 1")).otherwise(F.coalesce("mask", F.lit(0)))
     marks = pieces.join(found, ["anchor", "content"]).select("doc", "key", "start", mask.alias("mask")).where("mask <> 0")
-    marks = marks.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-    out = rows.join(marks, (F.col("doc") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc", "n_words", "sha", "text", "marks")
-    return out.mapInArrow(_applied(window), "id long, n_words long, starts array<long>, stops array<long>, kept_sha256 string")
+    return marks.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "mask")).alias("marks"))

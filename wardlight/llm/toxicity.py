@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep
-from .words import ALNUM, LOWER, U64, Texts, mix, split, texts
+from .words import ALNUM, LOWER, U64, Texts, Words, between, mix, split, texts
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 13, 1 << 14
 EMB, HIDDEN = 8, 8
 INPUT = 2 * EMB
+#: words read at a time; a run less a window is a whole number of strides
+RUN = 682 * STRIDE + WINDOW
 #: training takes at most so many toxic and other labelled texts, of at most so many characters
 TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1000, 1500, 20_000
 
@@ -29,11 +31,12 @@ TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1000, 1500, 20_000
 class Inputs:
     """Numbers of words and n-grams of some texts, and the windows over their words."""
 
-    def __init__(self, t: Texts):
-        w = split(t, ALNUM)
-        self.docs = t.hi - t.lo
+    def __init__(self, t: Texts, w: Words | None = None):
+        w = split(t, ALNUM) if w is None else w
+        self.docs = len(w.first) - 1
         n = len(w.key)
-        data = np.concatenate([LOWER[t.data], np.zeros(4, np.uint8)]).astype(np.uint64)
+        base = int(w.start[0]) if n else 0
+        data = np.concatenate([LOWER[t.data[base : int(w.end[-1]) if n else 0]], np.zeros(4, np.uint8)]).astype(np.uint64)
         four = data[:-3] | data[1:-2] << U64(8) | data[2:-1] << U64(16) | data[3:] << U64(24)
         length = w.end - w.start
         # n-grams inside words: byte places up to four before the end
@@ -41,11 +44,11 @@ class Inputs:
         self.per_word = inner + 1
         self.first_gram = np.cumsum(self.per_word) - self.per_word
         gram = np.zeros(int(self.per_word.sum()), np.int64)
-        head = four[w.start] & np.where(length < 4, (U64(1) << (np.minimum(length, 4).astype(np.uint64) * U64(8) & U64(63))) - U64(1), U64(0xFFFFFFFF)) if n else np.zeros(0, U64)
+        head = four[w.start - base] & np.where(length < 4, (U64(1) << (np.minimum(length, 4).astype(np.uint64) * U64(8) & U64(63))) - U64(1), U64(0xFFFFFFFF)) if n else np.zeros(0, U64)
         gram[self.first_gram] = (mix(head + U64(1 << 40)) & U64(GRAMS - 1)).astype(np.int64)
         own = np.repeat(np.arange(n), inner)
         place = np.arange(len(own)) - np.repeat(np.cumsum(inner) - inner, inner)
-        gram[self.first_gram[own] + 1 + place] = (mix(four[w.start[own] + place]) & U64(GRAMS - 1)).astype(np.int64)
+        gram[self.first_gram[own] + 1 + place] = (mix(four[w.start[own] - base + place]) & U64(GRAMS - 1)).astype(np.int64)
         self.gram = gram
         self.word = (w.key & U64(WORDS - 1)).astype(np.int64)
         self.weight = (1 / np.sqrt(self.per_word)).astype(np.float32)
@@ -141,9 +144,21 @@ class Reader:
             out[some] = np.maximum.reduceat(score, x.first_window[some])
         return out
 
-    def scores(self, x: Inputs) -> np.ndarray:
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
         a, b = self.platt
-        return 1 / (1 + np.exp(-np.clip(a * self.doc_logits(x) + b, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(a * logits + b, -40, 40)))
+
+    def scores(self, x: Inputs) -> np.ndarray:
+        return self.calibrated(self.doc_logits(x))
+
+    def scores_of(self, t: Texts) -> np.ndarray:
+        """One score per text; words are read in runs of whole windows, also inside one text."""
+        w = split(t, ALNUM)
+        if len(w.key) <= RUN or t.hi - t.lo > 1:
+            return self.scores(Inputs(t, w))
+        # the run's last window is the next one's first, so every window of the text lies in a run
+        starts = range(0, max(1, len(w.key) - WINDOW), RUN - WINDOW)
+        return self.calibrated(np.max([self.doc_logits(Inputs(t, between(w, k, min(k + RUN, len(w.key))))) for k in starts], axis=0))
 
     def gradients(self, x: Inputs, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the log loss of texts whose score is the softmax-weighted mean of their windows."""
@@ -249,7 +264,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Reader) -> DataFra
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = carried.value
         for b in batches:
-            for t in texts(b.column(1), 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(net.scores(Inputs(t)))], ["id", "score"])
+            for t in texts(b.column(1), 1 << 18):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(net.scores_of(t))], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(compute, "id long, score double")

@@ -89,15 +89,37 @@ def texts(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES) ->
         lo = hi
 
 
+def _edge(t: Texts, admitted: np.ndarray, at: int) -> int:
+    """The next place from ``at`` on where no word goes on: a byte outside words, or the start of a text."""
+    stop = int(t.offsets[np.searchsorted(t.offsets, at)])
+    for k in range(at, stop, 1 << 16):
+        outside = np.flatnonzero(~admitted[t.data[k : min(k + (1 << 16), stop)]])
+        if len(outside):
+            return k + int(outside[0])
+    return stop
+
+
 def split(t: Texts, admitted: np.ndarray, lower: bool = True) -> Words:
-    data = LOWER[t.data] if lower else t.data
-    inside = admitted[data]
-    if not inside.any():
+    """Words of all texts. Beside them, no more than arrays over ``CHUNK_BYTES`` bytes and one word are held, however long a text is."""
+    table = admitted[LOWER] if lower else admitted
+    found, lo = [], 0
+    while lo < len(t.data):
+        hi = len(t.data) if len(t.data) - lo <= CHUNK_BYTES else _edge(t, table, lo + CHUNK_BYTES)
+        found.append(_split(t, lo, hi, table, lower))
+        lo = hi
+    if not found:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, U64), np.zeros(len(t.offsets), np.int64))
+    start, end, key = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*found))
+    return Words(start, end, key, np.searchsorted(start, t.offsets))
+
+
+def _split(t: Texts, lo: int, hi: int, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = t.data[lo:hi]
+    inside = table[data]
     n = len(data)
     edge = np.zeros(n, bool)  # a text begins here, so a word may not run on from the one before
-    edge[t.offsets[:-1][t.offsets[:-1] < n]] = True
+    edge[t.offsets[np.searchsorted(t.offsets, lo) : np.searchsorted(t.offsets, hi)] - lo] = True
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -109,9 +131,13 @@ def split(t: Texts, admitted: np.ndarray, lower: bool = True) -> Words:
     up, down = Powers.upto(n)
     total = np.empty(n + 1, U64)
     total[0] = 0
-    np.cumsum(np.where(inside, BYTE_VALUES[data] * up[:n], U64(0)), dtype=U64, out=total[1:])
-    key = mix((total[end] - total[start]) * down[start])
-    return Words(start, end, key, np.searchsorted(start, t.offsets))
+    np.cumsum(np.where(inside, BYTE_VALUES[LOWER[data] if lower else data] * up[:n], U64(0)), dtype=U64, out=total[1:])
+    return start + lo, end + lo, mix((total[end] - total[start]) * down[start])
+
+
+def between(w: Words, lo: int, hi: int) -> Words:
+    """The words ``lo:hi``; texts that have none of them are empty."""
+    return Words(w.start[lo:hi], w.end[lo:hi], w.key[lo:hi], np.clip(w.first, lo, hi) - lo)
 
 
 def shingles(key: np.ndarray, size: int) -> np.ndarray:
