@@ -23,15 +23,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts stays: the one with the smallest id."""
-    found = jaccard.similar(docs, "doc_id", "text")
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    twice = found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
-    twice = keep(twice.join(gone, "doc_id", "left_anti"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if twice.limit(1).count():  # rows that repeat one id are one document
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One row of each group of similar texts stays: the one with the smallest id (null last), then the smallest text key.
+
+    Every row counts by its own text, so rows that share an id or have none lose nothing to each other but copies.
+    """
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = keep(jaccard.similar(rows, "__row", "text").select(F.col("id").alias("__row"), "component"))
+    several = found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component")
+    several = several.join(rows.select("__row", "doc_id", F.xxhash64("text").alias("h")), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row"))
+    gone = several.join(several.groupBy("component").agg(first.alias("first")), "component").where(F.col("__row") != F.col("first.__row"))
+    return rows.join(gone.select("__row"), "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
