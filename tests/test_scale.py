@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+import shutil
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
@@ -104,19 +105,32 @@ def test_pair_ranking_against_numpy(spark):
 
 
 def test_stream_carry_over_batches(spark, tmp_path):
+    """Restarts go on from the checkpoint; rows within the delay count, later ones do not; a lost state is an error."""
     t0 = datetime(2024, 1, 1)
-    first = [("a", t0, 1.0), ("a", t0 + timedelta(hours=2), 3.0), ("b", t0, 5.0)]
-    second = [("a", t0 + timedelta(hours=4, minutes=5), 7.0), ("a", t0 + timedelta(hours=1), 99.0), ("b", t0 + timedelta(hours=1), 6.0)]
-    src = tmp_path / "in"
-    for i, rows in enumerate((first, second)):
+    at = lambda h, m=0: t0 + timedelta(hours=h, minutes=m)
+    batches = [
+        [("a", at(0), 1.0), ("a", at(2), 3.0), ("b", at(0), 5.0), (None, at(0), 2.0), ("a", at(4), 4.0)],  # watermark 2:00
+        [("a", at(2, 30), 5.0), ("a", at(1), 99.0), ("b", at(3), 6.0), ("a", at(9), 7.0)],  # late by less than the delay, by more; watermark 7:00
+        [("c", at(20), 1.0)],
+    ]
+    src, base = tmp_path / "in", str(tmp_path / "run")
+
+    def add(rows):
         spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double").coalesce(1).write.mode("append").parquet(str(src))
-        base = str(tmp_path / "run")
         schema = spark.read.parquet(str(src)).schema
         streams.carry_forward(streams.read_files(spark, str(src), schema), ["k"], "ts", "v", base)
-    got = spark.read.parquet(f"{base}/filled").toPandas()
-    hour = (got["hour_us"] - got["hour_us"].min()) // 3_600_000_000
-    line = {(k, int(h)): v for k, h, v in zip(got["k"], hour, got["value"])}
-    assert line == {("a", 0): 1.0, ("a", 1): 1.0, ("a", 2): 3.0, ("a", 3): 3.0, ("a", 4): 7.0, ("b", 0): 5.0, ("b", 1): 6.0}
+        got = spark.read.parquet(f"{base}/filled").toPandas()
+        start = int(at(0).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+        return {(k, (h - start) // 3_600_000_000): v for k, h, v in zip(got["k"], got["hour_us"], got["value"])}
+
+    first = {("a", 0): 1.0, ("b", 0): 5.0, (None, 0): 2.0}
+    assert add(batches[0]) == first
+    second = first | {("a", 1): 1.0, ("a", 2): 4.0, ("a", 3): 4.0, ("a", 4): 4.0, ("b", 1): 5.0, ("b", 2): 5.0, ("b", 3): 6.0}
+    assert add(batches[1]) == second
+    assert add(batches[2]) == second | {("a", h): 4.0 for h in range(5, 9)} | {("a", 9): 7.0}
+    shutil.rmtree(f"{base}/checkpoint/state/0")
+    with pytest.raises(Exception, match="(?i)state"):
+        add([("a", at(40), 1.0)])
 
 
 def plan(df) -> str:

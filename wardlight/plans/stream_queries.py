@@ -24,7 +24,7 @@ def _(t):
     return out.select("user_id", "event_type", F.unix_micros("hour").alias("hour_us"), F.round("mean", 6).alias("mean"), "min", "max", "n")
 
 
-@query("M2_stream_locf_state", """WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, avg(value) AS v FROM events GROUP BY 1, 2),
+@query("M2_stream_locf_state", f"""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hr, avg(value) AS v FROM events GROUP BY 1, 2 HAVING epoch_us(date_trunc('hour', ts)) + 3600000000 <= {MARK} AND count(value) > 0),
 s AS (SELECT user_id, min(hr) AS lo, max(hr) AS hi FROM h GROUP BY 1),
 c AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hr FROM s)
 SELECT user_id, epoch_us(hr)::BIGINT AS hour_us, round(last_value(h.v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hr), 6) AS value FROM c LEFT JOIN h USING (user_id, hr)""")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.exprs import US_PER_HOUR, micros
+from ..functions.exprs import US_PER_HOUR
 from ..operators import models
 from ..sources.export import shared_dir
-from ..sources.ingest import path_exists
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -54,50 +55,75 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return q
 
 
-class CarryForward:
-    """Last value per key carried over hours from batch to batch.
+HOUR_MS = 3_600_000
 
-    The state is a Parquet table of one row per key, written as a new version per batch, so a
-    restarted batch reads the version before it and writes the same result again. Inside a batch
-    the events are reduced to hourly means first: a busy key brings hours into its window, not rows.
+
+class CarryForward(StatefulProcessor):
+    """Last hourly mean of a key, carried over the hours until its next one.
+
+    Hours come in finished and in order, since the aggregation before gives an hour out once the watermark has passed it. The state of a key is its
+    last hour and value. A timer drops a key that has been silent for ``forget`` hours of event time; it starts anew with its next hour.
     """
 
-    def __init__(self, keys: Sequence[str], ts: str, value: str, out: str, state: str):
-        self.keys, self.ts, self.value, self.out, self.state = list(keys), ts, value, out, state
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        keys = self.keys
-        hour = (F.floor(micros(self.ts) / F.lit(float(US_PER_HOUR))) * US_PER_HOUR).alias("hour_us")
-        fresh = batch.where(F.col(self.value).isNotNull()).groupBy(*keys, hour).agg(F.avg(self.value).alias("value"))
-        previous = f"{self.state}/batch={batch_id - 1}"
-        if batch_id > 0 and path_exists(spark, previous):
-            old = spark.read.parquet(previous)
-        else:
-            old = spark.createDataFrame([], T.StructType([*[batch.schema[k] for k in keys], T.StructField("hour_us", T.LongType()), T.StructField("value", T.DoubleType())]))
-        # Hours up to the state's hour are already published; late rows for them are dropped.
-        known = old.select(*keys, F.col("hour_us").alias("__from"))
-        later = fresh.join(known, keys, "left").where(F.col("__from").isNull() | (F.col("hour_us") > F.col("__from"))).drop("__from")
-        line = old.withColumn("__old", F.lit(True)).unionByName(later.withColumn("__old", F.lit(False)))
-        w = Window.partitionBy(*keys).orderBy("hour_us")
-        nxt = F.coalesce(F.lead("hour_us").over(w) - US_PER_HOUR, F.col("hour_us"))
-        spans = line.withColumn("__to", nxt)
-        first = F.when(F.col("__old"), F.col("hour_us") + US_PER_HOUR).otherwise(F.col("hour_us"))
-        filled = spans.withColumn("__first", first).where(F.col("__first") <= F.col("__to")).select(
-            *keys, F.explode(F.sequence("__first", "__to", F.lit(US_PER_HOUR))).alias("hour_us"), "value"
-        )
-        filled.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        newest = line.groupBy(*keys).agg(F.max(F.struct("hour_us", "value")).alias("s")).select(*keys, "s.hour_us", "s.value")
-        newest.write.mode("overwrite").parquet(f"{self.state}/batch={batch_id}")
+    def __init__(self, keys: Sequence[str], forget: int):
+        self.keys, self.forget = list(keys), forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "hour_us long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows)).sort_values("hour_us")  # one row per hour
+        hours, values = fresh["hour_us"].to_numpy(np.int64), fresh["value"].to_numpy(np.float64)
+        first = hours[0]
+        if self.last.exists():
+            hour, value = self.last.get()
+            hours, values = np.append(hour, hours), np.append(value, values)
+            first = hour + US_PER_HOUR
+        self.last.update((int(hours[-1]), float(values[-1])))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(hours[-1]) // 1000 + self.forget * HOUR_MS)
+        for k in range(first, int(hours[-1]) + 1, US_PER_HOUR * 100_000):
+            out = np.arange(k, min(k + US_PER_HOUR * 100_000, int(hours[-1]) + 1), US_PER_HOUR)
+            held = values[np.searchsorted(hours, out, "right") - 1]
+            yield pd.DataFrame({**{c: [v] * len(out) for c, v in zip(self.keys, key)}, "hour_us": out, "value": held})
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({c: [] for c in [*self.keys, "hour_us", "value"]})
+
+    def close(self) -> None:
+        pass
+
+
+def carried(events: DataFrame, keys: Sequence[str], ts: str, value: str, delay: str = "2 hours", forget: int = 24 * 366) -> DataFrame:
+    """(keys, hour_us, value) for every hour of a key from its first to its last finished one.
+
+    Rows up to ``delay`` late count for their hour; later ones are dropped. A busy key is combined to hourly means before it reaches its
+    state, which Spark keeps in its state store and restores from the checkpoint; a lost state is an error there.
+    """
+    hours = (
+        events.where(F.col(value).isNotNull())
+        .withColumn("__at", F.col(ts).cast("timestamp"))
+        .withWatermark("__at", delay)
+        .groupBy(F.window("__at", "1 hour"), *keys)
+        .agg(F.avg(value).alias("value"))
+        .select(*keys, F.unix_micros("window.start").alias("hour_us"), F.col("value").cast("double").alias("value"), F.window_time("window").alias("__at"))
+    )
+    schema = T.StructType([*[events.schema[k] for k in keys], T.StructField("hour_us", T.LongType()), T.StructField("value", T.DoubleType())])
+    return hours.groupBy(*keys).transformWithStateInPandas(CarryForward(keys, forget), schema, "append", "eventtime")
 
 
-def carry_forward(events: DataFrame, keys: Sequence[str], ts: str, value: str, base: str) -> str:
+def carry_forward(events: DataFrame, keys: Sequence[str], ts: str, value: str, base: str, delay: str = "2 hours") -> str:
     """Run the carry-forward over everything available; returns the folder of the filled hours."""
-    out = f"{base}/filled"
-    sink = CarryForward(keys, ts, value, out, f"{base}/state")
-    q = events.select(*keys, ts, value).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return out
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    run_to_files(carried(events, keys, ts, value, delay), f"{base}/filled", f"{base}/checkpoint")
+    return f"{base}/filled"
+
+
+#: keyed state with timers needs this store
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def score_stream(rows: DataFrame, id_col: str, model: models.AdditiveModel, base: str, threshold: float = 0.5, k: int = 3) -> str:
