@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from wardlight.functions import notes
-from wardlight.operators import documents, ordered, pairs, sampling
+from wardlight.operators import documents, metrics, ordered, pairs, sampling
 
 
 def test_positions_keep_null_keys_and_put_null_times_last(spark):
@@ -55,3 +55,44 @@ def test_pair_ranking_masks_unknown_and_ignores_offsets(spark):
     for side in (0, 1):
         want = known.where(f"t = {side}").select(F.corr("x", "r")).first()[0]
         assert abs(one[f"corr_t{side}"] - want) < 1e-6 and abs(far[f"corr_t{side}"] - want) < 1e-4
+
+
+def test_quantiles_of_crowded_values_and_null_keys(spark):
+    """All values within 1 % of width, infinities and both zeros; a null key keeps its row."""
+    inf = float("inf")
+    rows = [("hot", 140 + i / 7000) for i in range(7000)] + [(None, x) for x in (inf, -inf, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308, float("nan"), None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in ordered.grouped_quantiles(df, ["k"], "v", {"low": 0.0, "q": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    assert abs(got["hot"].q - (140 + 6999 / 4 / 7000)) < 1e-9 and abs(got["hot"].mid - (140 + 6999 / 2 / 7000)) < 1e-9
+    assert (got[None].low, got[None].mid, got[None].top) == (-inf, 0.0, inf) and len(got) == 2
+    assert ordered.grouped_quantiles(df.where("false"), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_crowded_scores_fill_many_slices(spark):
+    df = spark.range(40_000).selectExpr("id % 3 = 0 as y", "id * 0.0002 / 40000 as s").withColumn("y", F.col("y").cast("int"))
+    slices = ordered.border_bucket(df, [], "s", "b").groupBy("b").count().collect()
+    assert len(slices) > 900 and max(r["count"] for r in slices) < 200
+    steps = metrics.score_steps(df, "y", "s").orderBy(F.desc("threshold")).collect()
+    tp = 0
+    for r in steps:
+        tp += r.pos
+        assert r.tp == tp
+    assert len(steps) == 40_000
+
+
+def test_priority_keeps_notes_without_key_or_category(spark):
+    df = spark.createDataFrame([(1, "a", 1, "x"), (1, None, 2, "y"), (None, None, 3, "z"), (None, "a", 4, "w")], "k int, c string, t int, text string")
+    got = {r.k: r.combined for r in documents.priority_concat(df, "k", "c", "t", "text", ["b"], sep="|").collect()}
+    assert got == {1: "x|y", None: "z|w"}
+
+
+def test_mentions_have_flags_of_their_own(spark):
+    from wardlight.operators import corpus
+
+    pad = "x" * 60
+    text = f"No fever today {pad} fever {pad} mother had fever {pad} possible chest pain"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    terms = spark.createDataFrame([("fever", "P"), ("chest pain", "P")], "term string, label string")
+    got = corpus.mentions_in_context(corpus.dictionary_entities(df, "id", "text", terms, "term", "label"), "entity_norm").orderBy("start_char").collect()
+    assert [r.name for r in got] == ["Absent_fever", "fever", "Family_fever", "Possible_chest_pain"]
+    assert [r.keep for r in got] == [False, True, True, True]

@@ -67,6 +67,16 @@ def dictionary_entities(df: DataFrame, id_col: str, text: str, terms: DataFrame,
     )
 
 
+def mentions_in_context(mentions: DataFrame, name: str, context: str = "context", triggers: Mapping[str, Sequence[str]] = fixed.CONTEXT_TRIGGERS) -> DataFrame:
+    """Every mention with the flags of its own surroundings, its name with the strongest of them, and whether it is kept.
+
+    ``mentions`` has one row per mention, as ``dictionary_entities`` gives them.
+    """
+    flagged = mentions.select("*", *notes.context_flags(context, triggers))
+    holds = [F.col(f"is_{n}") == 1 for n in ("negated", "hypothetical", "historical", "family")]
+    return flagged.select("*", notes.modified_name(name, *holds).alias("name"), notes.keep_entity(name, holds[0]).alias("keep"))
+
+
 def map_codes(
     rows: DataFrame, text: str, dictionary: DataFrame, abbreviations: DataFrame | None = None, code: str = "code", name: str = "name", score: str = "score"
 ) -> DataFrame:

@@ -81,12 +81,13 @@ def priority_concat(
 ) -> DataFrame:
     """Notes by category priority, then the remaining categories by first appearance; cut at ``max_length``.
 
-    ``order`` is numeric (a turn, or a time in microseconds).
+    ``order`` is numeric (a turn, or a time in microseconds). A null category is one of the remaining ones; a null key is a key.
     """
     ranks = F.array(*[F.lit(c) for c in priority])
     place = F.array_position(ranks, F.col(category))
-    first = df.groupBy(key, category).agg(F.min(order).alias("__first"))
-    ranked = df.join(first, [key, category]).withColumn("__rank", F.when(place > 0, place).otherwise(F.lit(len(priority) + 1)))
+    first = df.groupBy(F.col(key).alias("__key"), F.col(category).alias("__category")).agg(F.min(order).alias("__first"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(category).eqNullSafe(F.col("__category"))
+    ranked = df.join(first, same).drop("__key", "__category").withColumn("__rank", F.when(place > 0, place).otherwise(F.lit(len(priority) + 1)))
     ranked = ranked.withColumn("__late", F.when(F.col("__rank") > len(priority), F.col("__first")).otherwise(F.lit(0)))
     # A category with very many notes is cut into stretches of its numeric order as well.
     bucket = F.struct("__rank", "__late", F.col(category), F.floor(F.col(order) / 1024).alias("__stretch"))

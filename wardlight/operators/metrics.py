@@ -1,7 +1,7 @@
 """Evaluation of scores in [0, 1] against 0/1 labels.
 
-Equal scores are counted first; what runs in order afterwards is one row per distinct score, cut
-into score slices so that no task orders them all.
+Equal scores are counted first; what runs in order afterwards is one row per distinct score, cut at sampled
+borders into slices of about equally many, so that no task orders them all however crowded they are.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag
-from .ordered import prefix_sums
-
-SLICES = 4096
+from .ordered import border_bucket, prefix_sums
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float | Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -54,8 +52,8 @@ def score_steps(df: DataFrame, label: str, score: str, keys: Sequence[str] = ())
     groups = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.sum(flag(F.col(label) == 1)).alias("pos"), F.sum(flag(F.col(label) != 1)).alias("neg")
     )
-    bucket = -F.floor(F.col("threshold") * SLICES).cast("long")
-    return prefix_sums(groups, keys, bucket, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    cut = border_bucket(groups, keys, "threshold", "__slice")
+    return prefix_sums(cut, keys, -F.col("__slice"), [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}).drop("__slice")
 
 
 def _totals(steps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, hash_bucket, hash_rank, micros
 
-BUCKET = "__bucket"
+BUCKET, CELL = "__bucket", "__cell"
+#: cells a crowded magnitude bucket is cut into, and borders of evenly filled buckets
+CELLS, BORDERS = 1 << 16, 1024
 
 
 def day_bucket(ts: str | Column) -> Column:
@@ -96,8 +98,9 @@ def grouped_quantiles(
 
     A first pass counts rows per magnitude bucket (map-side combined, a few hundred buckets per key)
     and so learns which buckets hold the wanted ranks. Only rows of those buckets are read further;
-    equal values are counted before anything is ordered. ``percentile`` would gather all distinct
-    values of a key in one buffer.
+    equal values are counted before anything is ordered. A bucket is then cut into ``CELLS`` cells between its own
+    least and largest value, and only the cells that hold a wanted rank are ordered, so values crowded
+    into one bucket are spread as well. Null keys are a key of their own; null values and NaN count for nothing.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
@@ -108,9 +111,10 @@ def grouped_quantiles(
     )
     wk = Window.partitionBy(*keys)
     before = wk.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
     shelves = (
         rows.groupBy(*keys, BUCKET)
-        .agg(F.sum("__w").alias("__nb"))
+        .agg(F.sum("__w").alias("__nb"), F.min(finite).alias("__least"), F.max(finite).alias("__most"))
         .withColumn("__start", F.coalesce(F.sum("__nb").over(before), F.lit(0)))
         .withColumn("__total", F.sum("__nb").over(wk))
     )
@@ -122,16 +126,28 @@ def grouped_quantiles(
     def holds(rank: Column, start: Column, size: Column) -> Column:
         return (rank >= start) & (rank < start + size)
 
-    wanted = reduce(
-        lambda a, b: a | b,
-        [holds(r, F.col("__start"), F.col("__nb")) for _, lo, hi in ranks.values() for r in (lo, hi)],
-    )
-    inside = Window.partitionBy(*keys, BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        rows.join(shelves.where(wanted).drop("__nb"), [*keys, BUCKET])
-        .groupBy(*keys, BUCKET, "__start", "__total", "__v")
+    def wanted(start: str, size: str) -> Column:
+        return reduce(lambda a, b: a | b, [holds(r, F.col(start), F.col(size)) for _, lo, hi in ranks.values() for r in (lo, hi)])
+
+    grid = [*keys, BUCKET]
+    # halves, since the difference of two doubles may overflow
+    share = (F.col("__v") / 2 - F.col("__least") / 2) / (F.col("__most") / 2 - F.col("__least") / 2)
+    cell = F.when(F.col("__v") == float("inf"), CELLS).when(F.col("__v") == float("-inf"), -1).when(F.col("__most") > F.col("__least"), F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1)))
+    values = (
+        _matched(rows, shelves.where(wanted("__start", "__nb")).drop("__nb"), grid)
+        .groupBy(*grid, "__start", "__total", "__least", "__most", "__v")
         .agg(F.sum("__w").alias("__n"))
-        .withColumn("__s", F.col("__start") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+        .withColumn(CELL, F.coalesce(cell, F.lit(0)))
+    )
+    along = Window.partitionBy(*grid).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        values.groupBy(*grid, "__start", "__total", CELL).agg(F.sum("__n").alias("__nc"))
+        .withColumn("__at", F.col("__start") + F.coalesce(F.sum("__nc").over(along), F.lit(0)))
+        .where(wanted("__at", "__nc"))
+    )
+    inside = Window.partitionBy(*grid, CELL).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _matched(values.select(*grid, CELL, "__v", "__n"), cells.drop("__nc", "__start"), [*grid, CELL]).withColumn(
+        "__s", F.col("__at") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
     )
     aggs = [F.max("__total").alias("__total")]
     for name, (_, lo, hi) in ranks.items():
@@ -150,6 +166,31 @@ def grouped_quantiles(
     )
 
 
+def _matched(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns of one name, null matching null."""
+    renamed = table.select(*[F.col(c).alias(f"__m_{i}") for i, c in enumerate(on)], *[c for c in table.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__m_{i}")) for i, c in enumerate(on)])
+    return df.join(renamed, same).drop(*[f"__m_{i}" for i in range(len(on))])
+
+
+def border_bucket(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with a bucket that grows with ``value``; the buckets of a key hold about equally many rows.
+
+    Borders are approximate percentiles per key (a mergeable sketch), at most ``BORDERS`` numbers; where exactly they lie
+    does not matter for what is summed along the buckets.
+    """
+    keys = list(keys)
+    shares = [i / BORDERS for i in range(1, BORDERS)]
+    borders = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * BORDERS).alias("__borders"))
+    # one row per key; without keys the constant joins the only row
+    one = F.lit(1).alias("__one")
+    joined = _matched(df.select("*", one), borders.select("*", one), [*keys, "__one"])
+    v, step = F.col(value).cast("double"), 32
+    rough = F.size(F.filter(F.expr(f"transform(sequence({step}, {BORDERS - 1}, {step}), i -> __borders[i - 1])"), lambda b: b <= v)) * step
+    fine = F.size(F.filter(F.slice("__borders", rough + 1, F.lit(step)), lambda b: b <= v))
+    return joined.withColumn(name, rough + fine).drop("__one", "__borders")
+
+
 def ordered_texts(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], text: str) -> DataFrame:
     """Long form of a joined text: one row per note with its place in the key. No key is gathered."""
     return positions(df, keys, bucket, [F.col(c) for c in order], "pos").select(*keys, "pos", text)

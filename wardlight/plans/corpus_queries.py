@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, notes
 from ..operators import aggregates, corpus
 from .registry import Tables, query
-from .text_sql import MASK
+from .text_sql import MASK, boundary
 
 DOC = ("doc_id", "text")
 
@@ -25,8 +25,10 @@ def terms(t: Tables):
     return make(1, 1, "PROBLEM").unionByName(make(1, 2, "TEST")).unionByName(make(2, 3, "TREATMENT"))
 
 
-@query("I13_dictionary_entities", f"""WITH RECURSIVE {TERMS_SQL},
-d AS (SELECT conv_id * 1000 + turn AS id, text, lower(text) AS x FROM conversations),
+def mentions_sql(text: str) -> str:
+    """CTEs up to ``found``: one row per mention (id, s, e, gram, label) of the terms in the turns of the conversations."""
+    return f"""{TERMS_SQL},
+d AS (SELECT id, text, lower(text) AS x FROM (SELECT conv_id * 1000 + turn AS id, {text} AS text FROM conversations)),
 u AS (SELECT id, text, regexp_extract_all(x, '{_WORDS}') AS w, string_split_regex(x, '{_WORDS}') AS g FROM d),
 tk AS (SELECT id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, generate_subscripts(w, 1) AS i FROM u),
 pos AS (SELECT id, word, i, sum(length(gap) + length(word)) OVER (PARTITION BY id ORDER BY i) AS e FROM tk),
@@ -40,14 +42,34 @@ walk(id, r, taken, kept) AS (
   SELECT k.id, h.r, CASE WHEN list_has_any(k.taken, range(h.first, h.first + h.n)) THEN k.taken ELSE k.taken || range(h.first, h.first + h.n) END,
     CASE WHEN list_has_any(k.taken, range(h.first, h.first + h.n)) THEN k.kept ELSE list_append(k.kept, h.r) END
   FROM walk k JOIN hits h ON h.id = k.id AND h.r = k.r + 1),
-fin AS (SELECT id, unnest(kept) AS r FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC) = 1)
-SELECT id, gram AS entity_norm, label AS entity_label, s::INTEGER AS start_char, e::INTEGER AS end_char FROM fin JOIN hits USING (id, r)""")
+fin AS (SELECT id, unnest(kept) AS r FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC) = 1),
+found AS (SELECT id, s::INTEGER AS s, e::INTEGER AS e, gram, label FROM fin JOIN hits USING (id, r))"""
+
+
+@query("I13_dictionary_entities", f"WITH RECURSIVE {mentions_sql('text')} SELECT id, gram AS entity_norm, label AS entity_label, s AS start_char, e AS end_char FROM found")
 def _(t):
     c = t.heavy("conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     out = corpus.dictionary_entities(c, "id", "text", terms(t), "term", "label", 3)
     return out.select("id", "entity_norm", "entity_label", "start_char", "end_char")
 
 
+_AROUND = "lower(substring(text, greatest(s - 50, 0) + 1, e + 50 - greatest(s - 50, 0)))"
+_IS = {n: f"regexp_matches(x, '{boundary('|'.join(ps))}')" for n, ps in fixed.CONTEXT_TRIGGERS.items()}
+
+
+# A denial stands before and a word on the family behind every turn: mentions of one turn differ in their flags.
+@query("I14_context_flags", f"""WITH RECURSIVE {mentions_sql("'She denies ' || text || ' Mother may have had it'")},
+c AS (SELECT id, s, e, gram, {MASK(_AROUND)} AS x FROM found JOIN d USING (id)),
+f AS (SELECT id, s AS start_char, e AS end_char, gram AS entity_norm, {', '.join(f'{r}::INTEGER AS is_{n}' for n, r in _IS.items())} FROM c)
+SELECT *, CASE WHEN is_negated = 1 THEN 'Absent_' WHEN is_hypothetical = 1 THEN 'Possible_' WHEN is_historical = 1 THEN 'History_' WHEN is_family = 1 THEN 'Family_' ELSE '' END || replace(entity_norm, ' ', '_') AS name,
+  length(entity_norm) >= 2 AND NOT regexp_matches(entity_norm, '^[0-9 .,]+$') AND is_negated = 0 AS keep FROM f""")
+def _(t):
+    said = F.concat(F.lit("She denies "), "text", F.lit(" Mother may have had it")).alias("text")
+    c = t.heavy("conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said)
+    found = corpus.mentions_in_context(corpus.dictionary_entities(c, "id", "text", terms(t), "term", "label", 3), "entity_norm")
+    return found.select("id", "start_char", "end_char", "entity_norm", *[f"is_{n}" for n in fixed.CONTEXT_TRIGGERS], "name", "keep")
+
+
 MAP_SQL = """ent AS (SELECT o_orderkey AS id, lower(trim(o_orderpriority)) AS x, CASE WHEN o_orderkey % 3 = 0 THEN 'C' || o_custkey % 4 END AS code,
   CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_custkey % 4 END AS name, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 100) / 100.0 END AS score FROM orders),
 own AS (SELECT id, x, coalesce(code, CASE WHEN x = '1-urgent' AND TRUE THEN 'C9' END) AS code, coalesce(name, CASE WHEN x = '1-urgent' THEN 'dict' END) AS name,

@@ -136,18 +136,6 @@ def _(t):
     return d.select("doc_id", *notes.concept_flags_negated("s"))
 
 
-_CTX = "lower(substring(text, greatest(p - 51, 0) + 1, p - 1 + 5 + 50 - greatest(p - 51, 0)))"
-
-
-@query("I14_context_flags", f"""WITH d AS (SELECT doc_id, text, strpos(text, ' no ') AS p FROM (SELECT doc_id, text || ' mother had no prior fever, rule out if possible. ' || text AS text FROM documents)),
-w AS (SELECT doc_id, {MASK(_CTX)} AS x FROM d WHERE p > 0)
-SELECT doc_id, """ + ", ".join(f"regexp_matches(x, '{'|'.join(ps)}')::INTEGER AS is_{n}" for n, ps in fixed.CONTEXT_TRIGGERS.items()) + " FROM w")
-def _(t):
-    d = t.heavy("documents", *DOC).select("doc_id", F.concat("text", F.lit(" mother had no prior fever, rule out if possible. "), "text").alias("text"))
-    d = d.withColumn("p", F.expr("instr(text, ' no ')")).where("p > 0")
-    return d.select("doc_id", notes.context_window("text", F.col("p") - 1, F.col("p") + 4).alias("w")).select("doc_id", *notes.context_flags("w"))
-
-
 @query("I15_modified_name", """SELECT doc_id, CASE WHEN toxic = 1 THEN 'Absent_' WHEN quality = 0 THEN 'Possible_' WHEN doc_id % 3 = 0 THEN 'History_' WHEN doc_id % 5 = 0 THEN 'Family_' ELSE '' END
 || replace('heart failure ' || doc_id, ' ', '_') AS name FROM labels""")
 def _(t):
@@ -156,13 +144,14 @@ def _(t):
     return t("labels").select("doc_id", name.alias("name"))
 
 
-@query("I16_entity_filters", """WITH e AS (SELECT conv_id, turn, trim(lower(string_split(text, ' ')[1])) AS x FROM conversations UNION ALL SELECT conv_id, turn + 1000, (conv_id * 7)::VARCHAR || ',5' FROM conversations)
-SELECT conv_id, turn, x FROM e WHERE length(x) BETWEEN 2 AND 100 AND NOT regexp_matches(x, '^[0-9 .,]+$') AND turn % 4 <> 1""")
+@query("I16_entity_filters", """WITH w AS (SELECT conv_id, turn, string_split(text || ' ' || conv_id * 7 || ',5', ' ') AS w FROM conversations),
+e AS (SELECT conv_id, turn, generate_subscripts(w, 1) AS place, trim(lower(unnest(w))) AS x FROM w)
+SELECT conv_id, turn, place::INTEGER AS place, x FROM e WHERE length(x) BETWEEN 2 AND 100 AND NOT regexp_matches(x, '^[0-9 .,]+$') AND (turn + place) % 4 <> 1""")
 def _(t):
     c = t("conversations", "conv_id", "turn", "text")
-    words = c.select("conv_id", "turn", F.split("text", " ")[0].alias("x"))
-    numbers = c.select("conv_id", F.col("turn") + 1000, F.concat((F.col("conv_id") * 7).cast("string"), F.lit(",5")))
-    return words.union(numbers).where(notes.keep_entity("x", F.col("turn") % 4 == 1)).select("conv_id", "turn", F.trim(F.lower("x")).alias("x"))
+    said = F.concat("text", F.lit(" "), (F.col("conv_id") * 7).cast("string"), F.lit(",5"))
+    words = c.select("conv_id", "turn", F.posexplode(F.split(said, " ")).alias("place", "x")).withColumn("place", F.col("place") + 1)
+    return words.where(notes.keep_entity("x", (F.col("turn") + F.col("place")) % 4 == 1)).select("conv_id", "turn", "place", F.trim(F.lower("x")).alias("x"))
 
 
 @query("I18_concept_id", """SELECT p_partkey, p_type || '_C' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_NEG' ELSE '' END AS full_id, 'C' || p_size AS plain FROM part""")
