@@ -54,21 +54,18 @@ class Cells:
 
     def _bounds(self, cells: np.ndarray) -> np.ndarray:
         """For each cell, the entries that another does not dominate."""
-        out = np.zeros((len(cells), len(self.entries)), bool)
-        for k in range(0, len(cells), 1024):
-            c = cells[k : k + 1024]
-            least = np.zeros((len(c), len(self.entries)), np.int64)
-            most = np.zeros_like(least)
-            for d in range(c.shape[1]):
-                low = c[:, d] << self.bits
-                below = low[:, None] - self.entries[None, :, d]  # how far the entry lies under the box
-                above = -below - ((1 << self.bits) - 1)
-                near = np.maximum(np.maximum(below, above), 0)
-                far = np.maximum(np.abs(below), np.abs(above))
-                least += near * near
-                most += far * far
-            out[k : k + 1024] = least <= most.min(1, keepdims=True)
-        return out
+        size = int(np.abs(self.entries).max(initial=0) + (np.abs(cells).max(initial=0) + 1 << self.bits))
+        kind = np.int32 if size * size * cells.shape[1] < 1 << 31 else np.int64
+        least = np.zeros((len(cells), len(self.entries)), kind)
+        most = np.zeros_like(least)
+        for d in range(cells.shape[1]):
+            # a grid line is shared by many cells: distances along it are worked out once
+            lines, at = np.unique(cells[:, d], return_inverse=True)
+            below = (lines << self.bits)[:, None] - self.entries[None, :, d]  # how far the entry lies under the box
+            above = -below - ((1 << self.bits) - 1)
+            least += np.square(np.maximum(np.maximum(below, above), 0)).astype(kind)[at]
+            most += np.square(np.maximum(np.abs(below), np.abs(above))).astype(kind)[at]
+        return least <= most.min(1, keepdims=True)
 
     def candidates(self, parts: np.ndarray) -> np.ndarray:
         """A row of admitted entries for each part."""
@@ -80,7 +77,7 @@ class Cells:
         new = [i for i, name in enumerate(names) if name not in self.slots]
         if new:
             self.slots.update({names[i]: len(self.kept) + k for k, i in enumerate(new)})
-            self.kept = np.concatenate([self.kept, self._bounds(cells[new])])
+            self.kept = np.concatenate([self.kept, *(self._bounds(cells[new[k : k + 1024]]) for k in range(0, len(new), 1024))])
         return self.kept[np.array([self.slots[name] for name in names], np.int64)[at]]
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +86,10 @@ class Cells:
         for k in range(0, len(parts), 2048):
             own = parts[k : k + 2048]
             row, entry = np.nonzero(self.candidates(own))
-            gap = own[row] - self.entries[entry]
-            dist = np.einsum("ij,ij->i", gap, gap)
+            dist = np.zeros(len(row), np.int64)
+            for d in range(own.shape[1]):
+                gap = own[:, d][row] - self.entries[:, d][entry]
+                dist += gap * gap
             self.exact += len(dist)
             first = np.searchsorted(row, np.arange(len(own)))
             least = np.minimum.reduceat(dist, first)
