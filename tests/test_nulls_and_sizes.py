@@ -96,3 +96,28 @@ def test_mentions_have_flags_of_their_own(spark):
     got = corpus.mentions_in_context(corpus.dictionary_entities(df, "id", "text", terms, "term", "label"), "entity_norm").orderBy("start_char").collect()
     assert [r.name for r in got] == ["Absent_fever", "fever", "Family_fever", "Possible_chest_pain"]
     assert [r.keep for r in got] == [False, True, True, True]
+
+
+def test_contained_notes_are_left_out(spark):
+    """Next to the plain fold: equal, quoted, overlapping, short and empty notes, across joints, with null keys and orders."""
+    import random
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abé \n") for _ in range(rng.choice([3, 30, 39, 40, 200, 2000]))) for _ in range(60)]
+    rows = [(k, i, x) for k in (1, None) for i, x in enumerate(base)]
+    for i in range(300):
+        x = rng.choice(base)
+        a = rng.randrange(len(x))
+        piece = x[a : a + rng.choice([1, 10, 38, 39, 60, 500])]
+        rows.append((rng.choice([1, 2, None]), rng.choice([100 + i, None]), rng.choice(["", " ", "\n"]) + piece + rng.choice(["", "z"])))
+    rows += [(1, 990, base[2].strip() + "\n\n" + base[3].strip()), (3, 1, " \n"), (3, 2, None), (4, 1, "one")]
+    got = {r.k: (r.n_notes, r.text) for r in documents.concat_contained(spark.createDataFrame(rows, "k int, o int, text string").repartition(3), "k", "o", "text").collect()}
+    want = {}
+    for k in (1, 2, None, 4):
+        own, seen, text, n = [(o is not None, o or 0, x.encode(), x) for key, o, x in rows if key == k and x is not None], set(), None, 0
+        for *_, x in sorted(own):
+            if x not in seen and x.strip() and (text is None or x.strip() not in text):
+                text, n = x.strip() if text is None else text + "\n\n" + x.strip(), n + 1
+            seen.add(x)
+        want[k] = (n, text)
+    assert got == want

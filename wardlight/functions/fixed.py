@@ -5,80 +5,6 @@ Results depend on these being exactly what they are; nothing here is logic.
 
 from __future__ import annotations
 
-# --- item ids per concept (fixed values) ------------------------------------------------
-LAB_ITEMS = {
-    "BUN": [51006],
-    "Creatinine": [50912],
-    "Glucose": [50931, 50809],
-    "HMG": [51222, 50811],
-    "WBC": [51301, 51300],
-    "Platelet": [51265],
-    "Lactate": [50813],
-    "Albumin": [50862],
-    "Anion_Gap": [50868],
-    "PTT": [51275],
-}
-VITAL_ITEMS = {
-    "GCS": [198, 220739, 223900, 223901],
-    "SBP": [51, 442, 455, 6701, 220179, 220050],
-    "DBP": [8368, 8440, 8441, 8555, 220180, 220051],
-    "HeartRate": [211, 220045],
-    "RespRate": [618, 615, 220210, 224690],
-    "SpO2": [646, 220277],
-}
-EXTRA_LAB_ITEMS = {
-    "CRP": [50889],
-    "TroponinI": [51002],
-    "TroponinT": [51003],
-    "NTproBNP": [50963],
-    "D_Dimer": [50915, 51196],
-    "Fibrinogen": [51214],
-    "ALT": [50861],
-    "Bilirubin_Total": [50885, 51464],
-    "pH": [50820, 50831, 51094, 51491],
-    "pCO2": [50818, 50830],
-    "pO2": [50821, 50832],
-    "Lactate": [50813, 52442],
-    "Albumin": [50862, 51542],
-}
-SERVING_LAB_ITEMS = {
-    "BUN": [51006],
-    "Creatinine": [50912],
-    "Glucose": [50809, 50931],
-    "WBC": [51300, 51301],
-    "Platelet": [51265],
-    "Lactate": [50813],
-    "Albumin": [50862],
-    "Anion_Gap": [50868],
-    "HMG": [51222],
-    "PTT": [51275],
-}
-SERVING_VITAL_ITEMS = {
-    "SBP": [220179, 220050, 225309],
-    "DBP": [220180, 220051, 225310],
-    "HeartRate": [220045, 211],
-    "RespRate": [220210, 618],
-    "SpO2": [220277, 646],
-    "GCS": [220739, 223901],
-}
-TENSOR_VITAL_ITEMS = {
-    "SBP": [51, 442, 455, 6701, 220179, 220050],
-    "DBP": [8368, 8440, 8441, 8555, 220180, 220051],
-    "HR": [211, 220045],
-    "RR": [618, 615, 220210, 224690],
-    "SpO2": [646, 220277],
-}
-TENSOR_LAB_ITEMS = {
-    "BUN": [51006],
-    "Creatinine": [50912],
-    "Glucose": [50931, 50809],
-    "Lactate": [50813],
-    "Albumin": [50862],
-}
-URINE_ITEMS = [
-    40055, 43175, 40069, 40094, 40715, 40473, 40085, 40056, 40405, 40428, 40086, 40096, 40651,
-    226559, 226560, 226561, 226584, 226563, 226564, 226565, 226567, 226557, 226558, 227488, 227489,
-]
 PAO2_ITEMS = [50821, 490]
 FIO2_ITEMS = [50816, 223835, 3420, 190]
 VENTILATION_CODES = ["9670", "9671", "9672"]
@@ -88,21 +14,11 @@ ANTIBIOTICS = [
     "Ceftriaxone", "Metronidazole", "Azithromycin", "Gentamicin", "Tobramycin", "Ampicillin",
     "Nafcillin", "Oxacillin",
 ]
-MEASURED_ROOTS = [
-    "BUN", "Creatinine", "Glucose", "HMG", "WBC", "Platelet", "Lactate", "Albumin", "SBP", "DBP",
-    "HeartRate", "RespRate", "SpO2", "PaO2_FiO2", "GCS", "UrineOutput",
-]
 LEAKING_COLUMNS = ["WARD_LOS_HRS", "MICRO_POS_48H", "MICRO_TOTAL_POS", "DISCHARGE_LOCATION", "TRANSFER_COUNT"]
 LEAKING_PARTS = ["nlp_", "tfidf", "topic_"]
 TEXT_SIGNATURES = [
     "tfidf_", "nlp_", "sentiment", "concern_", "reassurance_", "uncertainty_", "_positive", "_negated", "_any",
 ]
-SAFE_NOTE_CATEGORIES = ["Nursing", "Physician"]
-NOTE_PRIORITY = ["Nursing/other", "Nursing", "Physician ", "Radiology", "Echo", "ECG", "General", "Social Work"]
-SUMMARY_KEYWORDS = [
-    "sepsis", "infection", "pneumonia", "intubated", "extubated", "readmit", "rehospitalization", "re-admit",
-    "dyspnea", "respiratory",
-]
 
 # --- comorbidity rules (fixed values): group -> (weight, prefixes, exact codes) ----------
 # Exact codes are written undotted; the group that suppresses another is in *_SUPPRESSES.
@@ -337,11 +253,6 @@ ABBREVIATIONS_SHORT = {
     "rx": "prescription", "sx": "symptoms", "c/o": "complains of", "w/": "with", "w/o": "without",
     "s/p": "status post", "b/l": "bilateral", "h/o": "history of", "f/u": "follow up",
 }
-ABBREVIATIONS_LONG = {
-    **ABBREVIATIONS_SHORT,
-    "prn": "as needed", "bid": "twice daily", "tid": "three times daily", "qid": "four times daily",
-    "qd": "once daily", "po": "by mouth", "iv": "intravenous", "im": "intramuscular", "npo": "nothing by mouth",
-}
 SECTION_HEADERS = [
     "admission date", "discharge date", "date of birth", "sex", "service", "chief complaint", "allergies",
     "attending", "dictated by", "completed by",

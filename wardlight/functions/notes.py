@@ -217,7 +217,7 @@ def mark_words(c: str | Column, words: Sequence[str]) -> Column:
     """Wrap every occurrence of the listed words, as whole words in any case, in a mark tag."""
     if not words:
         return text_of(c)
-    tag = '<mark style="background-color: #ffeb3b; font-weight: bold;">$1</mark>'
+    tag = '<mark class="term">$1</mark>'
     return _sub(text_of(c), rf"(?iU)\b({any_of(sorted(words))})\b", tag)
 
 

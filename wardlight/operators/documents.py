@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordered import first_per_key, joined_texts, ordered_texts, prefix_sums, top_n_per_key
 
@@ -76,6 +79,88 @@ def concat_unique(df: DataFrame, key: str, bucket_of: Column, order: str, text:
     return joined_texts(ordered_texts(unique, [key], bucket_of, [order], text), [key], text, sep)
 
 
+GRAM, REACH = 8, 32  # bytes hashed together, and neighbouring hashes of which the least is a mark
+
+
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the least hash in every stretch of ``REACH`` neighbouring ``GRAM``-byte hashes; each place once."""
+    n = len(data) - GRAM + 1
+    if n < REACH:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashed = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        hashed |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    hashed *= np.uint64(0x9E3779B97F4A7C15)
+    hashed ^= hashed >> np.uint64(31)
+    place = np.unique(np.lib.stride_tricks.sliding_window_view(hashed, REACH).argmin(1) + np.arange(n - REACH + 1))
+    return hashed[place], place
+
+
+class GrowingText:
+    """A text that notes are appended to unless it contains them already.
+
+    Where a note stands in the text, the least hash at the note's head is a mark of the text too, so only
+    places of that mark are compared; notes shorter than a stretch are searched for byte by byte.
+    """
+
+    def __init__(self, sep: str):
+        self.sep, self.body, self.n = sep.encode(), bytearray(), 0
+        self.places: dict[int, list[int]] = {}
+        self.marked = 0
+
+    def __contains__(self, note: bytes) -> bool:
+        head = np.frombuffer(note[: GRAM + REACH - 1], np.uint8)
+        value, place = _marks(head)
+        if not len(value):
+            return note in self.body
+        begins = (p - int(place[0]) for p in self.places.get(int(value[0]), ()))
+        return any(b >= 0 and self.body[b : b + len(note)] == note for b in begins)
+
+    def add(self, note: bytes) -> None:
+        if note in self:
+            return
+        self.body += self.sep * bool(self.n) + note
+        self.n += 1
+        begin = max(0, self.marked - GRAM - REACH + 2)  # stretches across the joint count as well
+        for value, place in zip(*_marks(np.frombuffer(bytes(self.body[begin:]), np.uint8))):
+            own = self.places.setdefault(int(value), [])
+            if not own or own[-1] < begin + place:
+                own.append(begin + int(place))
+        self.marked = len(self.body)
+
+
+def concat_contained(df: DataFrame, key: str, order: str, text: str, sep: str = "\n\n") -> DataFrame:
+    """(key, n_notes, text): notes in order, each appended unless the text so far contains it; one row per key at any size.
+
+    Notes are stripped, empty and null ones skipped. Equal notes of a key are one by a map-side combined minimum before they travel, grouped by
+    their digest; the notes of a key then stream through its task, which holds the text that is its result.
+    A note without ``order`` comes first, rows of one order by their text; a null key is a key.
+    """
+    one = df.where(F.col(text).isNotNull()).groupBy(key, F.md5(F.col(text)).alias("__same")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(text).alias("x"))).alias("__r"))
+    notes = one.select(key, F.col("__r.o").alias("__o"), F.col("__r.x").alias("__x")).repartition(key).sortWithinPartitions(key, "__o", "__x")
+    schema = T.StructType([df.schema[key], T.StructField("n_notes", T.LongType()), T.StructField(text, T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, GrowingText(sep)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([at, pa.array([held.n]), pa.array([held.body.decode()])], [key, "n_notes", text])
+
+        for b in batches:
+            for i, x in enumerate(b.column(2).to_pylist()):
+                own = b.column(0).slice(i, 1)
+                if at is None or not own.equals(at):
+                    if held.n:
+                        yield row()
+                    at, held = own, GrowingText(sep)
+                if note := x.strip().encode():
+                    held.add(note)
+        if held.n:
+            yield row()
+
+    return notes.mapInArrow(fold, schema)
+
+
 def priority_concat(
     df: DataFrame, key: str, category: str, order: str, text: str, priority: Sequence[str], sep: str = "\n\n---\n\n", max_length: int = 10_000
 ) -> DataFrame:

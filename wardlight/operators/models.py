@@ -139,7 +139,7 @@ def active_pairs(values: DataFrame, pairs: DataFrame, id_col: str, feature: str
     vital = values.select(id_col, F.col(feature).alias("vital"), F.col(value).alias("vital_value"))
     return hits.join(vital, [id_col, "vital"], "left").select(
         id_col, "vital", "nlp", "vital_value", F.col("score").alias("importance"),
-        F.concat(F.lit("When "), F.lower("nlp"), F.lit(", "), F.lower("vital"), F.lit(" becomes more important")).alias("description"),
+        F.concat(F.lower("vital"), F.lit(" weighs more while "), F.lower("nlp"), F.lit(" is noted")).alias("description"),
     )
 
 

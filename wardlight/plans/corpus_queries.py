@@ -200,6 +200,6 @@ def _(t):
 
 
 @query("I25_vocabulary_mark", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '([\\pL\\pM\\pN\\p{{Pc}}]+)', chr(57344) || '\\1' || chr(57344), 'g'),
-chr(57344) || '((?i)the|der|les|tion|and)' || chr(57344), chr(57345) || '\\1</mark>', 'g'), chr(57344), '', 'g').replace(chr(57345), '<mark style="background-color: #ffeb3b; font-weight: bold;">')) AS m FROM documents""")
+chr(57344) || '((?i)the|der|les|tion|and)' || chr(57344), chr(57345) || '\\1</mark>', 'g'), chr(57344), '', 'g').replace(chr(57345), '<mark class="term">')) AS m FROM documents""")
 def _(t):
     return t.heavy("documents", *DOC).select("doc_id", F.md5(notes.mark_words("text", ["the", "der", "les", "tion", "and"])).alias("m"))

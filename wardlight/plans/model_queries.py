@@ -57,7 +57,7 @@ def _(t):
 
 @query("J26_active_pairs", """WITH v AS (SELECT o_orderkey AS id, 'nlp_urgent' AS feature, (o_orderpriority = '1-URGENT')::INTEGER::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, 'nlp_low', (o_orderpriority = '5-LOW')::INTEGER FROM orders
 UNION ALL SELECT o_orderkey, 'PRICE', o_totalprice FROM orders), p AS (SELECT 'PRICE' AS vital, 'nlp_urgent' AS nlp, 0.9 AS score UNION ALL SELECT 'ABSENT', 'nlp_low', 0.4)
-SELECT a.id, vital, nlp, b.value AS vital_value, score::DOUBLE AS importance, 'When ' || nlp || ', ' || lower(vital) || ' becomes more important' AS description
+SELECT a.id, vital, nlp, b.value AS vital_value, score::DOUBLE AS importance, lower(vital) || ' weighs more while ' || nlp || ' is noted' AS description
 FROM v a JOIN p ON a.feature = p.nlp AND a.value = 1 LEFT JOIN v b ON b.id = a.id AND b.feature = p.vital""")
 def _(t):
     cell = lambda n, c: F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"))

@@ -73,18 +73,22 @@ def _(t):
     return out.select("conv_id", F.md5("text").alias("text_md5"), "n_notes")
 
 
-@query("E8_dedupe_notes", """WITH d AS (SELECT lang || source AS key, doc_id, text FROM documents),
-l AS (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY length(text) DESC, doc_id) AS r FROM d),
-f AS (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM d),
-u AS (SELECT key, text, min(doc_id) AS o FROM d GROUP BY 1, 2),
-c AS (SELECT key, string_agg(text, ' ' ORDER BY o) AS text, count(*) AS n FROM u GROUP BY 1)
-SELECT key, md5(l.text) AS longest, md5(f.text) AS first, md5(c.text) AS unique_concat, c.n::BIGINT AS n_unique
+# Every third document is quoted later, in part and within blanks.
+@query("E8_dedupe_notes", """WITH d AS (SELECT lang || source AS key, doc_id AS o, text FROM documents
+  UNION ALL SELECT lang || source, doc_id + 1000000000, '  ' || substring(text, 10, 40 + doc_id % 200) || chr(10) FROM documents WHERE doc_id % 3 = 0),
+l AS (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY length(text) DESC, o) AS r FROM d),
+f AS (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY o) AS r FROM d),
+n AS (SELECT key, o, regexp_replace(text, '^[\t-\r\x1c-\x1f ]+|[\t-\r\x1c-\x1f ]+$', '', 'g') AS t FROM d),
+c AS (SELECT key, list_reduce(list({'t': t, 'n': 1} ORDER BY o), lambda a, x: CASE WHEN contains(a.t, x.t) THEN a ELSE {'t': a.t || chr(10) || chr(10) || x.t, 'n': a.n + 1} END) AS c FROM n WHERE t <> '' GROUP BY key)
+SELECT key, md5(l.text) AS longest, md5(f.text) AS first, md5(c.c.t) AS unique_concat, c.c.n::BIGINT AS n_unique
 FROM l JOIN f USING (key) JOIN c USING (key) WHERE l.r = 1 AND f.r = 1""")
 def _(t):
-    d = t("documents", "doc_id", "lang", "source", "text").select(F.concat("lang", "source").alias("key"), "doc_id", "text")
-    longest = documents.keep_longest(d, "key", "doc_id", "text").select("key", F.md5("text").alias("longest"))
-    first = documents.keep_first(d, "key", "doc_id", "text").select("key", F.md5("text").alias("first"))
-    unique = documents.concat_unique(d, "key", F.floor(F.col("doc_id") / 10_000).cast("int"), "doc_id", "text")
+    d = t("documents", "doc_id", "lang", "source", "text").select(F.concat("lang", "source").alias("key"), F.col("doc_id").alias("o"), "text")
+    part = F.expr("substring(text, 10, cast(40 + o % 200 as int))")
+    d = d.unionByName(d.where("o % 3 = 0").select("key", F.col("o") + 1_000_000_000, F.concat(F.lit("  "), part, F.lit("\n")).alias("text")).toDF("key", "o", "text"))
+    longest = documents.keep_longest(d, "key", "o", "text").select("key", F.md5("text").alias("longest"))
+    first = documents.keep_first(d, "key", "o", "text").select("key", F.md5("text").alias("first"))
+    unique = documents.concat_contained(d, "key", "o", "text")
     return longest.join(first, "key").join(unique.select("key", F.md5("text").alias("unique_concat"), F.col("n_notes").alias("n_unique")), "key")
 
 
