@@ -121,3 +121,25 @@ def test_contained_notes_are_left_out(spark):
             seen.add(x)
         want[k] = (n, text)
     assert got == want
+
+
+def test_samples_shuffle_no_other_column(spark):
+    """Exact shares per class, ties of ids and null labels included, and no exchange carries the payload."""
+    df = spark.range(3000).selectExpr("id % 2500 as id", "case when id % 10 = 0 then null when id % 7 = 0 then 1 else 0 end as y", "repeat('x', 50) as payload")
+    sizes = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
+    split = sampling.stratified_split(df.dropDuplicates(["id"]), "id", "y", 0.3)
+    for r in split.groupBy("y").agg(F.sum("is_test").alias("t"), F.count("*").alias("n")).collect():
+        assert r.t == int(r.n * 0.3)
+    one = spark.range(3000).selectExpr("id", "if(id % 9 = 0, 1, 0) as y", "repeat('x', 50) as payload")
+    few = sampling.undersample(one, "id", "y", 0.5)
+    assert {r.y: r["count"] for r in few.groupBy("y").count().collect()} == {1: 334, 0: 668}
+    more = sampling.oversample(one, "id", "y")
+    assert {r.y: r["count"] for r in more.groupBy("y").count().collect()} == {1: 2666, 0: 2666}
+    assert sizes[None] == 300
+    spark.range(1).write.mode("overwrite").format("noop").save()
+    for out in (sampling.stratified_split(one, "id", "y"), few, more):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "payload" in plan
+        physical = out._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange hashpartitioning" in line and "payload" in line for line in physical.split("\n"))
+        assert "SortMergeJoin" not in physical

@@ -1,7 +1,8 @@
 """Exact, repeatable sampling and class weights.
 
 Random order is a hash of the id and a seed, so a row keeps its draw on every cluster. Positions in
-a class come from hash slices, never from one sort of the whole class.
+a class come from hash slices, never from one sort of the whole class; splits and samples need only the
+hash at which a class is cut.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, flag
+from ..functions.exprs import clip, flag, hash_rank
 from .aggregates import class_distribution
 from .ordered import grouped_quantiles, hash_positions
 
@@ -20,12 +21,33 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("__n"))
 
 
+def _first_by_hash(df: DataFrame, id_col: str, label: str, seed: int, take: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: whether a row is among the first ``take`` of its class in hash order (a column over the class size ``__n``).
+
+    Counts per hash slice tell in which slice the cut of a class falls; only ids of that slice are ranked. Rows then compare their
+    hash with the cut of their class, one row per class, so no row of ``df`` is shuffled. Rows that share an id are drawn together.
+    """
+    draw = hash_rank(id_col, seed=seed)
+    light = df.select(F.col(label).alias("__class"), F.col(id_col).alias("__id"), draw.alias("__h"), F.substring(draw, 1, 4).alias("__slice"))
+    w = Window.partitionBy("__class")
+    slices = light.groupBy("__class", "__slice").agg(F.count("*").alias("__k"))
+    slices = slices.select(
+        "__class", "__slice", "__k", F.sum("__k").over(w).alias("__n"),
+        F.coalesce(F.sum("__k").over(w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    cut = slices.withColumn("__take", F.least(take, F.col("__n"))).where("__before < __take and __take <= __before + __k")
+    cut = cut.select(F.col("__class").alias("__c"), F.col("__slice").alias("__s"), (F.col("__take") - F.col("__before")).alias("__need"))
+    few = light.join(F.broadcast(cut), F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__slice") == F.col("__s")))
+    rank = F.row_number().over(Window.partitionBy("__class", "__slice").orderBy("__h", "__id"))
+    last = few.withColumn("__rn", rank).where("__rn = __need").select(F.col("__class").alias("__of"), F.struct("__h", "__id").alias("__cut"))
+    out = df.withColumn("__draw", F.struct(draw.alias("__h"), F.col(id_col).alias("__id"))).join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__of")), "left")
+    return out.select(*df.columns, F.coalesce(F.col("__draw") <= F.col("__cut"), F.lit(False)).alias(name))
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: exactly floor(share x n) rows of every class."""
-    sizes = class_sizes(df, label).withColumnRenamed(label, "__class")  # one row per class; rows without label are one
-    ranked = hash_positions(df, [label], [id_col], seed)
-    ranked = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__class")))
-    return ranked.select(*df.columns, flag(F.col("rn") <= F.floor(F.col("__n") * F.lit(test_share))).alias("is_test"))
+    """Adds ``is_test``: exactly floor(share x n) rows of every class; rows without label are one class."""
+    out = _first_by_hash(df, id_col, label, seed, F.floor(F.col("__n") * F.lit(test_share)), "__in")
+    return out.select(*df.columns, flag(F.col("__in")).alias("is_test"))
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -43,17 +65,16 @@ def undersample(df: DataFrame, id_col: str, label: str, ratio: float, seed: int
     """All minority rows and exactly floor(minority / ratio) of the rest."""
     n_min, n_maj = _sizes(df, label, minority)
     keep = min(n_maj, int(n_min / ratio + 1e-9))
-    ranked = hash_positions(df, [label], [id_col], seed)
-    return ranked.where((F.col(label) == minority) | (F.col("rn") <= keep)).select(*df.columns)
+    return _first_by_hash(df, id_col, label, seed, F.lit(keep), "__in").where((F.col(label) == minority) | F.col("__in")).select(*df.columns)
 
 
 def oversample(df: DataFrame, id_col: str, label: str, seed: int = 42, minority: int = 1) -> DataFrame:
     """Repeat minority rows up to parity; ``copy`` numbers the repetitions."""
     n_min, n_maj = _sizes(df, label, minority)
     base, extra = divmod(max(n_maj, n_min), n_min) if n_min else (1, 0)
-    ranked = hash_positions(df, [label], [id_col], seed)
-    copies = F.when(F.col(label) == minority, F.lit(base) + flag(F.col("rn") <= extra)).otherwise(1)
-    return ranked.select(*df.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    drawn = _first_by_hash(df, id_col, label, seed, F.lit(extra), "__in")
+    copies = F.when(F.col(label) == minority, F.lit(base) + flag(F.col("__in"))).otherwise(1)
+    return drawn.select(*df.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
 
 
 def class_weights(df: DataFrame, label: str, strategy: str = "balanced", beta: float = 0.9999) -> DataFrame:
