@@ -135,8 +135,10 @@ def vocabulary(docs: DataFrame, text_col: str, most: int) -> np.ndarray:
         if total > most:
             break
         least = level
-    words = [r.word for r in counts.where(F.col("level") >= least).select("word").collect()] if least is not None else []
-    return np.sort(np.array(words, np.int64).view(U64))
+    if least is None:
+        return np.zeros(0, U64)
+    words = counts.where(F.col("level") >= least).select("word").toArrow()  # without a Python object per word
+    return np.sort(words.column(0).to_numpy().view(U64))
 
 
 def _context_sums(keys: np.ndarray):
@@ -298,7 +300,8 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, deca
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = ((x - mean) / scale).astype(np.float32)
+    z = x - mean
+    z /= scale
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, 0.2, hidden).astype(np.float32), np.zeros(1, np.float32)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     rows = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
@@ -341,9 +344,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
                     [b.column(0).slice(t.lo, t.hi - t.lo), b.column(2).slice(t.lo, t.hi - t.lo), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"]
                 )
 
-    got = sorted(chosen.select("id", "text", "y").mapInArrow(compute, "id long, y int, x binary").collect())
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(-1, FEATURES)
-    return vectors, train(x, np.array([r.y for r in got], np.float32))
+    got = chosen.select("id", "text", "y").mapInArrow(compute, "id long, y int, x binary").toArrow()
+    order = np.lexsort((got.column(1).to_numpy(), got.column(0).to_numpy()))
+    x = np.frombuffer(b"".join(b for c in got.column(2).chunks for b in (v.as_buffer() for v in c)), np.float32).reshape(-1, FEATURES)[order]
+    y = got.column(1).to_numpy()[order].astype(np.float32)
+    del got
+    carried.destroy()
+    return vectors, train(x, y)
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Vectors, Network]) -> DataFrame:
