@@ -182,13 +182,12 @@ def border_bucket(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     keys = list(keys)
     shares = [i / BORDERS for i in range(1, BORDERS)]
     borders = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * BORDERS).alias("__borders"))
-    # one row per key; without keys the constant joins the only row
-    one = F.lit(1).alias("__one")
-    joined = _matched(df.select("*", one), borders.select("*", one), [*keys, "__one"])
+    # one row per key; without keys one value
+    joined = _matched(df, borders, keys) if keys else df.withColumn("__borders", borders.scalar())
     v, step = F.col(value).cast("double"), 32
     rough = F.size(F.filter(F.expr(f"transform(sequence({step}, {BORDERS - 1}, {step}), i -> __borders[i - 1])"), lambda b: b <= v)) * step
     fine = F.size(F.filter(F.slice("__borders", rough + 1, F.lit(step)), lambda b: b <= v))
-    return joined.withColumn(name, rough + fine).drop("__one", "__borders")
+    return joined.withColumn(name, rough + fine).drop("__borders")
 
 
 def ordered_texts(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], text: str) -> DataFrame:
