@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import give_back, giving_back, keep
 from .words import ALNUM, SPACED, U64, Texts, Words, between, mix, split, texts
 
 SHAPES = 512
@@ -126,7 +126,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, text_col: str, most: int) -> np.ndarray:
     """Sorted keys of the most frequent words: all from the least count on that leaves at most ``most``."""
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(giving_back(_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # eighths of a power of two: what reaches the driver does not grow with the corpus
     counts = keep(counts.select("word", F.floor(8 * F.log2("n")).cast("int").alias("level")))
     least, total = None, 0
@@ -223,9 +223,9 @@ def word_vectors(docs: DataFrame, text_col: str, most: int = VOCABULARY) -> Vect
     keys = vocabulary(docs, text_col, most)
     if not len(keys):
         return Vectors(keys, np.zeros((0, DIM), np.float32))
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(_context_sums(keys), "slot int, sums binary")
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(giving_back(_context_sums(keys)), "slot int, sums binary")
     table = index_vectors(keys)
-    for slot, blob in sums.repartition("slot").mapInArrow(_vectors(keys), "slot int, vector binary").toLocalIterator():
+    for slot, blob in sums.repartition("slot").mapInArrow(giving_back(_vectors(keys)), "slot int, vector binary").toLocalIterator():
         table[slot] = np.frombuffer(blob, np.float32)
     return Vectors(keys, table)
 
@@ -347,7 +347,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
                     [b.column(0).slice(t.lo, t.hi - t.lo), b.column(2).slice(t.lo, t.hi - t.lo), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"]
                 )
 
-    got = chosen.select("id", "text", "y").mapInArrow(compute, "id long, y int, x binary").toArrow()
+    got = chosen.select("id", "text", "y").mapInArrow(giving_back(compute), "id long, y int, x binary").toArrow()
     rank = np.empty(got.num_rows, np.int64)
     rank[np.lexsort((got.column(1).to_numpy(), got.column(0).to_numpy()))] = np.arange(got.num_rows)
     x, y = np.empty((got.num_rows, FEATURES), np.float32), np.empty(got.num_rows, np.float32)
@@ -356,7 +356,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
         x[k] = np.frombuffer(v.as_buffer(), np.float32)
     del got
     carried.destroy()
-    return vectors, train(x, y)
+    net = train(x, y)
+    del x
+    give_back()
+    return vectors, net
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Vectors, Network]) -> DataFrame:
@@ -369,7 +372,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Vectors, Net
             for t in texts(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.lo, t.hi - t.lo), pa.array(net.scores(features(t, vectors)).astype(np.float64))], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(compute, "id long, score double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(compute), "id long, score double")
 
 
 def keep_good(docs: DataFrame, text_col: str, model: tuple[Vectors, Network], accept: float) -> DataFrame:
@@ -385,4 +388,4 @@ def keep_good(docs: DataFrame, text_col: str, model: tuple[Vectors, Network], ac
                 if good.any():
                     yield b.slice(t.lo, t.hi - t.lo).filter(pa.array(good))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(giving_back(rows), docs.schema)
