@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import ordered, pairs, series, temporal
+from wardlight.operators import models, ordered, pairs, series, temporal
 from wardlight.plans.catalog import QUERIES
 from wardlight.streaming import streams
 
@@ -52,6 +52,51 @@ def test_weighted_quantiles_and_no_keys(spark):
     assert r["m"] == pytest.approx(np.median([1, 1, 1, 2, 10, 10, 10, 10]))
 
 
+def test_pair_ranking_over_many_flags(spark):
+    """Sparse sums per flag against one flag at a time, with unknown, constant and rare flags."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    df = pd.DataFrame({"a": np.round(rng.normal(size=n), 2), "b": rng.normal(size=n) + 1e6, "r": rng.normal(size=n)})
+    df.loc[rng.random(n) < 0.1, "a"] = np.nan
+    for i, share in enumerate((0.5, 0.1, 0.05, 0.0, 1.0)):
+        df[f"t{i}"] = (rng.random(n) < share).astype(float)
+    df.loc[rng.random(n) < 0.2, "t1"] = np.nan
+    df.loc[:, "r"] += df["a"].fillna(0) * (df["t0"] == 1)
+    frame = spark.createDataFrame(df.astype(object).where(df.notna(), None), "a double, b double, r double, t0 double, t1 double, t2 double, t3 double, t4 double")
+    flags = [f"t{i}" for i in range(5)]
+    together = pairs.rank_interactions(frame, ["a", "b"], flags, "r").toPandas().set_index(["vital_feature", "nlp_feature"]).sort_index()
+    assert set(together.index) == {(v, t) for v in "ab" for t in ("t0", "t1", "t2")}  # constant flags have one side only
+    alone = pd.concat([pairs.rank_interactions(frame, [v], [t], "r").toPandas() for v, t in together.index]).set_index(["vital_feature", "nlp_feature"]).sort_index()
+    pd.testing.assert_frame_equal(together, alone, rtol=1e-6)
+    assert together["interaction_score"].idxmax() == ("a", "t0")
+    for v, t in together.index:
+        known = df[df[t].notna() & df[v].notna()]
+        assert (together.loc[(v, t), "n_t0"], together.loc[(v, t), "n_t1"]) == ((known[t] == 0).sum(), (known[t] == 1).sum())
+        for side in (0, 1):
+            part = known[known[t] == side]
+            assert together.loc[(v, t), f"corr_t{side}"] == pytest.approx(np.corrcoef(part[v], part["r"])[0, 1], abs=1e-5)
+
+
+def test_discovery_finds_the_planted_pair(spark):
+    """Main effects cannot show x times t; the ranking on residuals does, and the model with the pair fits better."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    x, z, t, u = rng.normal(size=n), rng.normal(size=n), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(2.5 * x * (2 * t - 1) + 0.5 * z)))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": x, "z": z, "t": t, "u": u, "y": y}))
+    found = models.discover_interactions(df, "id", ["x", "z"], ["t", "u"], "y", top=1, n_bins=6, max_iter=25)
+    assert [(r.vital_feature, r.nlp_feature) for r in found.ranking.where("chosen").collect()] == [("x", "t")]
+    assert found.final.pairs == [("x", "t")] and found.main.pairs == []
+
+    def loss(p):
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    main, final = (loss(models.batch_predict(df, "id", m).toPandas().set_index("id")["pred_proba"].sort_index().to_numpy()) for m in (found.main, found.final))
+    cells = pd.DataFrame({"bin": pd.qcut(x, 6, labels=False), "t": t, "y": y})
+    best = loss(cells.groupby(["bin", "t"])["y"].transform("mean").clip(0.001, 0.999).to_numpy())  # what the pair's bins can tell at most, without z
+    assert main - final > 0.8 * (main - best), (main, final, best)
+
+
 def test_nearest_against_brute_force(spark):
     rng = random.Random(3)
     t0 = datetime(2024, 1, 1)

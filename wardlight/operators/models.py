@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.clinical import risk_level
 from ..functions.exprs import flag
+from ..session import durable
 from . import metrics, sampling
 from .ordered import top_n_per_key
-from .pairs import bin_by_edges, quantile_edges, unpivot
+from .pairs import bin_by_edges, quantile_edges, rank_interactions, top_scores, unpivot
 
 INTERCEPT = "__intercept"
 # Shape tables up to this many rows are sent to every executor; larger ones are joined by shuffle.
@@ -39,8 +41,12 @@ class AdditiveModel:
 
 
 def feature_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> dict[str, list[float]]:
-    """Quantile edges fitted on ``df``; n_bins + 1 numbers per feature come back to the driver."""
-    return {r["feature"]: list(r["edges"]) for r in quantile_edges(unpivot(df, [], features), "feature", "value", n_bins).collect()}
+    """Quantile edges fitted on ``df``; n_bins + 1 numbers per feature come back to the driver.
+
+    Where quantiles are only two values, as of a flag, the middle between them is an edge too: one bin would tell nothing.
+    """
+    found = {r["feature"]: list(r["edges"]) for r in quantile_edges(unpivot(df, [], features), "feature", "value", n_bins).collect()}
+    return {f: [e[0], e[0] / 2 + e[1] / 2, e[1]] if len(e) == 2 else e for f, e in found.items()}
 
 
 def bin_columns(edges: Mapping[str, Sequence[float]], pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
@@ -178,6 +184,36 @@ def residuals(df: DataFrame, id_col: str, label: str, model: AdditiveModel) -> D
     return df.select(id_col, label).join(p, id_col).select(id_col, (F.col(label) - F.col("pred_proba")).alias("residual"))
 
 
+class Discovery(NamedTuple):
+    """Main effects alone, every ranked pair with its score and whether it was ``chosen``, and the model with the chosen pairs."""
+
+    main: AdditiveModel
+    ranking: DataFrame
+    final: AdditiveModel
+
+
+def discover_interactions(
+    df: DataFrame, id_col: str, v_cols: Sequence[str], t_cols: Sequence[str], label: str, top: int = 20, n_bins: int = 10,
+    min_samples: int = 50, weight: str | None = None, max_iter: int = 100,
+) -> Discovery:
+    """Learn which (continuous, flag) pairs matter: fit main effects, rank pairs on what they leave unexplained, fit again with the best ``top``.
+
+    Ids must be unique and not null. Rows without a label take no part. The frame is written once and read by all
+    steps; at most ``top`` names and the edges of the features reach the driver.
+    """
+    names = [*v_cols, *t_cols]
+    rows = durable(df.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label, *names, *([weight] if weight else [])))
+    edges = feature_edges(rows, names, n_bins)
+    main = fit_additive(rows, names, label, weight=weight, n_bins=n_bins, edges=edges, max_iter=max_iter)
+    left = rows.select(id_col, *names).join(residuals(rows, id_col, label, main), id_col)
+    ranked = durable(rank_interactions(left, v_cols, t_cols, "residual", n_bins, min_samples))
+    best = top_scores(ranked, "interaction_score", top, ["vital_feature", "nlp_feature"]).select("vital_feature", "nlp_feature").collect()  # ``top`` rows
+    listed = [(r["vital_feature"], r["nlp_feature"]) for r in best]
+    final = fit_additive(rows, names, label, listed, weight=weight, n_bins=n_bins, edges=edges, max_iter=max_iter)
+    chosen = F.struct("vital_feature", "nlp_feature").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in listed]) if listed else F.lit(False)
+    return Discovery(main, ranked.withColumn("chosen", chosen), final)
+
+
 def fit_boosted_trees(df: DataFrame, features: Sequence[str], label: str, max_iter: int = 20, depth: int = 3):
     """Gradient-boosted baseline; positives weigh as much in all as negatives. Returns a fitted pipeline."""
     c = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row per class

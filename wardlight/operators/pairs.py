@@ -105,39 +105,34 @@ def rank_interactions(
 ) -> DataFrame:
     """Score every (continuous v, binary t) pair by how the residual's shape over v differs between t = 0 and 1.
 
-    Rows are never paired: each v is unpivoted once with all t columns alongside, and one map-side
-    combined aggregate per (v, bin) carries the sums of every t = 1 side. The t = 0 side is the
-    total minus that. What is shuffled has V x bins rows, whatever the number of input rows.
+    Rows are never paired and no t column is summed where it is 0. A row carries the list of its set and its
+    unknown flags; each v is counted once in its bin, and once more for each flag on that list. These sums are
+    combined before the exchange, which has at most V x bins x 2T rows for any number of input rows. The
+    t = 0 side is the bin's total less the set and the unknown part.
 
-    Rows whose t is null count on neither side of that t. Values are centred on the middle edge of their
-    feature before they are summed, so large offsets do not cancel.
+    Rows whose t is null count on neither side of that t; bins are cut over all rows that have a v. Values are
+    centred on the middle edge of their feature before they are summed, so large offsets do not cancel.
     """
+    # -1: the row itself; 2i: flag i is set; 2i + 1: flag i is unknown
+    marks = F.array_compact(F.array(F.lit(-1), *[F.when(F.col(t) == 1, 2 * i).when(F.col(t).isNull(), 2 * i + 1) for i, t in enumerate(t_cols)]))
     long = (
-        df.select(*[F.col(t).cast("double").alias(t) for t in t_cols], F.col(residual).cast("double").alias("__r"),
+        df.select(marks.alias("__marks"), F.col(residual).cast("double").alias("__r"),
                   F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).cast("double").alias("x")) for v in v_cols])).alias("__c"))
-        .select(*t_cols, "__r", F.col("__c.v").alias("v"), F.col("__c.x").alias("x"))
+        .select("__marks", "__r", F.col("__c.v").alias("v"), F.col("__c.x").alias("x"))
         .where("x IS NOT NULL")
     )
-    plain = unpivot(df, [], v_cols, "v", "x")
-    edges = quantile_edges(plain, "v", "x", n_bins)
+    edges = quantile_edges(unpivot(df, [], v_cols, "v", "x"), "v", "x", n_bins)
     small = F.broadcast(edges) if len(v_cols) <= MAX_NAMES else edges
     binned = long.join(small, "v").withColumn("bin", bin_by_edges("x", "edges", True, n_bins))
-    binned = binned.withColumn("x", F.col("x") - F.coalesce(F.try_element_at("edges", (F.size("edges") / 2).cast("int") + 1), F.lit(0.0))).drop("edges")
-    r, x = F.col("__r"), F.col("x")
+    binned = binned.withColumn("x", F.col("x") - F.coalesce(F.try_element_at("edges", (F.size("edges") / 2).cast("int") + 1), F.lit(0.0)))
+    r, x, mark = F.col("__r"), F.col("x"), F.col("mark")
     terms = {"n": F.lit(1.0), "r": r, "rr": r * r, "x": x, "xx": x * x, "xr": x * r}
-    sums = binned.groupBy("v", "bin").agg(
-        *[F.sum(e).alias(f"__{k}") for k, e in terms.items()],
-        *[F.sum(F.when(F.col(t) == 1, e).otherwise(0.0)).alias(f"{k}|{t}") for t in t_cols for k, e in terms.items()],
-        *[F.sum(F.when(F.col(t).isNull(), e).otherwise(0.0)).alias(f"{k}?{t}") for t in t_cols for k, e in terms.items()],
-    )
-    ones = F.array(*[
-        F.struct(F.lit(t).alias("t"), *[F.col(f"{k}|{t}").alias(f"{k}1") for k in terms], *[F.col(f"{k}?{t}").alias(f"{k}u") for k in terms])
-        for t in t_cols
-    ])
-    cells = (
-        sums.select("v", "bin", *[f"__{k}" for k in terms], F.explode(ones).alias("o"))
-        .select("v", "bin", F.col("o.t").alias("t"), *[F.col(f"o.{k}1").alias(f"{k}1") for k in terms],
-                *[(F.col(f"__{k}") - F.col(f"o.{k}1") - F.col(f"o.{k}u")).alias(f"{k}0") for k in terms])
+    sums = binned.select("v", "bin", "__r", "x", F.explode("__marks").alias("mark")).groupBy("v", "bin", "mark").agg(*[F.sum(e).alias(f"__{k}") for k, e in terms.items()])
+    # a total goes to every flag, a part to its own
+    flags = F.when(mark < 0, F.array(*[F.lit(i) for i in range(len(t_cols))]).cast("array<int>")).otherwise(F.array(F.floor(mark / 2).cast("int")))
+    cells = sums.withColumn("t", F.explode(flags)).groupBy("v", "bin", "t").agg(
+        *[F.sum(F.when((mark >= 0) & (mark % 2 == 0), F.col(f"__{k}")).otherwise(0.0)).alias(f"{k}1") for k in terms],
+        *[F.sum(F.when(mark < 0, F.col(f"__{k}")).otherwise(-F.col(f"__{k}"))).alias(f"{k}0") for k in terms],
     )
     both = (F.col("n0") >= 5) & (F.col("n1") >= 5)
     diff = F.try_divide(F.col("r0"), F.col("n0")) - F.try_divide(F.col("r1"), F.col("n1"))
@@ -181,7 +176,7 @@ def rank_interactions(
     )
     score = 0.4 * F.col("residual_diff_score") + 0.4 * F.col("f_score") + 20.0 * F.col("corr_diff")
     return scored.select(
-        F.col("v").alias("vital_feature"), F.col("t").alias("nlp_feature"), score.alias("interaction_score"), "residual_diff_score", "f_score",
+        F.col("v").alias("vital_feature"), F.get(F.array(*[F.lit(t) for t in t_cols]), F.col("t")).alias("nlp_feature"), score.alias("interaction_score"), "residual_diff_score", "f_score",
         "corr_t0", "corr_t1", "corr_diff", F.col("s_n0").cast("long").alias("n_t0"), F.col("s_n1").cast("long").alias("n_t1"),
         (F.col("s_n0") + F.col("s_n1")).cast("long").alias("n_total"),
     )

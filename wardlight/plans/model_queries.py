@@ -122,6 +122,14 @@ def _(t):
     return models.fit_additive(order_frame(t), FEATURES, "y", PAIRS, n_bins=5, max_iter=15).shapes
 
 
+@query("J16_discover_interactions")
+def _(t):
+    flags = {"many_lines": F.col("n_lines") >= 5, "low_tax": F.col("tax") < 0.03, "odd": F.col("o_orderkey") % 2 == 1}
+    frame = order_frame(t).withColumns({n: flag(c) for n, c in flags.items()})
+    found = models.discover_interactions(frame, "o_orderkey", ["o_totalprice", "qty"], list(flags), "y", top=2, n_bins=5, max_iter=10)
+    return found.ranking.select("vital_feature", "nlp_feature", "interaction_score", "n_t0", "n_t1", "chosen")
+
+
 @query("J18_fit_ensemble")
 def _(t):
     return models.fit_ensemble(order_frame(t), "o_orderkey", FEATURES, "y", 2, (0.4, 0.5), pairs=PAIRS, n_bins=5, max_iter=10).shapes
