@@ -173,6 +173,27 @@ def test_positions(spark):
     assert [(m["text"], m["start"], m["end"]) for m in out] == [("Pain", 0, 4), ("PAIN", 11, 15)]
 
 
+def test_matches_are_searched_as_plain_bytes_first(spark):
+    """Both operators look for a byte string before any regex, and fold no other letter into an ASCII one."""
+    p = r"\bsepsis\b|\bseptic\b"
+    df = spark.createDataFrame([(1, "SEPSIS, septic"), (2, "\u017fepsis"), (3, None), (4, "asepsis"), (5, "x septic sepsis septic")], "id long, t string")
+    out = df.select("id", spans.match_positions("t", p, 2).alias("m"), notes.first_matches("t", p, 2).alias("f"), notes.first_matches("t", r"\bSEPSIS\b", 2).alias("u"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Contains(") >= 4
+    got = {r.id: ([(m.text, m.start, m.end) for m in r.m], r.f, r.u) for r in out.collect()}
+    assert got[1] == ([("SEPSIS", 0, 6), ("septic", 8, 14)], ["sepsis", "septic"], ["sepsis"])
+    assert got[5] == ([("septic", 2, 8), ("sepsis", 9, 15)], ["septic", "sepsis"], ["sepsis"])
+    assert [got[i][:2] for i in (2, 3, 4)] == [([], [])] * 3
+
+
+def test_factored_patterns_match_alike():
+    import re
+
+    samples = ["ef 30%", "post-op", "creatinine  rising", "the mi, or pe", "nrs 10", "10", "x10", "ventilatory", "a stage 3 ulcer", "format or"]
+    for p in [*fixed.CONCEPT_PATTERNS.values(), *fixed.RISK_PATTERNS.values(), r"\ba\(b|mi", r"\bx[(|]|\bmi"]:
+        assert all([m.span() for m in re.finditer(p, s)] == [m.span() for m in re.finditer(notes.factored(p), s)] for s in samples)
+    assert notes.factored(r"\bmi\b|\bpe\b") == r"\b(?:mi\b|pe\b)"
+
+
 def test_dictionary_prefers_longest(spark):
     df = spark.createDataFrame([(1, "Chronic Heart Failure and heart rate")], "id long, t string")
     terms = spark.createDataFrame([("heart failure", "PROBLEM"), ("heart", "TEST"), ("failure", "TEST")], "term string, label string")
