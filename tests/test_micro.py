@@ -194,6 +194,14 @@ def test_factored_patterns_match_alike():
     assert notes.factored(r"\bmi\b|\bpe\b") == r"\b(?:mi\b|pe\b)"
 
 
+def test_negated_flags_search_the_note_first(spark):
+    df = spark.createDataFrame([(1, ["No evidence of Sepsis", "chest PAIN"]), (2, []), (3, ["denies pain", "pain"])], "id long, s array<string>")
+    flags = notes.concept_flags_negated("s", {"sepsis": ["sepsis"], "pain": ["pain", "ache"]})
+    out = df.select("id", *flags)
+    assert "Contains(lower(array_join" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(1, 0, 1), (2, 0, 0), (3, 0, 1)}
+
+
 def test_dictionary_prefers_longest(spark):
     df = spark.createDataFrame([(1, "Chronic Heart Failure and heart rate")], "id long, t string")
     terms = spark.createDataFrame([("heart failure", "PROBLEM"), ("heart", "TEST"), ("failure", "TEST")], "term string, label string")
