@@ -202,6 +202,16 @@ def test_negated_flags_search_the_note_first(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 0, 1), (2, 0, 0), (3, 0, 1)}
 
 
+def test_words_leave_a_worker_in_bounded_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["One two three", None, "w " * 40_000])], names=["id", "t"])
+    out = list(spans.word_cutter(r"\w+", 2, ["id", "gram", "n", "first", "start_char", "end_char"])(iter([batch])))
+    assert max(b.num_rows for b in out) == spans.OUT_ROWS and sum(b.num_rows for b in out) == 5 + 79_999
+    assert [tuple(r.values()) for r in out[0].slice(0, 5).to_pylist()] == [
+        (7, "one", 1, 1, 0, 3), (7, "two", 1, 2, 4, 7), (7, "one two", 2, 1, 0, 7), (7, "three", 1, 3, 8, 13), (7, "two three", 2, 2, 4, 13)]
+
+
 def test_dictionary_prefers_longest(spark):
     df = spark.createDataFrame([(1, "Chronic Heart Failure and heart rate")], "id long, t string")
     terms = spark.createDataFrame([("heart failure", "PROBLEM"), ("heart", "TEST"), ("failure", "TEST")], "term string, label string")
