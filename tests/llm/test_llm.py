@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import hashlib
 import json
+import math
 import os
 import random
 import re
@@ -607,6 +608,24 @@ def test_fm_index():
 # 3: licences
 
 
+def test_no_paragraph_that_reaches_the_threshold_is_left_out(spark):
+    """Next to plain word sets: notices with words left out at random, also those that told them from other text."""
+    rng = random.Random(5)
+    rows = []
+    for own in licenses._notice_words():
+        for share in (0.3, 0.5, 0.55, 0.6, 0.7, 0.9):
+            for _ in range(6):
+                kept = rng.sample(own, min(len(own), math.ceil(share * len(own))))
+                rows.append((len(rows), "some words\n" + " ".join(kept).replace("0", "4.2").upper()))
+    rows += [(len(rows), "under the Apache, version 3.1"), (len(rows) + 1, None), (len(rows) + 2, "nothing to see here, 5 under")]
+    got = {(r.id, r.paragraph) for r in licenses.paragraphs(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    for i, t in rows:
+        have = set(re.split("[^a-z0-9]+", re.sub("[0-9]+(?:[.][0-9]+)*", "0", (t or "").split("\n")[-1].lower())))
+        reached = any(len(have & set(own)) / len(own) >= licenses.CONFIRM for own in licenses._notice_words())
+        known = any(a in (t or "").lower() for a in licenses.ANCHORS)
+        assert ((i, (t or "").count("\n")) in got) == (reached or known), t
+
+
 def test_licenses(spark):
     rng = random.Random(5)
     plain = lambda: " ".join("".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 8))) for _ in range(20))

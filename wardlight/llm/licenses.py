@@ -2,14 +2,18 @@
 
 A sparse multinomial logistic regression over word n-grams is trained on two kinds of paragraphs: variants of
 known notices (words left out, other numbers, words of ordinary text around them), and ordinary
-paragraphs of the corpus for the class ``unknown``. Its n-grams are those of the notices, so a paragraph
-without any of them is ``unknown`` for certain and is dropped by plain substring tests. The temperature
+paragraphs of the corpus for the class ``unknown``. A prediction counts only if most of a notice's words are
+there, so a paragraph without any of the ``anchors`` is dropped by plain substring tests. The temperature
 of the scores is fitted on paragraphs held back. A prediction counts once the notice of its family
 confirms it: most of the notice's words must be there.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression
@@ -30,8 +34,10 @@ NOTICES = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (*sorted(NOTICES), UNKNOWN)
-#: words that tell a notice from other text: every notice holds one, and the substring test looks for them
+#: words that tell a notice from other text: lines with one of them are always candidates
 ANCHORS = ("licen", "redistribut", "free of charge", "free software")
+#: usual words that tell little: a notice is recognised by its others
+COMMON = frozenset("0 a and any are as be by following for from in is it met not of or person provided s that the this to under use v with without work you".split())
 #: ordinary paragraphs used for training, at most: those with the smallest hash
 TRAIN_PARAGRAPHS = 4_000
 VARIANTS = 60
@@ -49,18 +55,40 @@ def ngrams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, body) of the lines that may be notices. Lines without any anchor are ``unknown``."""
-    low = F.lower(F.col(text_col))
-    some = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        some = some | low.contains(a)
-    lines = docs.where(some).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "body"))
-    low = F.lower("body")
-    some = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        some = some | low.contains(a)
-    return lines.where(some)
+def anchors(confirm: float) -> list[str]:
+    """Substrings of which every confirmed paragraph holds one.
+
+    A notice's telling words are taken until fewer are left than a confirmed paragraph shares with it, so a paragraph
+    without all of them cannot reach ``confirm``. Words are compared as parts of the text, which finds them all.
+    """
+    found = set(ANCHORS)
+    for own in _notice_words():
+        telling = sorted((w for w in own if w != "0"), key=lambda w: (not any(a in w for a in ANCHORS), w in COMMON, -len(w), w))
+        excess = len(own) - max(math.ceil(confirm * len(own) - 1e-9), 1) + 1
+        # 0 stands for any number
+        found.update(telling[:excess] if excess <= len(telling) else [*telling, *"0123456789"])
+    return sorted(w for w in found if not any(v != w and v in w for v in found))
+
+
+def _notice_words() -> list[list[str]]:
+    """Distinct words of every notice, as ``words`` gives them; notices are plain ASCII."""
+    plain = [re.sub("[0-9]+(?:[.][0-9]+)*", "0", t.lower()) for ts in NOTICES.values() for t in ts]
+    return [list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", t) if w)) for t in plain]
+
+
+def _holds(c: str, parts: Sequence[str]) -> Column:
+    low = F.lower(F.col(c))
+    return reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, confirm: float = CONFIRM) -> DataFrame:
+    """(id, paragraph, body) of the lines that may be notices: those with one of ``ANCHORS``, and all that share enough words
+    with a notice to be confirmed. Any other line cannot be confirmed and is left out."""
+    held = anchors(confirm)
+    lines = docs.where(_holds(text_col, held)).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "body"))
+    lines = lines.where(_holds("body", held)).withColumn("w", F.when(~_holds("body", ANCHORS), words(F.col("body"))))
+    shared = [F.size(F.array_intersect(F.array(*[F.lit(w) for w in own]), "w")) >= max(math.ceil(confirm * len(own) - 1e-9), 1) for own in _notice_words()]
+    return lines.where(F.col("w").isNull() | reduce(lambda a, b: a | b, shared)).drop("w")
 
 
 class Model(NamedTuple):
@@ -124,7 +152,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, model: Model, confirm: flo
     live = [(g, [w[i] for w in model.weights]) for i, g in enumerate(model.vocabulary) if any(abs(w[i]) > 1e-9 for w in model.weights)]
     table = F.create_map(*[c for g, w in live for c in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))]) if live else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * len(FAMILIES)))
     start = F.array(*[F.lit(float(b)) for b in model.intercepts])
-    out = paragraphs(docs, id_col, text_col).withColumn("w", words(F.col("body")))
+    out = paragraphs(docs, id_col, text_col, confirm).withColumn("w", words(F.col("body")))
     out = out.withColumn("f", F.filter(F.transform(ngrams(F.col("w")), lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull()))
     out = out.withColumn("z", F.aggregate("f", start, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)))
     out = out.withColumn("p", _softmax(F.col("z"), model.temperature)).withColumn("probability", F.array_max("p"))
