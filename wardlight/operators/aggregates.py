@@ -36,14 +36,14 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median per column for its null cells."""
     from .pairs import unpivot
 
-    med = grouped_quantiles(unpivot(df, [], columns), ["feature"], "value", {"m": 0.5})
+    med = grouped_quantiles(unpivot(df, [], columns), ["feature"], "value", {"m": 0.5}, few_keys=True)
     # One number per column of the frame comes back to the driver.
     values = {r["feature"]: r["m"] for r in med.collect()}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values.get(c))) for c in columns})
 
 
 def iqr_bounds(long: DataFrame, feature: str, value: str) -> DataFrame:
-    q = grouped_quantiles(long, [feature], value, {"q1": 0.25, "q3": 0.75})
+    q = grouped_quantiles(long, [feature], value, {"q1": 0.25, "q3": 0.75}, few_keys=True)
     iqr = F.col("q3") - F.col("q1")
     return q.select(feature, "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
 

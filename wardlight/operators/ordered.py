@@ -92,7 +92,7 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None, few_keys: bool = False
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per key, also for keys that hold most of the rows.
 
@@ -101,6 +101,9 @@ def grouped_quantiles(
     equal values are counted before anything is ordered. A bucket is then cut into ``CELLS`` cells between its own
     least and largest value, and only the cells that hold a wanted rank are ordered, so values crowded
     into one bucket are spread as well. Null keys are a key of their own; null values and NaN count for nothing.
+
+    ``few_keys`` says that the keys are names of features: the wanted buckets, a few per key, then go to the
+    rows, so that no task gets all rows of one feature's bucket.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
@@ -134,7 +137,7 @@ def grouped_quantiles(
     share = (F.col("__v") / 2 - F.col("__least") / 2) / (F.col("__most") / 2 - F.col("__least") / 2)
     cell = F.when(F.col("__v") == float("inf"), CELLS).when(F.col("__v") == float("-inf"), -1).when(F.col("__most") > F.col("__least"), F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1)))
     values = (
-        _matched(rows, shelves.where(wanted("__start", "__nb")).drop("__nb"), grid)
+        _matched(rows, shelves.where(wanted("__start", "__nb")).drop("__nb"), grid, few_keys)
         .groupBy(*grid, "__start", "__total", "__least", "__most", "__v")
         .agg(F.sum("__w").alias("__n"))
         .withColumn(CELL, F.coalesce(cell, F.lit(0)))
@@ -146,7 +149,7 @@ def grouped_quantiles(
         .where(wanted("__at", "__nc"))
     )
     inside = Window.partitionBy(*grid, CELL).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _matched(values.select(*grid, CELL, "__v", "__n"), cells.drop("__nc", "__start"), [*grid, CELL]).withColumn(
+    placed = _matched(values.select(*grid, CELL, "__v", "__n"), cells.drop("__nc", "__start"), [*grid, CELL], few_keys).withColumn(
         "__s", F.col("__at") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
     )
     aggs = [F.max("__total").alias("__total")]
@@ -166,11 +169,11 @@ def grouped_quantiles(
     )
 
 
-def _matched(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on columns of one name, null matching null."""
+def _matched(df: DataFrame, table: DataFrame, on: Sequence[str], small: bool = False) -> DataFrame:
+    """Inner join on columns of one name, null matching null; a ``small`` table is sent to the rows."""
     renamed = table.select(*[F.col(c).alias(f"__m_{i}") for i, c in enumerate(on)], *[c for c in table.columns if c not in on])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__m_{i}")) for i, c in enumerate(on)])
-    return df.join(renamed, same).drop(*[f"__m_{i}" for i in range(len(on))])
+    return df.join(F.broadcast(renamed) if small else renamed, same).drop(*[f"__m_{i}" for i in range(len(on))])
 
 
 def border_bucket(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

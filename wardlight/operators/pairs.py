@@ -38,7 +38,7 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 def quantile_edges(long: DataFrame, feature: str, value: str, n_bins: int) -> DataFrame:
     """(feature, edges): distinct interior quantile edges per feature, exact and interpolated."""
     probs = {f"q{i}": i / n_bins for i in range(n_bins + 1)}
-    q = grouped_quantiles(long, [feature], value, probs)
+    q = grouped_quantiles(long, [feature], value, probs, few_keys=True)
     return q.select(feature, F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in probs]))).alias("edges"))
 
 
@@ -55,15 +55,18 @@ def bin_by_edges(value: str | Column, edges: str | Column, right_closed: bool, n
 
 
 def quantile_bin(long: DataFrame, feature: str, value: str, n_bins: int, right_closed: bool = False, keep_small: int = 0) -> DataFrame:
-    """Adds ``bin`` (string). Features with at most ``keep_small`` distinct values keep the value itself."""
+    """Adds ``bin`` (string). Features with at most ``keep_small`` distinct values keep the value itself.
+
+    Edges and counts have one row per feature and go to the rows, which are not shuffled: a feature holds far too many for one task.
+    """
     edges = quantile_edges(long, feature, value, n_bins)
-    out = long.join(edges, feature, "left").withColumn("bin", bin_by_edges(value, "edges", right_closed, n_bins).cast("string"))
+    out = long.join(F.broadcast(edges), feature, "left").withColumn("bin", bin_by_edges(value, "edges", right_closed, n_bins).cast("string"))
     if keep_small:
         small = (
             long.where(F.col(value).isNotNull()).groupBy(feature, value).agg(F.lit(1).alias("__1"))
             .groupBy(feature).agg(F.count("*").alias("__distinct"))
         )
-        out = out.join(small, feature, "left").withColumn(
+        out = out.join(F.broadcast(small), feature, "left").withColumn(
             "bin", F.when(F.col("__distinct") <= keep_small, F.col(value).cast("string")).otherwise(F.col("bin"))
         ).drop("__distinct")
     return out.drop("edges")

@@ -135,7 +135,7 @@ def impute_encode(train: DataFrame, df: DataFrame, numeric: Sequence[str], categ
     medians = {}
     if numeric:
         # One number per column comes back to the driver.
-        medians = {r["feature"]: r["m"] for r in grouped_quantiles(unpivot(train, [], numeric), ["feature"], "value", {"m": 0.5}).collect()}
+        medians = {r["feature"]: r["m"] for r in grouped_quantiles(unpivot(train, [], numeric), ["feature"], "value", {"m": 0.5}, few_keys=True).collect()}
     out = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))) for c in numeric})
     for c in categorical:
         values = train.select(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")).alias("__v")).distinct()

@@ -247,7 +247,7 @@ def carry_bins(grid: DataFrame, id_col: str, feature: str, value: str, bins: str
     """Carry the last bin forward per entity and feature, then the feature's overall median."""
     w = Window.partitionBy(id_col, feature).orderBy(bins).rowsBetween(Window.unboundedPreceding, 0)
     carried = durable(grid.withColumn(value, F.last(value, ignorenulls=True).over(w)))
-    medians = grouped_quantiles(carried, [feature], value, {"__m": 0.5})
+    medians = grouped_quantiles(carried, [feature], value, {"__m": 0.5}, few_keys=True)
     return carried.join(medians, feature, "left").withColumn(value, F.coalesce(F.col(value), F.col("__m"))).drop("__m")
 
 
