@@ -202,6 +202,17 @@ def test_negated_flags_search_the_note_first(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 0, 1), (2, 0, 0), (3, 0, 1)}
 
 
+def test_rows_of_a_feature_are_not_gathered(spark):
+    """Per-feature tables go to the rows; joined by shuffle, one task would get all rows of a feature."""
+    from wardlight.operators import audit, pairs
+
+    long = spark.range(40).selectExpr("'f' as feature", "cast(id as double) as value", "cast(id % 2 as int) as y")
+    for out in (audit.class_overlap(long, "feature", "value", "y"), pairs.quantile_bin(long, "feature", "value", 5, keep_small=3)):
+        assert "ResolvedHint (strategy=broadcast)" in out._jdf.queryExecution().analyzed().toString()
+    binned = pairs.quantile_bin(long, "feature", "value", 5).groupBy("bin").count().collect()
+    assert sorted((r.bin, r["count"]) for r in binned) == [(str(i), 8) for i in range(5)]
+
+
 def test_words_leave_a_worker_in_bounded_batches():
     import pyarrow as pa
 

@@ -17,11 +17,14 @@ def future_events(events: DataFrame, cutoffs: DataFrame, on: str, ts: str, cutof
 
 
 def class_overlap(long: DataFrame, feature: str, value: str, label: str, bins: int = 50) -> DataFrame:
-    """Shared area of the two classes' histograms over one common grid per feature."""
+    """Shared area of the two classes' histograms over one common grid per feature.
+
+    The ends have one row per feature and go to the rows, which are not shuffled: a feature holds far too many for one task.
+    """
     ends = long.where(F.col(value).isNotNull()).groupBy(feature).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     cell = F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1))
-    cells = long.where(F.col(value).isNotNull()).join(ends, feature).groupBy(feature, F.coalesce(cell, F.lit(0)).alias("cell")).agg(
+    cells = long.where(F.col(value).isNotNull()).join(F.broadcast(ends), feature).groupBy(feature, F.coalesce(cell, F.lit(0)).alias("cell")).agg(
         F.sum(flag(F.col(label) == 1)).alias("p"), F.sum(flag(F.col(label) != 1)).alias("n")
     )
     totals = cells.groupBy(feature).agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
