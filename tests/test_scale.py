@@ -215,3 +215,36 @@ def test_synthetic_rows_lie_between_neighbours(spark):
         near = vecs[d <= np.sort(d)[2] + 1e-9]
         off = [np.linalg.norm(np.cross(np.array(v) - vecs[i], e - vecs[i])) for e in near]
         assert min(off) < 1e-6 and len(ends) == 3
+
+
+@pytest.mark.parametrize("group_rows", [None, 60])
+def test_nearest_rows_compare_groups_not_every_pair_of_blocks(spark, monkeypatch, group_rows):
+    from wardlight.operators import neighbors
+
+    rng = np.random.default_rng(7)
+    vecs = np.round(rng.normal(size=(400, 8)), 1) + 1e5  # far from zero: products round more than the distances between rows
+    vecs = np.concatenate([vecs, [vecs[0] + 1.0, vecs[0] - 1.0]])  # equally far from the first
+    calls, closest = spark.sparkContext.accumulator(0), neighbors._closest
+
+    def counted(*args):
+        calls.add(1)
+        return closest(*args)
+
+    monkeypatch.setattr(neighbors, "_closest", counted)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "rep long, vec array<double>")
+    more = {"group_rows": group_rows} if group_rows else {}
+    found = neighbors.nearest_rows(df, 3, block_rows=4, **more).toPandas()
+    want = []
+    for i, v in enumerate(vecs):
+        d = np.sqrt(((vecs - v) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want += [(i, int(j), r + 1, d[j]) for r, j in enumerate(np.lexsort((np.arange(len(d)), d))[:3])]
+    got = sorted(found[["rep", "neighbor", "rank", "distance"]].itertuples(index=False, name=None), key=lambda r: (r[0], r[2]))
+    assert got == want
+    assert calls.value <= (1 if group_rows is None else 20**2)
+
+
+def test_cells_are_dealt_to_groups_of_bounded_size():
+    from wardlight.operators.neighbors import _groups
+
+    assert _groups([0, 3, 4, 25, 2, 8, 1], 10) == ([0, 0, 0, 1, 4, 4, 5], [1, 1, 1, 3, 1, 1, 1])
