@@ -248,3 +248,24 @@ def test_cells_are_dealt_to_groups_of_bounded_size():
     from wardlight.operators.neighbors import _groups
 
     assert _groups([0, 3, 4, 25, 2, 8, 1], 10) == ([0, 0, 0, 1, 4, 4, 5], [1, 1, 1, 3, 1, 1, 1])
+
+
+def test_fits_read_combinations_of_bins_and_scores_stay_with_their_rows(spark, monkeypatch):
+    from wardlight.operators import models
+
+    seen, fit = [], models.LogisticRegression.fit
+
+    def noted(self, rows, *a):
+        seen.append(rows.selectExpr("count(*)", "sum(" + self.getWeightCol() + ")").first())
+        return fit(self, rows, *a)
+
+    monkeypatch.setattr(models.LogisticRegression, "fit", noted)
+    df = spark.range(250_000).selectExpr("id", "double(id % 7) AS a", "double(id % 2) AS b", "int(id % 5 = 0 OR id % 7 > 4) AS y")
+    m = models.fit_additive(df, ["a", "b"], "y", n_bins=3, max_iter=5)
+    assert [round(s[1], 3) for s in seen] == [250_000] and seen[0][0] < 120_000
+    scored = models.batch_predict(df, "id", m, keep=["y"])
+    text = plan(scored)
+    assert "hashpartitioning(id" not in text and "SortMergeJoin" not in text
+    want = models.score_ensemble(models.term_bins(df.limit(500), "id", m), m.shapes, "id").toPandas().set_index("id")
+    got = scored.join(df.limit(500).select("id"), "id").toPandas().set_index("id").loc[want.index]
+    assert np.allclose(got["pred_proba"], want["pred_proba"], atol=1e-12) and (got["pred_label"] == want["pred_label"]).all()

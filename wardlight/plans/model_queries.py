@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, vector_md5, vector_md5_sql
 from ..operators import models
+from ..session import durable
 from .registry import Tables, query
 
 BINS_SQL = """bn AS (SELECT o_orderkey AS id, 'price' AS term, floor(o_totalprice / 50000)::INTEGER::VARCHAR AS bin, o_totalprice AS value FROM orders
@@ -111,7 +112,8 @@ def order_frame(t: Tables):
     li = t("lineitem", "l_orderkey", "l_quantity", "l_tax", "l_returnflag").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("n_lines"), F.sum("l_quantity").alias("qty"), F.avg("l_tax").alias("tax"), F.count_if(F.col("l_returnflag") == "R").alias("n_ret")
     )
-    return t("orders", "o_orderkey", "o_totalprice").join(li, "o_orderkey").withColumn("y", flag(F.col("n_ret") >= 3)).drop("n_ret")
+    # read many times by a fit, so it is made once
+    return durable(t("orders", "o_orderkey", "o_totalprice").join(li, "o_orderkey").withColumn("y", flag(F.col("n_ret") >= 3)).drop("n_ret"))
 
 
 PAIRS = [("qty", "n_lines")]
@@ -145,9 +147,9 @@ def _(t):
 def _(t):
     from ..operators import sampling
 
-    df = sampling.stratified_split(order_frame(t), "o_orderkey", "y", 0.2)
+    df = durable(sampling.stratified_split(order_frame(t), "o_orderkey", "y", 0.2))
     m = models.fit_additive(df.where("is_test = 0"), FEATURES, "y", n_bins=5, max_iter=10)
-    scored = models.batch_predict(df, "o_orderkey", m).join(df.select("o_orderkey", "y", "is_test"), "o_orderkey")
+    scored = models.batch_predict(df, "o_orderkey", m, keep=["y", "is_test"])
     a, b = models.platt_calibration(scored.where("is_test = 1"), "y")
     return models.calibrate(scored, a, b).select("o_orderkey", "pred_proba", "calibrated")
 
@@ -161,7 +163,7 @@ def _(t):
 def _(t):
     from ..operators import sampling
 
-    df = sampling.stratified_split(order_frame(t), "o_orderkey", "y", 0.2)
+    df = durable(sampling.stratified_split(order_frame(t), "o_orderkey", "y", 0.2))
     m = models.fit_additive(df.where("is_test = 0"), FEATURES, "y", n_bins=5, max_iter=10)
     return models.batch_predict(df, "o_orderkey", m, 0.3)
 
