@@ -136,14 +136,13 @@ def score_ensemble(bins: DataFrame, shapes: DataFrame, id_col: str, threshold: f
 
 def _shape_row(shapes: DataFrame, terms: Sequence[str]) -> DataFrame:
     """One row: ``__models``, per model its intercept and per term an array of scores by bin number (null where a bin has none)."""
-    at = F.when(F.col("term") == INTERCEPT, 0).otherwise(F.col("bin").cast("int")).alias("at")
-    cells = shapes.select("model", F.when(F.col("term") == INTERCEPT, "").otherwise(F.col("term")).alias("term"), at, "score")
-    # at most BROADCAST_ROWS scores in all
-    per_term = cells.groupBy("model", "term").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("m"), F.max("at").alias("last"))
-    lists = per_term.select("model", "term", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.element_at("m", i)).alias("scores"))
-    pick = lambda t: F.max(F.when(F.col("term") == t, F.col("scores")))
-    by_model = lists.groupBy("model").agg(F.get(pick(""), F.lit(0)).alias("b"), *[pick(t).alias(f"t{i}") for i, t in enumerate(terms)])
-    return by_model.agg(F.sort_array(F.collect_list(F.struct("model", "b", *[f"t{i}" for i in range(len(terms))]))).alias("__models"))
+    table: dict[int, dict[str, dict[int, float]]] = {}
+    for r in shapes.collect():  # at most BROADCAST_ROWS scores
+        table.setdefault(r["model"], {}).setdefault(r["term"], {})[int(r["bin"] or 0)] = r["score"]
+    listed = lambda cells: [cells.get(i) for i in range(max(cells) + 1)] if cells else None
+    models = [(m, c.get(INTERCEPT, {}).get(0), *[listed(c.get(t)) for t in terms]) for m, c in sorted(table.items())]
+    lists = "".join(f", t{i}: array<double>" for i in range(len(terms)))
+    return shapes.sparkSession.createDataFrame([(models,)], f"__models array<struct<model: int, b: double{lists}>>")
 
 
 def batch_predict(df: DataFrame, id_col: str, model: AdditiveModel, threshold: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
