@@ -505,6 +505,17 @@ def test_pseudonyms_next_to_numbers_and_in_usual_layouts(spark):
     assert "555-123-4567" not in got[6].text and got[6].text.startswith("x 7 ")
 
 
+def test_pseudonyms_cost_the_driver_little(spark):
+    """Parsing and planning the expression: 753 MB when each kind had a permutation of its own, 264 MB since."""
+    docs = docs_of(spark, [(1, "x")])
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    own = spark.sparkContext._jvm.Thread.currentThread().getId()
+    for _ in range(2):  # the first time also fills the parser's tables
+        before = beans.getThreadAllocatedBytes(own)
+        pii.pseudonymize(docs, "text")._jdf.queryExecution().executedPlan()
+    assert beans.getThreadAllocatedBytes(own) - before < 500_000_000
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.range(10_000).selectExpr("lpad(string(id), 4, '0') as v").selectExpr("v", f"{pii.permuted_text('v', 5)} as p")
     assert df.select("p").distinct().count() == 10_000

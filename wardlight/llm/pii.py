@@ -73,11 +73,11 @@ def _moved(half: str, other: str, rnd: str, key: int, hexadecimal: str) -> str:
 def permuted_text(value: str, key: int, hexadecimal: str = "false") -> str:
     """SQL for the Feistel permutation of a string's letters and digits in place."""
     cut = f"cast(length({value}) div 2 as int)"
-    rounds = ", ".join(f"struct({k % 2} as turn, {k} as k)" for k in range(ROUNDS))
-    return f"""aggregate(array({rounds}), struct(substring({value}, 1, {cut}) as l, substring({value}, {cut} + 1) as r),
+    rounds = ", ".join(f"named_struct('turn', {k % 2}, 'k', {k})" for k in range(ROUNDS))
+    return f"""aggregate(array({rounds}), named_struct('l', substr({value}, 1, {cut}), 'r', substr({value}, {cut} + 1)),
         (s, q) -> if(q.turn = 0,
-            struct({_moved('s.l', 's.r', 'q.k', key, hexadecimal)} as l, s.r as r),
-            struct(s.l as l, {_moved('s.r', 's.l', 'q.k', key, hexadecimal)} as r)),
+            named_struct('l', {_moved('s.l', 's.r', 'q.k', key, hexadecimal)}, 'r', s.r),
+            named_struct('l', s.l, 'r', {_moved('s.r', 's.l', 'q.k', key, hexadecimal)})),
         s -> concat(s.l, s.r))"""
 
 
@@ -90,63 +90,69 @@ def _check_digit(digits: str, skip: int) -> str:
 
 def _iban_rest(text: str) -> str:
     """Remainder by 97 of the moved and spelled-out IBAN (without spaces)."""
-    moved = f"concat(substring({text}, 5), substring({text}, 1, 4))"
+    moved = f"concat(substr({text}, 5), substr({text}, 1, 4))"
     return f"""aggregate(split({moved}, ''), 0, (a, c) -> case when c = '' then a
         when c >= '0' and c <= '9' then (a * 10 + ascii(c) - 48) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"""
 
 
 def _put_back(shape: str, chars: str) -> str:
     """``chars`` in the places of the letters and digits of ``shape``; its other characters stay."""
-    return f"""aggregate(split({shape}, ''), struct('' as done, 1 as n), (s, c) -> if(c rlike '[A-Za-z0-9]',
-        struct(concat(s.done, substring({chars}, s.n, 1)) as done, s.n + 1 as n), struct(concat(s.done, c) as done, s.n as n)), s -> s.done)"""
+    return f"""aggregate(split({shape}, ''), named_struct('done', '', 'n', 1), (s, c) -> if(c rlike '[A-Za-z0-9]',
+        named_struct('done', concat(s.done, substr({chars}, s.n, 1)), 'n', s.n + 1), named_struct('done', concat(s.done, c), 'n', s.n)), s -> s.done)"""
 
 
-def pseudonym(m: str, key: int, piece: bool = False) -> str:
-    """SQL: the pseudonym of a found value ``m``, or ``m`` itself where its check fails; a ``piece`` is one value of a run."""
+def _one(name: str, inner: str, body: str) -> str:
+    """SQL: a name for a value, by an array of one."""
+    return f"element_at(transform(array({inner}), {name} -> {body}), 1)"
 
-    def holds(kind: str) -> str:
-        return "(" + " or ".join(f"{m} rlike {_lit('^(?:' + p.replace('(?<=password=)', '') + ')$')}" for k, p in PATTERNS if k == kind) + ")"
-
-    def one(name: str, inner: str, body: str) -> str:  # a name for a value: an array of one
-        return f"element_at(transform(array({inner}), {name} -> {body}), 1)"
-
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
-    card = one("d", digits, one("p", permuted_text("substring(d, 1, length(d) - 1)", key),
-        f"if({_check_digit('d', 1)} % 10 <> 0 or d rlike '^0+$', {m}, " + _put_back(m, f"concat(p, cast((10 - {_check_digit('p', 0)} % 10) % 10 as string))") + ")"))
-    plain = f"replace({m}, ' ', '')"
-    iban = one("d", plain, one("p", permuted_text("substring(d, 5)", key),
-        f"if({_iban_rest('d')} <> 1, {m}, " + _put_back(m, one("z", "concat(substring(d, 1, 2), '00', p)", f"concat(substring(d, 1, 2), lpad(cast(98 - {_iban_rest('z')} as string), 2, '0'), p)")) + ")"))
-    host = one("d", f"transform(split({m}, '[.]'), x -> try_cast(x as int))", f"if(exists(d, x -> x > 255), {m}, " + one(
-        "p", (permuted("((d[0] * 256L + d[1]) * 256L + d[2]) * 256L + d[3]", 1 << 32, key)), "concat_ws('.', array(string(p div 16777216), string(p div 65536 % 256), string(p div 256 % 256), string(p % 256)))") + ")")
+
+def _date(m: str, key: int) -> str:
+    """SQL: the pseudonym of a date, in its own order of parts and with its own separators."""
     permuted_day = permuted("d", DAYS, key)
     # month first is read only where day first is no date, so the day is over 12 and stays so: walk on until it is
     late = f"aggregate(sequence(1, 60), d, (a, k) -> if(k > 1 and dayofmonth(date_add(date'{FIRST_DAY}', cast(a as int))) > 12, a, {permuted('a', DAYS, key)}))"
 
     def dated(form: str, moved: str) -> str:
         wide = form.replace("d", "dd").replace("M", "MM")
-        put = f"date_add(date'{FIRST_DAY}', cast({moved} as int))"
-        shown = f"if({m} rlike '(^|[^0-9])[0-9]([^0-9]|$)', date_format({put}, '{form}'), date_format({put}, '{wide}'))"
-        return one("d", f"cast(datediff(try_to_date({m}, '{form}'), date'{FIRST_DAY}') as bigint)", f"if(d is null, null, {shown})")
-
-    date = "case " + " ".join(
-        f"when instr({m}, '{x}') > 0 then coalesce(if({m} rlike '^[0-9]{{4}}', {dated(f'yyyy{x}M{x}d', permuted_day)}, coalesce({dated(f'd{x}M{x}yyyy', permuted_day)}, {dated(f'M{x}d{x}yyyy', late)})), {m})"
-        for x in "-/."
-    ) + f" else {m} end"
-    mail = one("d", f"substring_index({m}, '@', 1)", f"concat({permuted_text('d', key)}, '@', substring({m}, length(d) + 2))")
-    secret = f"if({m} like 'AKIA%', concat('AKIA', " + one("d", f"substring({m}, 5)", permuted_text("d", key)) + f"), {permuted_text(m, key, f'{m} rlike r{chr(39)}^[0-9a-f]+${chr(39)}')})"
-    number = one("d", digits, _put_back(m, permuted_text("d", key)))
-    phone = one("d", digits, _put_back(m, f"concat(substring(d, 1, length(d) - 10), {permuted_text('right(d, 10)', key)})"))
-    phone = f"if(length({digits}) between 10 and 15, {phone}, {m})"
+        shown = _one("o", f"date_add(date'{FIRST_DAY}', cast({moved} as int))", f"if(t rlike '(^|[^0-9])[0-9]([^0-9]|$)', date_format(o, '{form}'), date_format(o, '{wide}'))")
+        return _one("d", f"cast(datediff(try_to_date(t, '{form}'), date'{FIRST_DAY}') as bigint)", f"if(d is null, null, {shown})")
+
+    moved = f"if(t rlike '^[0-9]{{4}}', {dated('yyyy-M-d', permuted_day)}, coalesce({dated('d-M-yyyy', permuted_day)}, {dated('M-d-yyyy', late)}))"
+    return _one("t", f"translate({m}, '/.', '--')", f"coalesce(replace({moved}, '-', regexp_extract({m}, '[-./]', 0)), {m})")
+
+
+def pseudonym(m: str, key: int, piece: bool = False) -> str:
+    """SQL: the pseudonym of a found value ``m``, or ``m`` itself where its check fails; a ``piece`` is one value of a run.
+
+    The kind comes first, then the characters to permute, then what they are put into, so that the permutation stands
+    here once: the text is parsed and planned on the driver, where its size counts. For the same reason it says
+    ``named_struct`` and ``substr``, which the parser knows at the name; ``struct`` makes it look ahead to the end.
+    """
+
+    def holds(kind: str) -> str:
+        return " or ".join(f"{m} rlike {_lit('^(?:' + p.replace('(?<=password=)', '') + ')$')}" for k, p in PATTERNS if k == kind)
+
+    digits, plain = f"regexp_replace({m}, '[^0-9]', '')", f"replace({m}, ' ', '')"
+    phone = f"when {holds('phone')} then if(length({digits}) between 10 and 15, 'phone', 'none') when {holds('date')} then 'date' when {holds('ssn')} then 'ssn'"
     if piece:
-        return f"""case when {holds('phone')} then {phone} when {holds('date')} then {date} when {holds('ssn')} then {number} else {card} end"""
-    return f"""case when {m} like '%@%' then {mail}
-        when {holds('iban')} then {iban}
-        when {holds('phone')} then {phone}
-        when {holds('date')} then {date}
-        when {holds('ssn')} then {number}
-        when {holds('host')} then {host}
-        when {m} rlike '^[0-9][0-9 -]*$' and not {m} rlike '^[0-9]{{32,128}}$' then {_run(m, key)}
-        else {secret} end"""
+        kind = f"case {phone} when {_check_digit(digits, 1)} % 10 <> 0 or {digits} rlike '^0+$' then 'none' else 'card' end"
+        others = ""
+    else:
+        kind = f"""case when {m} like '%@%' then 'mail' when {holds('iban')} then if({_iban_rest(plain)} = 1, 'iban', 'none') {phone} when {holds('host')} then 'host'
+            when {m} rlike '^[0-9][0-9 -]*$' and not {m} rlike '^[0-9]{{32,128}}$' then 'run' when {m} like 'AKIA%' then 'aws' when {m} rlike '^[0-9a-f]+$' then 'hex' else 'secret' end"""
+        number = permuted("d[0] * 16777216L + d[1] * 65536 + d[2] * 256 + d[3]", 1 << 32, key)
+        host = _one("d", f"transform(split({m}, '[.]'), x -> try_cast(x as int))", f"if(exists(d, x -> x > 255), {m}, " + _one(
+            "p", number, "concat_ws('.', array(string(p div 16777216), string(p div 65536 % 256), string(p div 256 % 256), string(p % 256)))") + ")")
+        others = f"when 'host' then {host} when 'run' then {_run(m, key)}"
+    spelled = "concat(substr(d, 1, 2), '00', p)"
+    own = f"""case k when 'card' then substr({digits}, 1, length({digits}) - 1) when 'ssn' then {digits} when 'phone' then right({digits}, 10)
+        when 'mail' then substring_index({m}, '@', 1) when 'iban' then substr({plain}, 5) when 'aws' then substr({m}, 5) else {m} end"""
+    chars = f"""case k when 'card' then concat(p, cast((10 - {_check_digit('p', 0)} % 10) % 10 as string)) when 'ssn' then p when 'phone' then concat(substr({digits}, 1, length({digits}) - 10), p)
+        when 'iban' then {_one('d', plain, _one('z', spelled, f"concat(substr(d, 1, 2), lpad(cast(98 - {_iban_rest('z')} as string), 2, '0'), p)"))} end"""
+    back = f"""case k when 'mail' then concat(p, substr({m}, length(d) + 1)) when 'aws' then concat('AKIA', p) when 'hex' then p when 'secret' then p
+        else {_one('w', chars, _put_back(m, 'w'))} end"""
+    body = _one("d", own, _one("p", permuted_text("d", key, "k = 'hex'"), back))
+    return _one("k", kind, f"case k when 'none' then {m} when 'date' then {_date(m, key)} {others} else {body} end")
 
 
 def _run(m: str, key: int) -> str:
@@ -161,10 +167,10 @@ def _run(m: str, key: int) -> str:
     alone = "(i = 0 or s[i - 1] = ' ') and coalesce(get(s, i + 2), ' ') = ' '"
     # how many groups from group i on are one value
     size = f"""coalesce(array_max(filter(sequence(1, least(19, size(g) - i)), n -> {card})), if({alone} and {three} rlike '^{other}$', 3, 1))"""
-    return f"""element_at(transform(array(struct({g} as g, {seps} as s)), r -> element_at(transform(array(r.g), g -> element_at(transform(array(r.s), s ->
-        aggregate(sequence(0, size(g) - 1), struct('' as done, 0 as free), (t, i) -> if(i < t.free, t,
-            element_at(transform(array({size}), n -> element_at(transform(array({stretch}), c ->
-                struct(concat(t.done, if(i = 0, '', s[i - 1]), if(n = 1 and length(c) not between 13 and 19, c, {pseudonym('c', key, piece=True)})) as done, cast(i + n as int) as free)), 1)), 1)), t -> t.done)), 1)), 1)), 1)"""
+    value = f"if(n = 1 and length(c) not between 13 and 19, c, {pseudonym('c', key, piece=True)})"
+    step = _one("n", size, _one("c", stretch, f"named_struct('done', concat(t.done, if(i = 0, '', s[i - 1]), {value}), 'free', cast(i + n as int))"))
+    cut = f"aggregate(sequence(0, size(g) - 1), named_struct('done', '', 'free', 0), (t, i) -> if(i < t.free, t, {step}), t -> t.done)"
+    return _one("g", g, _one("s", seps, cut))
 
 
 def pseudonymize(docs: DataFrame, text_col: str, key: int = 20_260_101, found_col: str = "n_personal") -> DataFrame:

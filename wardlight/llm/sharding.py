@@ -47,12 +47,12 @@ def permuted(number: str, n: int, seed: int) -> str:
         t = f"transform(array({t}), t -> (t * t + 16807 * t + c) % {PRIME})"
         return f"element_at(transform({t}, t -> (t * t + c) % {PRIME}), 1)"
 
-    halves = ", ".join(f"struct({i % 2} as turn, cast({c} as bigint) as c)" for i, c in enumerate(constants(seed)))
+    halves = ", ".join(f"named_struct('turn', {i % 2}, 'c', cast({c} as bigint))" for i, c in enumerate(constants(seed)))
     step = f"""
-        aggregate(array({halves}), struct(cast(x div {b} as bigint) as l, cast(x % {b} as bigint) as r),
+        aggregate(array({halves}), named_struct('l', cast(x div {b} as bigint), 'r', cast(x % {b} as bigint)),
             (s, k) -> if(k.turn = 0,
-                struct((s.l + element_at(transform(array(k.c), c -> {mixed('s.r')}), 1)) % {a} as l, s.r as r),
-                struct(s.l as l, (s.r + element_at(transform(array(k.c), c -> {mixed('s.l')}), 1)) % {b} as r)),
+                named_struct('l', (s.l + element_at(transform(array(k.c), c -> {mixed('s.r')}), 1)) % {a}, 'r', s.r),
+                named_struct('l', s.l, 'r', (s.r + element_at(transform(array(k.c), c -> {mixed('s.l')}), 1)) % {b})),
             s -> s.l * {b} + s.r)
     """
     # at most a numbers lie outside, so a walk has at most that many steps; beyond 64 it has no chance (a**-64)
