@@ -143,3 +143,21 @@ def test_samples_shuffle_no_other_column(spark):
         physical = out._jdf.queryExecution().executedPlan().toString()
         assert not any("Exchange hashpartitioning" in line and "payload" in line for line in physical.split("\n"))
         assert "SortMergeJoin" not in physical
+
+
+def test_a_growing_text_holds_little_beside_its_text():
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    found = [" ".join(str(r.random()) for _ in range(150)).encode() for _ in range(400)]
+    tracemalloc.start()
+    held = documents.GrowingText("\n\n")
+    for note in found:
+        held.add(note)
+        held.add(note[7:300].strip())
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.n == len(found) and bytes(held.body) == b"\n\n".join(found)
+    assert all(note[100:900] in held for note in found) and b"x" + found[0][:300] not in held
+    assert used < 5 * len(held.body)  # 11 times when the marks were lists by value

@@ -101,11 +101,12 @@ class GrowingText:
 
     Where a note stands in the text, the least hash at the note's head is a mark of the text too, so only
     places of that mark are compared; notes shorter than a stretch are searched for byte by byte.
+    The marks are runs of sorted arrays, each more than twice as long as the next: 16 bytes a mark, about one for each byte of text.
     """
 
     def __init__(self, sep: str):
         self.sep, self.body, self.n = sep.encode(), bytearray(), 0
-        self.places: dict[int, list[int]] = {}
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # (values in order, their places)
         self.marked = 0
 
     def __contains__(self, note: bytes) -> bool:
@@ -113,8 +114,12 @@ class GrowingText:
         value, place = _marks(head)
         if not len(value):
             return note in self.body
-        begins = (p - int(place[0]) for p in self.places.get(int(value[0]), ()))
-        return any(b >= 0 and self.body[b : b + len(note)] == note for b in begins)
+        for values, places in self.runs:
+            lo, hi = np.searchsorted(values, value[0]), np.searchsorted(values, value[0], "right")
+            begins = (p - int(place[0]) for p in places[lo:hi].tolist())
+            if any(b >= 0 and self.body[b : b + len(note)] == note for b in begins):
+                return True
+        return False
 
     def add(self, note: bytes) -> None:
         if note in self:
@@ -122,10 +127,16 @@ class GrowingText:
         self.body += self.sep * bool(self.n) + note
         self.n += 1
         begin = max(0, self.marked - GRAM - REACH + 2)  # stretches across the joint count as well
-        for value, place in zip(*_marks(np.frombuffer(bytes(self.body[begin:]), np.uint8))):
-            own = self.places.setdefault(int(value), [])
-            if not own or own[-1] < begin + place:
-                own.append(begin + int(place))
+        values, places = _marks(np.frombuffer(bytes(self.body[begin:]), np.uint8))
+        order = np.argsort(values)
+        values, places = values[order], places[order] + begin
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(values):
+            before = self.runs.pop()
+            values, places = np.concatenate([before[0], values]), np.concatenate([before[1], places])
+            order = np.argsort(values)
+            values, places = values[order], places[order]
+        if len(values):
+            self.runs.append((values, places))
         self.marked = len(self.body)
 
 
@@ -144,16 +155,18 @@ def concat_contained(df: DataFrame, key: str, order: str, text: str, sep: str =
         at, held = None, GrowingText(sep)
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([at, pa.array([held.n]), pa.array([held.body.decode()])], [key, "n_notes", text])
+            # the text's own bytes, not a copy
+            own = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(held.body)], np.int32)), pa.py_buffer(held.body))
+            return pa.RecordBatch.from_arrays([at, pa.array([held.n]), own], [key, "n_notes", text])
 
         for b in batches:
-            for i, x in enumerate(b.column(2).to_pylist()):
+            for i, x in enumerate(b.column(2)):
                 own = b.column(0).slice(i, 1)
                 if at is None or not own.equals(at):
                     if held.n:
                         yield row()
                     at, held = own, GrowingText(sep)
-                if note := x.strip().encode():
+                if note := x.as_py().strip().encode():
                     held.add(note)
         if held.n:
             yield row()
