@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import shutil
+import time
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -178,6 +179,44 @@ def test_stream_carry_over_batches(spark, tmp_path):
         add([("a", at(40), 1.0)])
 
 
+@pytest.mark.parametrize("hours,slide,groups,at_once", [(24, 1, 3, False), (5, 2, 3, False), (24, 1, 1, True)])
+def test_stream_lookback_counts_hold_rows_once_and_late_rows_count_in_open_windows(spark, tmp_path, hours, slide, groups, at_once):
+    """Same rows as Spark's own sliding windows over batches with late rows, from one state row per group of keys."""
+    t0 = datetime(2024, 1, 1)
+    at = lambda h, m=0: t0 + timedelta(hours=h, minutes=m)
+    big = 2**60 + 1
+    batches = [
+        [(big, at(0), "x"), (big, at(0, 30), "x"), (None, at(1), "y"), (7, at(4), None), (7, None, "x")],  # watermark 2:00, the end of a window
+        [(big, at(0, 10), "x"), (None, at(2, 30), "y"), (7, at(9, 59), None)],  # the first is late, other windows of its are open
+        [(big, at(3), "x"), (big, at(40), "x"), (7, at(41, 30), None)],
+        [(7, at(10), None), (7, at(39), None), (big, at(38), "x")] + [(big, at(41, m), "x") for m in range(50)],  # the first is too late for any window
+        [(None, at(200), "y")],
+    ]
+    src = tmp_path / "in"
+    schema = spark.createDataFrame([], "k long, ts timestamp_ntz, s string").schema
+
+    def own(events):
+        w = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours").groupBy(F.window("at", f"{hours} hours", f"{slide} hours"), "k", "s")
+        return w.agg(F.count("*").alias("n")).select("k", "s", F.col("window.end").alias("until"), "n")
+
+    def run(name, counts):
+        events = streams.read_files(spark, str(src), schema, files_per_batch=1)
+        q = streams.run_to_files(counts(events), str(tmp_path / name), str(tmp_path / f"{name}_checkpoint"))
+        held = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+        rows = spark.read.parquet(str(tmp_path / name)).select("k", "s", F.unix_micros("until"), "n").collect()
+        return sorted(map(tuple, rows), key=str), held
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(0.01)  # files are taken by their time
+        if not at_once or i == len(batches) - 1:
+            want, _ = run("own", own)
+            got, held = run("got", lambda e: streams.lookback_counts(e, ["k", "s"], "ts", hours, slide, groups=groups))
+            assert got == want
+            assert held <= 4 * groups  # a row and a timer of each group, by key and by time
+    assert len(got) > 15
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
