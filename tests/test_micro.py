@@ -359,3 +359,22 @@ def test_expert_rule_defaults(spark):
     got = [r["prolonged_icu_sepsis"] for r in df.select(*[c.alias(n) for n, c in clinical.expert_interactions(df.columns).items()]).collect()]
     assert got == [0.0, 0.0]
     assert pairs.MAX_NAMES > 0
+
+
+def test_rounded_equals_round_and_seldom_needs_it(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -1e-9, 5e-7, -5e-7, 1.0000005, -2.5000005, 0.1 + 0.2, 999999.9999995, 1e6, -1e6, 1e22, 1e-320, 1.7976931348623157e308]
+    ties = [s * (k + 0.5) / 1e6 + d for k in range(0, 40_000, 97) for s in (1, -1) for d in (0.0, 1e-12, -1e-12, 1e-10)]
+    values = odd + ties + [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 9) for _ in range(20_000)]
+    df = frame(spark, [(v,) for v in values], "v double")
+    for digits in (0, 2, 6, 8):
+        got = df.select(F.round("v", digits).alias("a"), exprs.rounded("v", digits).alias("b"))
+        assert got.where("NOT (cast(a AS string) <=> cast(b AS string))").count() == 0
+    from wardlight.plans.catalog import QUERIES
+
+    plan = QUERIES["H11_abnormality"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    before = re.findall(r"(\w+) round\(\w+_Dist", plan)
+    assert len(before) >= 28 and set(before) == {"ELSE"} and len(before) == len(re.findall(r"round\(\w+_Dist", plan))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clinical, fixed
-from ..functions.exprs import flag
+from ..functions.exprs import flag, rounded
 from ..operators import aggregates, pairs, series
 from .aggregate_queries import IQR_SQL
 from .registry import Tables, query
@@ -35,7 +35,9 @@ def vitals(t: Tables):
 
 
 def finish(df, out: dict, digits: int = 6):
-    return df.select(*KEY, *[F.round(c, digits).cast("double").alias(n) for n, c in out.items()])
+    raw = df.select(*KEY, *[c.alias(n) for n, c in out.items()])  # rounding refers to a value several times
+    doubles = {n for n, kind in raw.dtypes if kind == "double"}
+    return raw.select(*KEY, *[(rounded(n, digits) if n in doubles else F.round(n, digits).cast("double")).alias(n) for n in out])
 
 
 def sql_out(exprs: dict[str, str], source: str = "vit", extra: str = "", with_: str = VITAL_SQL) -> str:
