@@ -308,3 +308,27 @@ def test_fits_read_combinations_of_bins_and_scores_stay_with_their_rows(spark, m
     want = models.score_ensemble(models.term_bins(df.limit(500), "id", m), m.shapes, "id").toPandas().set_index("id")
     got = scored.join(df.limit(500).select("id"), "id").toPandas().set_index("id").loc[want.index]
     assert np.allclose(got["pred_proba"], want["pred_proba"], atol=1e-12) and (got["pred_label"] == want["pred_label"]).all()
+
+
+def test_ablation_fits_settle_and_its_pairs_stand_alone(spark, monkeypatch):
+    """Every model of J30 is at the minimum of its loss, so it expects as many positives as there are; the last one has each clinical x text pair and no single feature."""
+    fits, fit, variants, predict = [], models.LogisticRegression.fit, [], models.batch_predict
+
+    def noted(self, rows, *a):
+        m = fit(self, rows, *a)
+        fits.append((self.getRegParam(), rows.toPandas(), m.coefficients.toArray(), m.intercept))
+        return m
+
+    monkeypatch.setattr(models.LogisticRegression, "fit", noted)
+    monkeypatch.setattr(models, "batch_predict", lambda df, id_col, m, **k: variants.append((m, predict(df, id_col, m, **k))) or variants[-1][1])
+    QUERIES["J30_modality_ablation"].run(spark, SF)
+    assert len(fits) == len(variants) == 3
+    for reg, rows, beta, b in fits:
+        x, y, w = np.stack([v.toArray() for v in rows["x"]]), rows["__y"].to_numpy(), rows["__w"].to_numpy()
+        off = w * (1 / (1 + np.exp(-(x @ beta + b))) - y) / w.sum()
+        assert np.abs(np.append(x.T @ off + reg * beta, off.sum())).max() < 1e-6
+    for (m, scored), (_, rows, _, _) in zip(variants, fits):
+        expected, n = scored.agg(F.sum("pred_proba"), F.count("*")).first()
+        assert abs(expected / n - (rows["__y"] * rows["__w"]).sum() / rows["__w"].sum()) < 0.02
+    want = {f"{a} & {b}" for a in ("o_totalprice", "tax") for b in ("n_lines", "qty")} | {models.INTERCEPT}
+    assert {r["term"] for r in variants[-1][0].shapes.select("term").distinct().collect()} == want

@@ -170,7 +170,9 @@ def _(t):
 
 @query("J30_modality_ablation")
 def _(t):
-    return models.modality_ablation(order_frame(t), "o_orderkey", "y", {"clinical": ["o_totalprice", "tax"], "text": ["n_lines", "qty"]}, PAIRS, max_iter=5)
+    clinical, text = ["o_totalprice", "tax"], ["n_lines", "qty"]
+    pairs = [(a, b) for a in clinical for b in text]
+    return models.modality_ablation(order_frame(t), "o_orderkey", "y", {"clinical": clinical, "text": text}, pairs)
 
 
 @query("J8_smote")
